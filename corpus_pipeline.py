@@ -1,13 +1,71 @@
-"""A training-corpus pipeline out of the operators of ``tessera.llm``."""
+"""A training-corpus pipeline out of the operators of ``tessera.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs, with the same
+columns; the last returns the encoded documents. Between stages the rows are written as
+Parquet to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm.bpe import bpe_digests
+from tessera.llm.common import broadcast_if, materialize, table
+from tessera.llm.decontaminate import decontaminate
+from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.jaccard_join import near_duplicates
+from tessera.llm.quality import quality_scores
+
+#: Ids that a stage drops are broadcast up to so many; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """docs without the ids of dropped. Rows without an id are never named, and so stay."""
+    ids = materialize(dropped.select("doc_id").filter("doc_id is not null").distinct(), name)
+    return docs.join(broadcast_if(ids, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return _without(docs, quality_scores(docs, table(spark, sf_dir, "labels")).filter("not kept"), "rejected")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one row stays: that of the largest id, and of rows that repeat it one."""
+    decided = materialize(exact_dedup(docs), "exact")
+    left = _without(docs, decided.filter("not kept"), "copies")
+    twice = decided.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    twice = materialize(twice, "repeated-ids")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return _without(left, twice, "repeated").unionByName(once)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document of the smallest id stays."""
+    return _without(docs, near_duplicates(docs).filter("doc_id <> component_id"), "near")
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark window occurs go."""
+    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"), "contaminated")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of every document left."""
+    return bpe_digests(docs, with_ids=True)
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", clean), ("encode", encode)]
+
+#: SQL can express neither the classifier nor the encoder.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -216,8 +216,8 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None, pattern:
     return rows.mapInPandas(batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
-def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, batch_rows: int = 256) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Encodes and decodes whole texts.
+def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = False, batch_rows: int = 256) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids if asked for. Encodes and decodes whole texts.
 
     Null and empty texts have no tokens and the digests of empty input. Rows are independent,
     so repeated ids and extra columns do no harm. A worker holds ``batch_rows`` texts and a
@@ -232,17 +232,22 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for whole in parts:
             for at in range(0, whole.num_rows, batch_rows):
                 part = whole.slice(at, batch_rows)
-                n, ids, data = [], [], []
+                n, whole_ids, ids, data = [], [], [], []
                 for text in part.column(1):
                     k, s, b = own.round_trip(text.as_py() or "")
                     n.append(k)
+                    if with_ids:
+                        whole_ids.append(list(map(int, s.split())))
                     ids.append(hashlib.sha256(s.encode()).hexdigest())
                     data.append(hashlib.sha256(b).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = {"doc_id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(data, pa.string())}
+                if with_ids:
+                    columns["ids"] = pa.array(whole_ids, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS STRING) AS text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(batches, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' * with_ids}")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

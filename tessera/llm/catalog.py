@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join
+from . import bpe, decontaminate, exact_dedup, jaccard_join, quality
 
-MODULES = [jaccard_join, exact_dedup, decontaminate, bpe]
+MODULES = [quality, jaccard_join, exact_dedup, decontaminate, bpe]
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
