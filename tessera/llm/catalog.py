@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, quality
+from . import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, quality, token_counts
 
-MODULES = [quality, jaccard_join, exact_dedup, decontaminate, bpe]
+MODULES = [quality, license_scan, jaccard_join, exact_dedup, decontaminate, bpe, token_counts, chat_format]
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
