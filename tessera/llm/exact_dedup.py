@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, materialize, table, text_or_empty
+from .common import UPPER, ascii_lower, materialize, small, table, text_or_empty
 
 KEY = ["key", "sha", "n_bytes"]
+#: Keys of several rows are broadcast up to so many (some 25 MB); beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def directory(groups: DataFrame, capacity: int, max_depth: int) -> DataFrame:
@@ -33,7 +35,7 @@ def directory(groups: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     )
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 20, max_depth: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(texts with keys, lazily; entries on shared files; index on shared files).
 
     The index has a row per distinct key, digest and length: bucket, local_depth, chain
@@ -45,6 +47,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     entries = materialize(keyed.drop("norm"), "dedup-entries")
     groups = materialize(entries.groupBy(*KEY).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size")), "dedup-groups")
+    max_depth = min(20, max(0, groups.count() // capacity).bit_length() + 2)  # deeper than an even spread needs
     leaves = materialize(directory(groups, capacity, max_depth), "dedup-directory")
     chain = Window.partitionBy("bucket", "key").orderBy("sha", "n_bytes")
     index = groups.withColumn("slot", F.shiftrightunsigned("key", 64 - max_depth)).join(leaves, "slot")
@@ -55,18 +58,19 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def collisions(keyed: DataFrame, index: DataFrame, salt_rows: int = 4096) -> DataFrame:
     """Rows whose bytes differ from the head of their chain entry: doc_id, the key columns and norm.
 
-    Only entries of two rows or more are looked at. A large entry is dealt over as many
+    Only entries of two rows or more are looked at, and only their texts are shuffled. A large entry is dealt over as many
     salts as it has thousands of rows, so no task compares more than a few of them.
     """
     multi = index.filter("size > 1").select(*KEY, "keep_id", F.ceil(F.col("size") / salt_rows).cast("int").alias("salts"))
     multi = materialize(multi, "dedup-multi")
-    members = materialize(keyed.join(multi, KEY).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), "salts").cast("int")), "dedup-members")
+    wanted = F.broadcast(multi.select("key").distinct()) if small(multi, BROADCAST_ROWS) else multi.select("key").distinct()
+    members = materialize(keyed.join(wanted, "key", "left_semi").join(multi, KEY).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), "salts").cast("int")), "dedup-members")
     heads = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(KEY)
     heads = heads.select(*KEY, F.col("norm").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     return members.join(heads, [*KEY, "salt"]).filter("norm <> head").select("doc_id", *KEY, "norm")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 20, max_depth: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 20) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal
@@ -74,7 +78,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winning id are all marked kept. An empty table gives an empty result. Other columns are
     not looked at.
     """
-    keyed, entries, index = build_index(docs, id_col, text_col, capacity, max_depth)
+    keyed, entries, index = build_index(docs, id_col, text_col, capacity)
     odd = materialize(collisions(keyed, index), "dedup-collisions")
     multi = materialize(index.filter("size > 1").select(*KEY, "keep_id", "size"), "dedup-owners")
     rows = entries.join(multi, KEY, "left")
