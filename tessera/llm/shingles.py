@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -95,3 +97,10 @@ def slices_by_bytes(sizes: list[int], most: int) -> list[tuple[int, int]]:
     if at < len(sizes):
         found.append((at, len(sizes)))
     return found
+
+
+def few_rows(parts: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches in slices, so that Python holds the texts of a few rows at a time."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
