@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .shingles import mix, slices_by_bytes, word_hashes
+from .shingles import few_rows, mix, slices_by_bytes, word_hashes
 
 #: Labelled documents and unlabelled ones that a model is fitted on, at most. They bound what the driver holds, not what is scored.
 FIT_LABELLED, FIT_UNLABELLED = 8000, 4000
 WORD_BITS, META_BITS = 16, 10
-TEXT_BYTES = 4_000_000
+TEXT_BYTES = 1_000_000
 N_FORM = 12
 _KINDS = np.zeros((256, 5), np.float64)  # upper case, lower case, digits, marks, line ends
 _KINDS[65:91, 0] = _KINDS[97:123, 1] = _KINDS[48:58, 2] = _KINDS[10, 4] = 1
@@ -133,7 +133,7 @@ def _meta_logits(model: _Logistic, meta: np.ndarray) -> np.ndarray:
 def _view_frame(docs: DataFrame) -> DataFrame:
     """Features of the documents, as the fit needs them; texts stay on the executors."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in few_rows(parts):
             ids, ys, texts, source, lang, chars = (part.column(i).to_pylist() for i in range(6))
             data = [(t or "").encode() for t in texts]
             for a, b in slices_by_bytes(list(map(len, data)), TEXT_BYTES):
@@ -218,7 +218,7 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for part in parts:
+        for part in few_rows(parts):
             data = [(t or "").encode() for t in part.column(1).to_pylist()]
             source, lang, chars = (part.column(i).to_pylist() for i in range(2, 5))
             for a, b in slices_by_bytes(list(map(len, data)), TEXT_BYTES):
