@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import query_plans, text_plans
+
+QUERIES = query_plans.QUERIES | text_plans.QUERIES
+ORACLES = query_plans.ORACLES | text_plans.ORACLES
