@@ -94,9 +94,16 @@ def composite(coherence: Column, useful: Column) -> Column:
 def trim_to_tokens(text: Column, tokens: Column) -> Column:
     """At most 4 characters a token, cut after the last sentence end or line end if that is beyond 60 %."""
     limit = (tokens * 4).cast("int")
-    cut = F.substring(text, F.lit(1), limit)
-    last = F.greatest(*[F.when(F.locate(p[::-1], F.reverse(cut)) > 0, F.length(cut) - F.locate(p[::-1], F.reverse(cut)) - len(p) + 1).otherwise(-1) for p in (". ", "! ", "? ", "\n")])
-    return F.when(F.length(text) <= limit, text).otherwise(strip(F.when(last > limit * 0.6, F.substring(cut, F.lit(1), last + 1)).otherwise(cut)))
+    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  names a value that is used more than once
+
+    def end(cut: Column, back: Column, mark: str) -> Column:
+        return let(F.locate(mark[::-1], back), lambda at: F.when(at > 0, F.length(cut) - at - (len(mark) - 1)).otherwise(-1))
+
+    def at_end(cut: Column) -> Column:
+        last = let(F.reverse(cut), lambda back: F.greatest(*[end(cut, back, m) for m in (". ", "! ", "? ", "\n")]))
+        return let(last, lambda at: F.when(at > limit * 0.6, F.substring(cut, F.lit(1), at + 1)).otherwise(cut))
+
+    return F.when(F.length(text) <= limit, text).otherwise(strip(let(F.substring(text, F.lit(1), limit), at_end)))
 
 
 def strip_boilerplate(text: Column) -> Column:
