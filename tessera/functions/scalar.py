@@ -118,8 +118,8 @@ def fingerprint(text: Column) -> Column:
 
 def recency(timestamp: Column, as_of: Column, decay_days: int = 365, floor: float = 0.1) -> Column:
     """exp(-age / decay), at least floor; 0.5 where there is no date."""
-    age = F.greatest(F.lit(0), F.datediff(as_of, F.try_to_date(F.substring(timestamp, 1, 10), "yyyy-MM-dd")))
-    return F.coalesce(F.greatest(F.lit(floor), F.exp(-age / decay_days)), F.lit(0.5))
+    age = F.datediff(as_of, F.try_to_date(F.substring(timestamp, 1, 10), "yyyy-MM-dd"))
+    return F.when(age.isNull(), 0.5).when(age <= 0, 1.0).otherwise(F.greatest(F.lit(floor), F.exp(-age / decay_days)))
 
 
 def blended(coherence: Column, timestamp: Column, as_of: Column, weight: Column | float = 0.4, decay_days: int = 365) -> Column:
@@ -158,7 +158,7 @@ def decay_term(confidence: Column, total: Column, days: Column) -> tuple[Column,
 
 
 def decay_reputation(value: Column, days: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.1), value * F.pow(F.lit(0.98), days)), value)
+    return F.when(days.isNull(), value).otherwise(F.greatest(F.lit(0.1), value * F.pow(F.lit(0.98), days)))
 
 
 def scrape_score(quality: Column, hit: Column, irrelevance: Column, failure: Column, latency: Column) -> Column:

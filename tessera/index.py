@@ -60,8 +60,8 @@ class ChunkStore:
         asked = queries.select("query_id", embed_column(F.col("query"), self.embedder).alias("embedding"))
         keyed = rows.select("id", "embedding", "content", "title", "url", "timestamp", "chunk_index", "coherence_score").dropDuplicates(["id"])
         keyed = keyed.withColumn("n", F.conv(F.col("id"), 16, 10).cast("long"))
-        near = knn(keyed, asked, k, "n")
-        return near.join(keyed.drop("embedding"), F.col("n") == near["id"]).select("query_id", "rank", (1 - F.col("similarity")).alias("distance"), keyed["id"].alias("id"), "content", "title", "url", F.col("url").alias("source"), "timestamp", "chunk_index", F.col("coherence_score").cast("double").alias("coherence_score"))
+        near = knn(keyed.select("n", "embedding"), asked, k, "n").withColumnRenamed("id", "n")
+        return near.join(keyed.drop("embedding"), "n").select("query_id", "rank", (1 - F.col("similarity")).alias("distance"), "id", "content", "title", "url", F.col("url").alias("source"), "timestamp", "chunk_index", F.col("coherence_score").cast("double").alias("coherence_score"))
 
     def sessions(self) -> list[str]:
         if not self.exists():

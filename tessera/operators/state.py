@@ -148,7 +148,7 @@ def observed(queries: DataFrame, query_col: str = "query") -> DataFrame:
 def confidences(keys: DataFrame, reputation: DataFrame, as_of: float) -> DataFrame:
     """keys (domain, topic) with confidence: decayed to as_of, 0.5 where unseen, and capped to 0.70 while there were fewer than five scrapes."""
     rows = keys.join(reputation, ["domain", "topic"], "left")
-    now = F.coalesce(S.decay_reputation(F.col("retrieval_confidence"), (F.lit(as_of) - F.col("last_updated")) / DAY), F.lit(0.5))
+    now = F.when(F.col("retrieval_confidence").isNull(), 0.5).otherwise(S.decay_reputation(F.col("retrieval_confidence"), (F.lit(as_of) - F.col("last_updated")) / DAY))
     return rows.withColumn("confidence", now).withColumn("capped_confidence", F.when(F.coalesce("total_scrapes", F.lit(0)) < 5, F.least(F.lit(0.70), now)).otherwise(now)).select(*keys.columns, "confidence", "capped_confidence")
 
 
