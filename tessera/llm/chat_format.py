@@ -13,12 +13,15 @@ over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .shingles import few_rows
 
 ROLES = ("system", "user", "assistant")
 #: State 0: nothing yet; state k: the last turn is of ROLES[k - 1].
@@ -128,37 +131,45 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.lower(F.trim(F.col(role_col).cast("string"))).alias("role"), F.col(text_col).cast("string").alias("text")
     ).withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(1 << 62))).cast("long"))
 
-    def ordered(part: pd.DataFrame) -> pd.DataFrame:
-        return part.sort_values(["turn", "role", "text"], na_position="first", kind="stable")
-
-    def roles_of(part: pd.DataFrame) -> list:
-        return [r if isinstance(r, str) else None for r in part["role"]]
-
-    def matrix(part: pd.DataFrame) -> pd.DataFrame:
-        m = block_matrix(roles_of(ordered(part)))
-        return pd.DataFrame({"conv_id": part["conv_id"].iloc[:1], "block": part["block"].iloc[:1], "costs": [m.ravel().tolist()]})
-
-    def chain(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("block")
-        states, cost = border_states([np.array(c).reshape(N_STATES, N_STATES) for c in part["costs"]])
-        return pd.DataFrame({"conv_id": part["conv_id"], "block": part["block"], "enter": states[:-1], "leave": states[1:], "is_first": [True] + [False] * (len(part) - 1), "is_last": [False] * (len(part) - 1) + [True], "conv_cost": cost})
-
     keys = ["conv_id", "block"]
     # Turns of one number and role differ in text only, which has no part in the costs.
-    blocks = rows.select(*keys, "turn", "role", F.lit("").alias("text")).groupBy(*keys).applyInPandas(matrix, "conv_id long, block long, costs array<double>")
-    borders = materialize(blocks.groupBy("conv_id").applyInPandas(chain, "conv_id long, block long, enter int, leave int, is_first boolean, is_last boolean, conv_cost double"), "chat-borders")
-
-    def finish(part: pd.DataFrame, border: pd.DataFrame) -> pd.DataFrame:
-        part, b = ordered(part), border.iloc[0]
-        roles, texts = roles_of(part), [t if isinstance(t, str) else "" for t in part["text"]]
-        plan = repair(roles, int(b["enter"]), int(b["leave"]))
-        return pd.DataFrame({
-            "conv_id": part["conv_id"].astype("Int64"), "turn": part["turn"].astype("Int64"), "role": roles, "new_role": [ROLES[p[0]] for p in plan], "action": [p[1] + "+relabel" * p[3] for p in plan],
-            "n_inserted": [len(p[2]) for p in plan], "piece": render(texts, plan, bool(b["is_first"]), bool(b["is_last"])), "conv_cost": float(b["conv_cost"]),
-        })
-
-    out = "conv_id long, turn long, role string, new_role string, action string, n_inserted long, piece string, conv_cost double"
-    return rows.groupBy(*keys).cogroup(borders.groupBy(*keys)).applyInPandas(finish, out)
+    blocks = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    matrix = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("costs", pa.list_(pa.float64()))])
+
+    def matrices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [{"conv_id": r["conv_id"], "block": r["block"], "costs": block_matrix([t["role"] for t in r["turns"]]).ravel().tolist()} for r in part.to_pylist()]
+            yield pa.RecordBatch.from_pylist(found, matrix)
+
+    chains = blocks.mapInArrow(matrices, "conv_id long, block long, costs array<double>").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "costs"))).alias("chain"))
+    border = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("enter", pa.int32()), ("leave", pa.int32()), ("is_first", pa.bool_()), ("is_last", pa.bool_()), ("conv_cost", pa.float64())])
+
+    def borders(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = []
+            for r in part.to_pylist():
+                states, cost = border_states([np.array(b["costs"]).reshape(N_STATES, N_STATES) for b in r["chain"]])
+                last = len(r["chain"]) - 1
+                found += [{"conv_id": r["conv_id"], "block": b["block"], "enter": states[i], "leave": states[i + 1], "is_first": i == 0, "is_last": i == last, "conv_cost": cost} for i, b in enumerate(r["chain"])]
+            yield pa.RecordBatch.from_pylist(found, border)
+
+    fixed = materialize(chains.mapInArrow(borders, "conv_id long, block long, enter int, leave int, is_first boolean, is_last boolean, conv_cost double"), "chat-borders")
+    whole = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    planned = whole.alias("w").join(fixed.alias("b"), same).select("w.conv_id", "w.turns", "b.enter", "b.leave", "b.is_first", "b.is_last", "b.conv_cost")
+    out = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("action", pa.string()), ("n_inserted", pa.int64()), ("piece", pa.string()), ("conv_cost", pa.float64())])
+
+    def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in few_rows(parts):
+            found = []
+            for r in part.to_pylist():
+                turns = r["turns"]
+                plan = repair([t["role"] for t in turns], r["enter"], r["leave"])
+                pieces = render([t["text"] or "" for t in turns], plan, r["is_first"], r["is_last"])
+                found += [{"conv_id": r["conv_id"], "turn": t["turn"], "role": t["role"], "new_role": ROLES[p[0]], "action": p[1] + "+relabel" * p[3], "n_inserted": len(p[2]), "piece": piece, "conv_cost": r["conv_cost"]} for t, p, piece in zip(turns, plan, pieces, strict=True)]
+            yield pa.RecordBatch.from_pylist(found, out)
+
+    return planned.mapInArrow(finish, "conv_id long, turn long, role string, new_role string, action string, n_inserted long, piece string, conv_cost double")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

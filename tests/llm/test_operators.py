@@ -1,0 +1,355 @@
+"""Each training-data operator against a brute-force version, and on odd input: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import base64
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, chat_format, components, decontaminate, exact_dedup, fm_index, jaccard_join, language_id, license_scan, quality, shingles, substring_dedup, token_counts
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that operators use inside; a table may have them too.
+CLASHING = ["norm", "key", "row", "node", "anchor", "kept", "score", "words"]
+
+
+def table(spark, texts, schema="doc_id long, text string", clash=True):
+    rows = spark.createDataFrame(list(texts), schema)
+    for c in CLASHING if clash else []:
+        rows = rows.withColumn(c, F.lit("x"))
+    return rows
+
+
+def empty(spark):
+    return table(spark, [])
+
+
+def sha(text):
+    return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+def prose(seed, n, vocabulary=4000):
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+# ---- exact deduplication
+def test_exact(spark):
+    rows = [(1, "Ab É"), (2, "aB É"), (3, "ab é"), (4, None), (5, ""), (6, "x" * 200_000), (7, "X" * 200_000), (7, "x" * 200_000), (None, "ab É"), (None, "only")]
+    got = exact_dedup.exact_dedup(table(spark, rows)).collect()
+    want = {}
+    for i, t in rows:
+        want.setdefault((t or "").translate(LOWER), []).append(i)
+    expected = sorted((str(i), str(max((x for x in g if x is not None), default=None)), len(g), i == max((x for x in g if x is not None), default=None), sha(t)) for t, g in want.items() for i in g)
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"], r["text_sha256"]) for r in got) == expected
+    assert exact_dedup.exact_dedup(empty(spark)).count() == 0
+
+
+def test_collisions_are_told_apart(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "a", "b", "b"])], "doc_id long, norm string")
+    keyed = rows.select("doc_id", "norm", F.lit(1).cast("long").alias("key"), F.lit("s").alias("sha"), F.lit(1).alias("n_bytes"))
+    index = keyed.groupBy("key", "sha", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
+    assert sorted(r["doc_id"] for r in exact_dedup.collisions(keyed, index, salt_rows=2).collect()) == [0, 2]
+
+
+def test_directory_splits(spark):
+    groups = spark.range(1000).select(F.xxhash64("id").alias("key"))
+    leaves = exact_dedup.directory(groups, 100, 6)
+    per = groups.withColumn("slot", F.shiftrightunsigned("key", 58)).join(leaves, "slot").groupBy("bucket").count().collect()
+    assert len(per) > 4 and max(r["count"] for r in per) <= 100
+
+
+# ---- decontamination
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def brute_decontaminate(docs, items):
+    out = []
+    for i, text in docs:
+        w, hit, found = words(text), set(), set()
+        for item, t in items:
+            v = words(t)
+            k = min(10, len(v))
+            for a in range(len(v) - k + 1 if k else 0):
+                for p in range(len(w) - k + 1):
+                    if w[p : p + k] == v[a : a + k]:
+                        hit |= set(range(p, p + k))
+                        found.add(str(item))
+        out.append((str(i), len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+    return sorted(out)
+
+
+def test_decontaminate(spark):
+    item = prose(1, 25, 30)
+    items = [(1, " ".join(item)), (2, "Short One"), (3, None), (4, ""), (10, " ".join(prose(2, 12, 30))), (1, " ".join(item)), (5, "the the the the the the the the the the the")]
+    docs = [(1, " ".join(item)), (2, "x " + " ".join(item[3:14]) + " y"), (3, "a short, one! SHORT one"), (4, None), (5, ""), (6, " ".join(prose(3, 3000, 30))), (7, " ".join(item[10:] + item[:12])), (7, "another"), (None, " ".join(item)), (8, "the " * 40), (9, " ".join(item[:9]))]
+    got = decontaminate.decontaminate(table(spark, docs), table(spark, items, "item_id long, text string"))
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got.collect()) == brute_decontaminate(docs, items)
+    assert decontaminate.decontaminate(empty(spark), table(spark, items, "item_id long, text string")).count() == 0
+    assert not decontaminate.decontaminate(table(spark, docs), spark.createDataFrame([], "item_id long, text string")).filter("contaminated").count()
+
+
+def test_proximity(spark):
+    item = " ".join(f"t{i}" for i in range(12))
+    docs = [(1, item.replace("t5", "t5 extra")), (2, item), (3, "nothing here")]
+    got = {r["doc_id"] for r in decontaminate.proximity_matches(table(spark, docs), table(spark, [(1, item)], "item_id long, text string"), 2).collect()}
+    assert got == {1, 2}
+
+
+# ---- Jaccard join
+def brute_join(docs):
+    sets = {}
+    for k, (i, text) in enumerate(docs):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        sets[k] = {tuple(w[a : a + 5]) for a in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    parent = list(range(len(docs)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(docs)), 2):
+        x, y = sets[a], sets[b]
+        if docs[a][0] is not None and docs[b][0] is not None and ((x and y and 100 * len(x & y) >= 75 * len(x | y)) or (docs[a] == docs[b] and x)):
+            parent[top(a)] = top(b)
+    out = []
+    for k, (i, _) in enumerate(docs):
+        same = [docs[j][0] for j in range(len(docs)) if top(j) == top(k) and docs[j][0] is not None]
+        out.append((str(i), len(sets[k]), str(i if i is None or not sets[k] else min(same))))
+    return sorted(out)
+
+
+def near_copies(seed, n, length, edits):
+    rng, base = random.Random(seed), prose(seed, length)
+    found = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            w[rng.randrange(length)] = f"e{k}x{rng.random()}"
+        found.append(" ".join(w))
+    return found
+
+
+@pytest.mark.parametrize("group_rows", [48, 3])
+def test_join(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(jaccard_join, "GROUP_ROWS", group_rows)
+    texts = near_copies(1, 40, 120, 9) + near_copies(2, 30, 60, 5) + [" ".join(prose(9, 60) + prose(i, 100)) for i in range(10, 40)] + ["one two", "One  TWO", "a b c d e", "x", None, "", "   "]
+    docs = [(1000 - i, t) for i, t in enumerate(texts)] + [(1000, texts[0]), (None, texts[0]), (2000, "long " * 30_000)]
+    got = jaccard_join.near_duplicates(table(spark, docs)).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_join(docs)
+    assert jaccard_join.near_duplicates(empty(spark)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    ids = [rng.getrandbits(60) for _ in range(60)]
+    links = [(ids[i], ids[i + 1]) for i in range(40)] + [(ids[45], ids[50]), (ids[50], ids[45])]
+    comps = {r["node"]: r["comp"] for r in components.contract(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert len({comps[i] for i in ids[:41]}) == 1 and comps[ids[45]] == comps[ids[50]] != comps[ids[0]] and len(comps) == 43
+
+
+def test_shingles_of_equal_texts_are_equal():
+    bounds, hashes = shingles.shingle_sets([b"a b c d e f", b"x", b"A  b\tc d e F", b"", b"a b c d f e"])
+    one = [hashes[bounds[i] : bounds[i + 1]].tolist() for i in range(5)]
+    assert one[0] == one[2] and len(one[0]) == 2 and len(one[1]) == 1 and not one[3] and one[4] != one[0]
+
+
+# ---- substring removal
+def brute_remove(docs, window=50):
+    spans = {}
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in docs]
+    for (i, _), w in zip(docs, split, strict=True):
+        for p in range(len(w) - window + 1):
+            if i is not None:
+                spans.setdefault(tuple(w[p : p + window]), []).append(i)
+    out = []
+    for (i, _), w in zip(docs, split, strict=True):
+        gone = set()
+        for p in range(len(w) - window + 1):
+            if i is not None and min(spans[tuple(w[p : p + window])]) < i:
+                gone |= set(range(p, p + window))
+        out.append((str(i), len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return sorted(out)
+
+
+def test_remove(spark):
+    passage, other = prose(1, 80), prose(2, 49)
+    docs = [(i, " ".join(prose(100 + i, 60) + passage + prose(200 + i, 70))) for i in range(1, 20)] + [(30 + i, " ".join(other + prose(300 + i, 30))) for i in range(3)]
+    docs += [(50, " ".join(passage)), (51, " ".join(passage[:50]).upper()), (52, None), (53, ""), (54, "a " * 5000), (55, "a " * 300), (60, docs[0][1]), (61, docs[0][1]), (61, docs[0][1]), (None, docs[0][1]), (0, "  ".join(passage[10:70]))]
+    got = substring_dedup.remove_repeats(table(spark, docs)).select("*", F.sha2("kept", 256).alias("h")).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["h"]) for r in got) == brute_remove(docs)
+    assert substring_dedup.remove_repeats(empty(spark)).count() == 0
+
+
+def test_backward_search():
+    rng = np.random.default_rng(5)
+    text = np.concatenate([np.append(rng.integers(1, 4, 30), 0) for _ in range(6)])
+    index = fm_index.FmIndex(text, 4, 7)
+    for n in (1, 3, 7):
+        for at in range(len(text) - n):
+            pattern = text[at : at + n]
+            if 0 in pattern:
+                continue
+            low, high = np.array([0]), np.array([len(text)])
+            for symbol in pattern[::-1]:
+                low, high = index.extend(low, high, np.array([symbol]))
+            places = sorted(index.suffixes[low[0] : high[0]].tolist())
+            assert places == [p for p in range(len(text) - n + 1) if (text[p : p + n] == pattern).all()]
+            if n == 7:
+                assert [x[0] for x in index.shorten(low)] == [low[0], high[0]]
+
+
+# ---- licenses
+def test_licenses(spark):
+    docs = [(1, "Under the MIT License and the mit-license."), (2, "Apache license, general PUBLIC license"), (3, None), (4, ""), (5, "mit"), (6, "Permission is hereby granted, free of charge, to any person obtaining one copy of this software"), (7, "x " * 50_000 + "MIT License"), (8, "mit lic ense"), (8, "GNU General Public License"), (None, "BSD license")]
+    got = {(str(r["doc_id"]), r["base_labels"], r["labels"], r["n_words"], r["n_base"], r["first_word"], r["last_word"]) for r in license_scan.license_scan(table(spark, docs)).collect()}
+    assert got == {("1", "mit", "mit", 8, 2, 2, 6), ("2", "apache,gpl", "apache,gpl", 5, 2, 0, 2), ("3", "", "", 0, 0, None, None), ("4", "", "", 0, 0, None, None), ("5", "", "", 1, 0, None, None), ("6", "", "mit", 16, 0, None, None),
+                   ("7", "mit", "mit", 50_002, 1, 50_000, 50_000), ("8", "", "", 3, 0, None, None), ("8", "gpl", "gpl", 4, 1, 1, 1), ("None", "", "bsd", 2, 0, None, None)}
+    assert license_scan.license_scan(empty(spark)).count() == 0
+
+
+# ---- byte-level BPE
+@pytest.fixture(scope="module")
+def own():
+    return bpe.encoder(bpe.default_vocabulary(), bpe.default_pattern())
+
+
+@pytest.fixture(scope="module")
+def known():
+    import tiktoken
+
+    with open(bpe.default_vocabulary(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_tiktoken(own, known):
+    rng = random.Random(4)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "ab", "a", "  \n\t\r\x1c\x85\xa0", "éüñßœ", "中文字 ", "0123 ²½", "<|endoftext|>", "'stdmrvel ", "_-=+#!? ", "\U0001f600́‍ "]
+    for alphabet in alphabets * 30:
+        text = "".join(rng.choice(alphabet) for _ in range(rng.choice([1, 5, 30, 200])))
+        assert own.encode(text) == known.encode_ordinary(text), text
+        n, ids, data = own.round_trip(text)
+        assert list(map(int, ids.split())) == known.encode_ordinary(text) and n == len(ids.split()) and data == text.encode()
+
+
+def test_bpe_is_linear(own, known):
+    text = "ab" * 20_000
+    assert own.encode(text) == known.encode_ordinary(text)
+
+
+def test_bpe_rows(spark, known):
+    docs = [(1, "Hello world"), (2, None), (3, ""), (4, "é" * 9000), (1, "Hello world"), (None, "x")]
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.bpe_digests(table(spark, docs)).collect())
+    assert got == sorted((str(i), len(known.encode_ordinary(t or "")), sha(" ".join(map(str, known.encode_ordinary(t or "")))), sha(t or "")) for i, t in docs)
+    encoded = bpe.encode_documents(table(spark, docs))
+    assert {bytes(r["data"]).decode() for r in bpe.decode_documents(encoded).collect()} == {t or "" for _, t in docs}
+    assert bpe.bpe_digests(empty(spark)).count() == 0
+
+
+# ---- token counts
+def test_tokens_by_section(spark, known):
+    docs = [(1, "src", "A first line\nand a second\n\nlast"), (2, None, None), (3, "", ""), (4, "s", "é" * 3000 + "\n" + "x y " * 2000), (1, "src", "A first line"), (None, "n", "t")]
+    frame = table(spark, docs, "doc_id long, source string, text string")
+    for rule in token_counts.RULES:
+        rows = token_counts.count_tokens(frame, ["source", "text"], rule=rule).collect()
+        total = {}
+        for r in rows:
+            total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["n_tokens"]
+        want = {}
+        for i, s, t in docs:
+            text = "\n".join(x for x in (s, t) if x)
+            if text:
+                want[i] = want.get(i, 0) + len(known.encode_ordinary(text))
+        assert total == want
+    assert token_counts.count_tokens(spark.createDataFrame([], "doc_id long, source string, text string"), ["source", "text"]).count() == 0
+
+
+def test_allocation():
+    ends, bounds = np.array([2, 6, 9]), np.array([0, 3, 9])
+    assert [token_counts.allocate(ends, bounds, r)[0].tolist() for r in token_counts.RULES] == [[0, 0, 1], [0, 1, 1], [0, 1, 1]]
+
+
+# ---- chats
+def brute_cost(roles):
+    best = {0: 0}
+    for role in roles:
+        after = {}
+        for state, cost in best.items():
+            for nxt, c in enumerate(chat_format.costs_of(role)[state]):
+                if c < float("inf"):
+                    after[nxt] = min(after.get(nxt, 1e9), cost + c)
+        best = after
+    return min(best.values())
+
+
+def legal(pieces):
+    roles = re.findall(r"<\|(system|user|assistant)\|>\n", "".join(pieces))
+    return all(b == ("assistant" if a == "user" else "user") for a, b in zip(roles, roles[1:], strict=False)) and roles[0] in ("system", "user")
+
+
+def test_chats(spark):
+    rng = random.Random(6)
+    convs = {c: [rng.choice(["user", "assistant", "system", "tool", None]) for _ in range(rng.randrange(1, 12))] for c in range(30)}
+    convs[30] = ["user", "assistant"] * 700
+    rows = [(c, t, r, f"text {t}" if t % 5 else None) for c, roles in convs.items() for t, r in enumerate(roles)] + [(None, 0, "user", "x"), (31, None, "user", "a"), (31, 0, "user", "b"), (31, 0, "user", "b")]
+    frame = table(spark, rows, "conv_id long, turn long, role string, text string")
+    for block in (512, 3):
+        got = {}
+        for r in chat_format.format_chats(frame, block_turns=block).collect():
+            got.setdefault(r["conv_id"], []).append(r)
+        assert sum(map(len, got.values())) == len(rows)
+        for c, roles in convs.items():
+            own = sorted(got[c], key=lambda r: r["turn"])
+            assert own[0]["conv_cost"] == brute_cost(roles) and legal([r["piece"] for r in own])
+            spent = sum(chat_format.INSERT_COST * r["n_inserted"] + chat_format.RELABEL_COST * ("relabel" in r["action"]) + chat_format.MERGE_COST * r["action"].startswith("merge") for r in own)
+            assert spent == own[0]["conv_cost"]
+        assert all(r["action"] == "keep" for r in got[30])
+    assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# ---- language
+def test_language(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language_id.train(docs)
+    rows = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in rows) / len(rows) > 0.95 and all(0 <= r["score"] <= 1 for r in rows)
+    odd = [(1, None), (2, ""), (3, "123 !!"), (4, "é" * 100_000), (4, "the of and"), (None, "the and of")]
+    got = language_id.identify(table(spark, odd), model).collect()
+    assert [r["lang_pred"] for r in got[:3]] == ["und"] * 3 and all(r["lang_pred"] in model.labels for r in got[3:]) and not got[-1]["held_out"]
+    assert language_id.identify(empty(spark), model).count() == 0
+    assert language_id.train(spark.createDataFrame([], DOCS)) is None and {r["lang_pred"] for r in language_id.identify(table(spark, odd), None).collect()} == {"und"}
+
+
+def test_forward_backward():
+    rng = np.random.default_rng(0)
+    emit, move, start = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    scores = {p: start[p[0]] + sum(emit[0, i, s] for i, s in enumerate(p)) + sum(move[a, b] for a, b in zip(p, p[1:], strict=False)) for p in itertools.product(range(3), repeat=4)}
+    total = np.logaddexp.reduce(list(scores.values()))
+    p, pairs, z = language_id.forward_backward(emit, np.array([4]), move, start)
+    assert z == pytest.approx(total) and pairs.sum() == pytest.approx(3)
+    for i, s in itertools.product(range(4), range(3)):
+        assert p[0, i, s] == pytest.approx(sum(np.exp(v - total) for k, v in scores.items() if k[i] == s))
+
+
+# ---- quality
+def test_quality(spark):
+    rng = random.Random(2)
+    good = [(i, " ".join(rng.choice("alpha beta gamma delta river stone".split()) for _ in range(40)), "en", f"s{i % 3}", 200) for i in range(120)]
+    bad = [(200 + i, "BUY NOW!!! " * 30 + "### $$$ " * 10, None, f"s{i % 3}", None) for i in range(60)]
+    docs = spark.createDataFrame(good + bad + [(900, None, None, None, None), (901, "", "en", "s1", 0), (1, good[0][1], "en", "s1", 200)], DOCS).withColumn("kept", F.lit("x")).withColumn("score", F.lit("x"))
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in good[:90]] + [(i, 0, 0) for i, *_ in bad[:40]] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    got = quality.quality_scores(docs, labels).collect()
+    assert len(got) == 183 and all(0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if 90 <= r["doc_id"] < 120 or 240 <= r["doc_id"] < 260]
+    assert all(r["kept"] == (r["doc_id"] < 200) for r in held)
+    none = quality.quality_scores(docs, labels.limit(0)).collect()
+    assert all(r["kept"] and r["score"] == 0.5 for r in none)
+    assert quality.quality_scores(docs.limit(0), labels).count() == 0
