@@ -1,4 +1,4 @@
-"""Command line: search, index, ingest, query, read, inspect, verify, sessions, stale."""
+"""Command line: search, index, ingest, query, read, inspect, verify, sessions, stale, serve."""
 
 from __future__ import annotations
 
@@ -84,6 +84,9 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("stale")
     c.add_argument("session")
     c.add_argument("--hours", type=float, default=24)
+    c = sub.add_parser("serve")
+    c.add_argument("--host", default="127.0.0.1")
+    c.add_argument("--port", type=int, default=8000)
     return p
 
 
@@ -136,6 +139,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print("\n".join(json.dumps(r, default=str) for r in inspect(engine, a)))
         elif a.command == "sessions":
             print("\n".join(engine.list_sessions()))
+        elif a.command == "serve":
+            from .server import make_server
+
+            make_server(engine, a.host, a.port).serve_forever()
         else:
             print("stale" if engine.is_stale(a.session, a.hours) else "fresh")
     except TesseraError as e:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
-from .errors import NoContentError, SessionNotFound, TesseraError
+from .errors import SessionNotFound, TesseraError
 from .functions import scalar as S
 from .index import ChunkStore, staleness
 from .operators import classify as Q
@@ -249,7 +249,14 @@ class Engine:
     def delete_session(self, session: str) -> None:
         self.store.delete(session)
 
-    def require(self, rows: list) -> list:
-        if not rows:
-            raise NoContentError("nothing was found")
-        return rows
+    def export_reputation(self, path: str) -> None:
+        """All reputation rows as JSON lines, best first."""
+        ST.reputation_summary(self.reputation()).write.mode("overwrite").json(path)
+
+    def llm_context(self, query: str, session: str, k: int = 5) -> str:
+        """A prompt block of numbered chunks for a language model."""
+        chunks = self.query(query, session, k)
+        if not chunks:
+            return f"[NO CONTEXT AVAILABLE]\nQuestion: {query}"
+        rows = self.spark.createDataFrame([(0, i, query, c["content"], c["source"], None, c["coherence_score"]) for i, c in enumerate(chunks)], "query_id long, pos int, question string, content string, source string, score double, coherence_score double")
+        return X.llm_context(rows).first()["prompt"]

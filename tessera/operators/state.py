@@ -158,6 +158,18 @@ def weighted_terms(lexicon: DataFrame, as_of: float) -> DataFrame:
     return lexicon.withColumn("avg_confidence", average).withColumn("confidence_sum", total).withColumn("weight", S.term_weight(F.col("avg_confidence"), F.col("observations")))
 
 
+def lexicon_summary(lexicon: DataFrame, as_of: float, topic: str | None = None) -> DataFrame:
+    """All terms (of a topic) by weight."""
+    rows = lexicon.filter(F.col("topic") == topic) if topic else lexicon
+    return weighted_terms(rows, as_of).orderBy(F.desc("weight"), "term", "topic")
+
+
+def reputation_summary(reputation: DataFrame, topic: str | None = None) -> DataFrame:
+    """All rows (of a topic) by stored confidence."""
+    rows = reputation.filter(F.col("topic") == topic) if topic else reputation
+    return rows.orderBy(F.desc("retrieval_confidence"), "domain", "topic")
+
+
 def expand_queries(queries: DataFrame, lexicon: DataFrame, as_of: float, most: int = 3, least_weight: float = 0.30) -> DataFrame:
     """query_id, text: queries (query_id, query, topic, ambiguous) with up to three active terms. Queries that get none are left out."""
     active = weighted_terms(lexicon.filter("status = 'active'"), as_of)

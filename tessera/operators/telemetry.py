@@ -97,6 +97,15 @@ class Controller:
                 self.concurrency = min(self.high, self.concurrency + 1)
         return self.concurrency, state[2]
 
+    def status(self) -> dict:
+        """The numbers as they stand."""
+        total, bad = sum(d[0] for d in self.domains.values()), sum(d[1] for d in self.domains.values())
+        s = sorted(self.samples)
+        return {
+            "concurrency": self.concurrency, "failure_rate": round(bad / total, 3) if total else 0.0, "p50": round(s[len(s) // 2], 3) if s else 0.0, "p95": round(self.p95(), 3) if s else 0.0,
+            "domains": {d: {"requests": n, "failures": f, "concurrency": c} for d, (n, f, c) in self.domains.items()},
+        }
+
 
 def control(fetches: DataFrame, group: str = "session", order: str = "seq", time: str = "at") -> DataFrame:
     """The controller's numbers after every event, one controller a group. Needs domain, latency, failed."""

@@ -35,11 +35,39 @@ def test_search_and_read(engine):
     assert 0 < len(found) <= 3 and "function" in found[0]["content"]
     context = engine.build_context("decorators wrap functions", "s", token_budget=500)
     assert context.total_tokens <= 500 and context.chunks and "[Source:" in context.to_prompt() and context.to_jsonl() and context.to_json() and context.to_mongodb("s")
+    assert engine.llm_context("decorators wrap functions", "s").startswith("[RETRIEVAL CONTEXT]\nquestion: decorators")
     assert not engine.is_stale("s", 1e9) and engine.is_stale("none")
     with pytest.raises(errors.SessionNotFound):
         engine.query("x", "none")
 
 
+def test_http(engine):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from tessera.server import make_server
+
+    server = make_server(engine, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(method, path, body=None):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", json.dumps(body).encode() if body else None, method=method)
+        try:
+            with urllib.request.urlopen(request) as found:
+                return found.status, found.read().decode()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read().decode()
+
+    try:
+        assert ask("GET", "/health")[0] == 200 and "s" in json.loads(ask("GET", "/sessions")[1])["sessions"]
+        for kind in ("json", "jsonl", "prompt", "mongodb"):
+            assert ask("POST", "/context", {"query": "decorators", "session": "s", "format": kind})[0] == 200
+        assert ask("POST", "/query", {"query": "x", "session": "none"})[0] == 404 and ask("POST", "/query", {"query": "x", "session": "s", "k": 99})[0] == 422 and ask("POST", "/nothing", {"a": 1})[0] == 422
+    finally:
+        server.shutdown()
+
+
 def test_verify(engine):
     r = engine.verify("python decorators guide", "v")
     assert r.status == "conflict" and r.conflicts
