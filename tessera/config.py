@@ -21,6 +21,7 @@ class Config:
     max_chars: int = 2000
     rerank_top_k: int = 5
     chunk_size: int = 256
+    semantic_threshold: float = 0.75
     dedupe_threshold: float = 0.85
     recency_weight: float = 0.4
     recency_decay_days: int = 365

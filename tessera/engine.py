@@ -124,7 +124,7 @@ class Engine:
                 result.reason = "no_docs"
                 return result
             with trace.step("chunk"):
-                chunks = chunk_documents(docs, self.embedder, max_tokens=self.config.chunk_size, dedupe=self.config.dedupe_threshold).withColumn("domain", S.domain(F.col("source"))).cache()
+                chunks = chunk_documents(docs, self.embedder, max_tokens=self.config.chunk_size, dedupe=self.config.dedupe_threshold, threshold=self.config.semantic_threshold).withColumn("domain", S.domain(F.col("source"))).cache()
                 result.chunk_count = trace.chunk_count = chunks.count()
             if not result.chunk_count:
                 result.reason = "no_chunks"
@@ -199,7 +199,7 @@ class Engine:
     # -- ingest and read
     def ingest(self, source: str, session: str, force_new: bool = False, **options) -> dict:
         docs = read_source(self.spark, source, now=options.pop("now", self._now()), **options)
-        chunks = chunk_documents(docs, self.embedder, max_tokens=self.config.chunk_size).cache()
+        chunks = chunk_documents(docs, self.embedder, max_tokens=self.config.chunk_size, threshold=self.config.semantic_threshold).cache()
         n = chunks.count()
         if not n:
             return {"success": False, "docs": docs.count(), "chunks": 0, "indexed": 0}

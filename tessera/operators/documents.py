@@ -79,8 +79,6 @@ def near_duplicate_pairs(left: DataFrame, right: DataFrame, k: int, threshold: f
 
     A pair of similarity t shares a run among the first n - ceil(t n) + 1 of each set in any common order; here by hash.
     """
-    from math import ceil
-
     def side(df, id_col, out):
         g = S.grams(F.col(text), k)
         rows = df.select(F.col(id_col).alias(out), g.alias("g")).filter("size(g) > 0")
@@ -88,7 +86,6 @@ def near_duplicate_pairs(left: DataFrame, right: DataFrame, k: int, threshold: f
         keep = F.size("g") - F.ceil(F.size("g") * threshold).cast("int") + 1
         return rows.withColumn("p", F.slice(ordered, F.lit(1), keep))
 
-    assert ceil(threshold) == 1
     a, b = side(left, left_id, "left_id"), side(right, right_id, "right_id")
     met = a.select("left_id", F.explode("p").alias("h")).join(b.select("right_id", F.explode("p").alias("h")), "h").select("left_id", "right_id").distinct()
     pairs = met.join(a.select("left_id", F.col("g").alias("ga")), "left_id").join(b.select("right_id", F.col("g").alias("gb")), "right_id")

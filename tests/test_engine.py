@@ -11,7 +11,7 @@ from tessera.engine import Engine
 from tessera.operators import state as ST
 from tessera.streaming import telemetry as TS
 
-BODY = "<p>Python decorators wrap functions, number {i}, and add behaviour around calls in place {i}. They take a function, number {i}, and return another function which usually calls it.</p>"
+BODY = "<p>Decorators wrap functions with " + " ".join(f"{w}{{i}}" for w in "alpha beta gamma delta river stone cloud paper".split()) + " and then return another function.</p>"
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,7 @@ def pages(spark):
 @pytest.fixture(scope="module")
 def engine(spark, pages, tmp_path_factory):
     ticks = iter(range(1_750_000_000, 1_760_000_000))
-    return Engine(spark, Config(path=str(tmp_path_factory.mktemp("db"))), pages=pages, clock=lambda: next(ticks))
+    return Engine(spark, Config(path=str(tmp_path_factory.mktemp("db")), semantic_threshold=-1.0), pages=pages, clock=lambda: next(ticks))
 
 
 def test_search_and_read(engine):
