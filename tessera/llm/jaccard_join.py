@@ -28,14 +28,17 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if, materialize, table
 from .components import contract
-from .shingles import shingle_sets, slices_by_bytes
+from .shingles import few_rows, shingle_sets, slices_by_bytes, tidy
 
 #: Bytes of text that a task shingles at once, and packed tokens that it holds before it hands them on.
-TEXT_BYTES, HELD_TOKENS = 4_000_000, 1_500_000
+TEXT_BYTES, HELD_TOKENS = 1_000_000, 1_000_000
 #: Ids of sets that passed the screen are broadcast up to so many (16 MB).
 BROADCAST_ROWS = 1_000_000
 #: Verifying a pair costs as much as so many entries of the token index.
 VERIFY_COST = 40
+#: Token groups of up to so many sets list their pairs of different components; larger ones are held against an index.
+GROUP_ROWS = 48
+PAIRS_PER_TASK = 4_000_000
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 
 
@@ -107,7 +110,7 @@ def _show(docs: DataFrame, shards: int, width: int, num: int, den: int) -> DataF
             seen.clear()
             return pa.RecordBatch.from_pylist(pack.rows(True), schema)
 
-        for part in parts:
+        for part in few_rows(parts):
             ids, texts = _texts(part)
             for a, b in slices_by_bytes(list(map(len, texts)), TEXT_BYTES):
                 bounds, hashes = shingle_sets(texts[a:b], width)
@@ -150,6 +153,8 @@ def _shared(packed: DataFrame, shards: int) -> DataFrame:
         common = np.concatenate((same, [False])) | np.concatenate(([False], same))
         own, at, m = np.unique(node[common], return_index=True, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(size[common][at]), pa.array(m)], schema=schema)
+        del keys, nodes, sizes, key, node, size, order, common
+        tidy()
 
     counts = packed.repartition(shards, "shard").mapInArrow(run, "node long, size int, m long")
     return counts.groupBy("node", "size").agg(F.sum("m").alias("m"))
@@ -161,7 +166,7 @@ def _tokens_of(docs: DataFrame, shards: int, width: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = _Packer(shards)
-        for part in parts:
+        for part in few_rows(parts):
             wanted, texts = _texts(part)
             for a, b in slices_by_bytes(list(map(len, texts)), TEXT_BYTES):
                 bounds, hashes = shingle_sets(texts[a:b], width)
@@ -177,8 +182,8 @@ def _tokens_of(docs: DataFrame, shards: int, width: int) -> DataFrame:
 
 
 def _counted(packed: DataFrame, shards: int) -> DataFrame:
-    """home, node, size, tokens, counts: of each set the tokens of this task's shards that other sets have too, with how many sets have them."""
-    schema = pa.schema([("home", pa.int32()), ("node", pa.int64()), ("size", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
+    """home, nodes, sizes, lengths, tokens, counts: of the sets of a home, one after the other, the tokens of this task's shards that other sets have too, with how many sets have them."""
+    schema = pa.schema([("home", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary()), ("counts", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_tokens, nodes, sizes = [], [], []
@@ -197,19 +202,17 @@ def _counted(packed: DataFrame, shards: int) -> DataFrame:
         count = times[group].astype(np.int32)
         keep = count > 1
         token, node, size, count = token[keep], node[keep], size[keep], count[keep]
-        order = np.argsort(node, kind="stable")
-        token, node, size, count = token[order], node[order], size[order], count[order]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(node)) + 1, [len(node)]))
-        rows = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                rows.append({"home": int(node[a] % shards), "node": int(node[a]), "size": int(size[a]), "tokens": token[a:b].tobytes(), "counts": count[a:b].tobytes()})
-            if len(rows) >= 4096:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                rows = []
-        yield pa.RecordBatch.from_pylist(rows, schema)
+        home = (node % shards).astype(np.int32)
+        order = np.lexsort((node, home))
+        token, node, size, count, home = token[order], node[order], size[order], count[order], home[order]
+        for h in np.unique(home):
+            a, b = np.searchsorted(home, [h, h + 1])
+            own, at, lengths = np.unique(node[a:b], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_pylist([{"home": int(h), "nodes": own.tobytes(), "sizes": size[a:b][at].tobytes(), "lengths": lengths.astype(np.int32).tobytes(), "tokens": token[a:b].tobytes(), "counts": count[a:b].tobytes()}], schema)
+        del all_tokens, nodes, sizes, token, node, size, count, home, order
+        tidy()
 
-    return packed.repartition(shards, "shard").mapInArrow(run, "home int, node long, size int, tokens binary, counts binary")
+    return packed.repartition(shards, "shard").mapInArrow(run, "home int, nodes binary, sizes binary, lengths binary, tokens binary, counts binary")
 
 
 def _choose(counts: np.ndarray, n: int, need: int) -> int:
@@ -234,9 +237,12 @@ def _sets(counted: DataFrame, shards: int, num: int, den: int) -> DataFrame:
         held: dict[int, list] = {}
         for part in parts:
             for row in part.to_pylist():
-                held.setdefault(row["node"], [row["size"], [], []])
-                held[row["node"]][1].append(np.frombuffer(row["tokens"], np.uint64))
-                held[row["node"]][2].append(np.frombuffer(row["counts"], np.int32))
+                nodes, sizes, lengths, tokens, counts = (np.frombuffer(row[k], t) for k, t in (("nodes", np.int64), ("sizes", np.int32), ("lengths", np.int32), ("tokens", np.uint64), ("counts", np.int32)))
+                ends = np.cumsum(lengths)
+                for node, size, a, b in zip(nodes.tolist(), sizes.tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+                    own = held.setdefault(node, [size, [], []])
+                    own[1].append(tokens[a:b])
+                    own[2].append(counts[a:b])
         rows = []
         for node, (n, tokens, counts) in held.items():
             token, count = np.concatenate(tokens), np.concatenate(counts).astype(np.int64)
@@ -284,6 +290,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, shards: int, num: int, den: int)
             if den * both >= num * (n + m - both):
                 found.append({"a": a, "b": b})
         yield pa.RecordBatch.from_pylist(found, schema)
+        have.clear()
+        tidy()
 
     return ask.union(sent).repartition(shards, "home").mapInArrow(run, "a long, b long")
 
@@ -294,30 +302,78 @@ def _labelled(index: DataFrame, comps: DataFrame | None) -> DataFrame:
     return index.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _pivots(index: DataFrame, order: F.Column, tries: int) -> DataFrame:
-    """Pairs of a set and the first, by ``order``, of its token groups; of these the ``tries`` that most of its tokens name."""
+def _pivots(index: DataFrame, order: F.Column, tries: int, central: bool) -> DataFrame:
+    """Pairs of a set and the first, by ``order``, of its token groups. Of these ``tries`` stay: the most central, or those that most of its tokens name."""
     first = index.groupBy("token").agg(F.max(F.struct(order.alias("o"), "node", "n", "comp")).alias("p"))
     near = index.join(first, "token").filter("comp <> p.comp and 4 * least(n, p.n) >= 3 * greatest(n, p.n)")
-    votes = near.groupBy(F.col("node").alias("a"), F.col("p.node").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "b")), False), 1, tries).alias("best"))
+    votes = near.groupBy(F.col("node").alias("a"), F.col("p.node").alias("b")).agg(F.count(F.lit(1)).alias("votes"), F.max("p.o").alias("o"))
+    by = F.struct("o", "votes", "b") if central else F.struct("votes", "o", "b")
+    best = votes.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(by), False), 1, tries).alias("best"))
     return best.select("a", F.explode("best.b").alias("b"))
 
 
-def _rest(index: DataFrame) -> DataFrame:
-    """Every pair of different components that shares enough prefix tokens.
+def _open(index: DataFrame) -> DataFrame:
+    """The index rows of tokens that sets of several components have, with the token's largest component (main) and its number of rows (k)."""
+    sizes = index.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("k")).filter("comps > 1")
+    return index.join(main.drop("comps"), "token")
+
+
+def _rest(rows: DataFrame) -> DataFrame:
+    """Every pair of different components that shares enough prefix tokens, of token groups of a bounded size.
 
-    In each token group the members of its largest component meet the others, and the others
-    meet each other; members of one component never meet.
+    The members of a group's largest component meet the others, and the others meet each
+    other; members of one component never meet.
     """
-    sizes = index.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    open_ = index.join(main, "token")
-    a = open_.filter("comp <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "ell", "comp")])
-    pairs = a.join(open_, "token").filter("comp <> comp_a and (comp = main or node_a < node) and 4 * least(n, n_a) >= 3 * greatest(n, n_a)")
+    a = rows.filter("comp <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "ell", "comp")])
+    pairs = a.join(rows, "token").filter("comp <> comp_a and (comp = main or node_a < node) and 4 * least(n, n_a) >= 3 * greatest(n, n_a)")
     pairs = pairs.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b"), F.least("ell", "ell_a").alias("ell"))
     return pairs.groupBy("a", "b", "ell").agg(F.count(F.lit(1)).alias("m")).filter("m >= ell").select("a", "b")
 
 
+def _families(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components in the larger token groups, whose pairs are never rows.
+
+    Groups with one main component are a family. A family's outsiders (sets of other components)
+    are dealt over as many tasks as their comparisons need, and each is held against an
+    inverted index of all members: all overlaps at once. Of a set's links to a component one is told.
+    """
+    members = materialize(rows.select("main", "node", "comp").distinct(), "join-families")
+    size = members.groupBy("main").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("comp") != F.col("main")).cast("long")).alias("m")).select("main", F.greatest(F.lit(1), F.ceil(F.col("k") * F.col("m") / PAIRS_PER_TASK)).cast("int").alias("parts"))
+    dealt = members.join(size, "main")
+    outside = dealt.filter("comp <> main").select("main", F.pmod(F.hash("node", F.lit(3)), "parts").alias("part"), "node", "comp", F.lit(True).alias("asks"))
+    inside = dealt.select("main", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "comp", F.lit(False).alias("asks"))
+    both = outside.unionByName(inside).groupBy("main", "part", "node", "comp").agg(F.max("asks").alias("asks"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(members: list[tuple]) -> list[dict]:
+        node, comp, n = (np.array([m[i] for m in members], np.int64) for i in (0, 1, 3))
+        sets = [np.frombuffer(m[4], np.uint64) for m in members]
+        tokens, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        order = np.argsort(tokens, kind="stable")
+        tokens, who = tokens[order], who[order]
+        found = []
+        for i, m in enumerate(members):
+            if m[2]:
+                a, b = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
+                shared = np.bincount(np.concatenate([who[x:y] for x, y in zip(a, b, strict=True)]), minlength=len(sets))
+                near = np.flatnonzero((den * shared >= num * (n[i] + n - shared)) & (comp != comp[i]))
+                _, first = np.unique(comp[near], return_index=True)
+                found += [{"a": int(node[i]), "b": int(node[k])} for k in near[first]]
+        return found
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for part in parts:
+            for row in part.to_pylist():
+                held.setdefault((row["main"], row["part"]), []).append((row["node"], row["comp"], row["asks"], row["n"], row["tokens"]))
+        for members in held.values():
+            yield pa.RecordBatch.from_pylist(links(members), schema)
+
+    sent = both.join(sets.select("node", "n", "tokens"), "node").select("main", "part", "node", "comp", "asks", "n", "tokens")
+    return sent.repartition("main", "part").mapInArrow(run, "a long, b long")
+
+
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """(meta, comps): doc_id, node, n of every row; node, comp of every set that has a partner.
 
@@ -340,9 +396,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links, comps = None, None
     for k in range(rounds + 1):
         now = _labelled(index, comps)
-        order = F.col("central") if k == 0 else F.xxhash64("node", F.lit(k))
-        pairs = _pivots(now, order, 2) if k < rounds else _rest(now)
-        found = materialize(_verify(pairs, sets, shards, num, den), "join-links")
+        if k < rounds:
+            found = _verify(_pivots(now, F.col("central") if k == 0 else F.xxhash64("node", F.lit(k)), 2, k == 0), sets, shards, num, den)
+        else:
+            left = materialize(_open(now), "join-open")
+            found = _verify(_rest(left.filter(F.col("k") <= GROUP_ROWS)), sets, shards, num, den)
+            found = found.union(_families(left.filter(F.col("k") > GROUP_ROWS), sets, num, den))
+        found = materialize(found, "join-links")
         links = found if links is None else links.union(found)
         comps = contract(links)
     return meta, comps
