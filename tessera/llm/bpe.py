@@ -19,9 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .shingles import tidy
 
 #: Pieces and pairs that are remembered in a worker; beyond it the memory starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 #: Longer pieces are encoded without being remembered.
 CACHE_CHARS = 64
 
@@ -244,6 +245,7 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if with_ids:
                     columns["ids"] = pa.array(whole_ids, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        tidy()
 
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS STRING) AS text")
     kind = rows.schema["doc_id"].dataType.simpleString()

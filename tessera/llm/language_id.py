@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .shingles import mix
+from .shingles import mix, tidy
 
 #: Documents that a model is fitted on, at most; words of them that the driver holds, at most. Neither limits what is labelled.
 FIT_DOCUMENTS = 1200
@@ -219,6 +219,7 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
                 ids, texts = (whole.column(i).slice(a, batch_rows).to_pylist() for i in range(2))
                 found = own.documents(texts) if own else [(UNKNOWN, 0.0)] * len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([i is not None and held_out(i) for i in ids]), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        tidy()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

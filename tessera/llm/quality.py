@@ -39,7 +39,8 @@ def text_view(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pairs = np.unique(owner.astype(np.int64) << WORD_BITS | (lower >> np.uint64(64 - WORD_BITS)).astype(np.int64))
     count = np.bincount(owner, minlength=n).astype(float)
     some = np.maximum(count, 1)
-    distinct = np.bincount(np.unique(np.stack([owner.astype(np.uint64), mix(lower)]), axis=1)[0].astype(np.int64), minlength=n) if len(owner) else np.zeros(n)
+    _, once = np.unique(lower ^ mix(owner.astype(np.uint64) + np.uint64(1)), return_index=True)
+    distinct = np.bincount(owner[once], minlength=n)
     again = np.bincount(owner[1:][(lower[1:] == lower[:-1]) & (owner[1:] == owner[:-1])], minlength=n)
     form = np.zeros((n, N_FORM))
     for i, t in enumerate(texts):

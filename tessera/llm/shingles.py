@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _MASK = (1 << 64) - 1
@@ -100,7 +103,15 @@ def slices_by_bytes(sizes: list[int], most: int) -> list[tuple[int, int]]:
 
 
 def few_rows(parts: Iterator, rows: int = 256) -> Iterator:
-    """Arrow batches in slices, so that Python holds the texts of a few rows at a time."""
+    """Arrow batches in slices, so that Python holds the texts of a few rows at a time; the memory goes back at the end."""
     for part in parts:
         for at in range(0, part.num_rows, rows):
             yield part.slice(at, rows)
+    tidy()
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system. Workers live on after a task, and the next stage needs the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
