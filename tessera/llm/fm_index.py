@@ -21,20 +21,24 @@ class WaveletMatrix:
             self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(block))[:-1])).astype(np.int32))
             self.zeros.append(n - int(bit.sum()))
             now = np.concatenate((now[~bit], now[bit]))
+        every = np.arange(n_symbols)
+        self.starts = self._walk(every, np.zeros(n_symbols, np.int64))
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         block, within = at >> 6, (at & 63).astype(np.uint64)
         return self.counts[level][block] + np.bitwise_count(self.blocks[level][block] & ((np.uint64(1) << within) - np.uint64(1)))
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before the position beside it."""
-        low, high = np.zeros(len(at), np.int64), at.astype(np.int64)
+    def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where a position of the sequence comes to lie, level by level, on the path of a symbol."""
         for k in range(self.levels):
             one = ((symbol >> (self.levels - 1 - k)) & 1).astype(bool)
-            ones_low, ones_high = self._ones(k, low), self._ones(k, high)
-            low = np.where(one, self.zeros[k] + ones_low, low - ones_low)
-            high = np.where(one, self.zeros[k] + ones_high, high - ones_high)
-        return high - low
+            ones = self._ones(k, at)
+            at = np.where(one, self.zeros[k] + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each symbol stands before the position beside it."""
+        return self._walk(symbol, at) - self.starts[symbol]
 
 
 class FmIndex:
@@ -52,8 +56,9 @@ class FmIndex:
         while reach < depth:
             after = np.zeros(n, np.int64)
             after[: n - reach] = rank[reach:] + 1
-            order = np.argsort(rank * (n + n_symbols + 2) + after, kind="stable")
-            key = (rank * (n + n_symbols + 2) + after)[order]
+            both = rank * (n + n_symbols + 2) + after
+            order = np.argsort(both)  # ties may stand in any order: they agree on as many symbols as are looked at
+            key = both[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
             reach *= 2
@@ -67,18 +72,21 @@ class FmIndex:
         a, b = ranks[half][order], rest[order]
         fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         self.group_starts = np.flatnonzero(fresh)
+        self.group_ends = np.append(self.group_starts[1:], n)
         self.group = np.cumsum(fresh) - 1
         self.wavelet = WaveletMatrix(text[order - 1], n_symbols)
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n_symbols))))
-        self.size = n
 
     def extend(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: intervals of symbol + pattern from those of pattern."""
         both = self.wavelet.rank(np.concatenate((symbol, symbol)), np.concatenate((low, high)))
         return self.before[symbol] + both[: len(low)], self.before[symbol] + both[len(low) :]
 
+    def first(self, low: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where the interval of symbol + pattern begins. Of a pattern that is known to occur this is all that is needed: shorten() gives the rest."""
+        return self.before[symbol] + self.wavelet.rank(symbol, low)
+
     def shorten(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the first ``depth`` symbols of the suffixes at ``low``."""
         g = self.group[low]
-        ends = np.append(self.group_starts[1:], self.size)
-        return self.group_starts[g], ends[g]
+        return self.group_starts[g], self.group_ends[g]

@@ -120,20 +120,18 @@ def repeated_windows(sequences: list[np.ndarray], docs: np.ndarray, window: int)
     index = FmIndex(text, len(symbols) + 1, window)
     of = np.repeat(docs, lengths + 1)[index.suffixes]
     earliest = np.minimum.reduceat(of, index.group_starts)
-    found = [np.zeros(n - window + 1, bool) for n in lengths]
+    found = np.zeros(len(text), bool)
     order = np.argsort(-lengths, kind="stable")
-    low, high = np.zeros(len(order), np.int64), np.full(len(order), len(text))
-    for step in range(int(lengths.max(initial=0))):
-        alive = int(np.searchsorted(-lengths[order], -step, side="left"))
-        own = order[:alive]
-        symbol = text[starts[own] + lengths[own] - 1 - step]
-        low, high = index.extend(low[:alive], high[:alive], symbol)
+    low = np.zeros(len(order), np.int64)
+    alive = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")
+    for step, n in enumerate(alive):
+        own = order[:n]
+        place = starts[own] + lengths[own] - 1 - step
+        low = index.first(low[:n], text[place])  # the sequences are indexed themselves, so every pattern occurs
         if step >= window - 1:
-            low, high = index.shorten(low)
-            hit = earliest[index.group[low]] < docs[own]
-            for k in np.flatnonzero(hit):
-                found[own[k]][lengths[own[k]] - 1 - step] = True
-    return found
+            low, _ = index.shorten(low)
+            found[place] = earliest[index.group[low]] < docs[own]
+    return [found[a : a + n - window + 1] for a, n in zip(starts, lengths, strict=True)]
 
 
 def search(routed: DataFrame, shards: int, window: int) -> DataFrame:
