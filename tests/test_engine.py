@@ -33,8 +33,8 @@ def test_search_and_read(engine):
     assert engine.list_sessions() == ["s"] and engine.reputation().count() == 5
     found = engine.query("decorators wrap functions", "s", 3)
     assert 0 < len(found) <= 3 and "function" in found[0]["content"]
-    context = engine.build_context("decorators wrap functions", "s", token_budget=500)
-    assert context.total_tokens <= 500 and context.chunks and "[Source:" in context.to_prompt() and context.to_jsonl() and context.to_json() and context.to_mongodb("s")
+    context = engine.build_context("decorators wrap functions", "s", token_budget=3000)
+    assert context.total_tokens <= 3000 and context.chunks and "[Source:" in context.to_prompt() and context.to_jsonl() and context.to_json() and context.to_mongodb("s")
     assert engine.llm_context("decorators wrap functions", "s").startswith("[RETRIEVAL CONTEXT]\nquestion: decorators")
     assert not engine.is_stale("s", 1e9) and engine.is_stale("none")
     with pytest.raises(errors.SessionNotFound):
