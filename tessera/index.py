@@ -78,6 +78,6 @@ class ChunkStore:
 def staleness(chunks: DataFrame, as_of: Column, max_age_hours: float = 24) -> DataFrame:
     """session, latest, stale: by the largest time stamp as a string, taken as UTC. Only two columns are read."""
     rows = chunks.groupBy("session").agg(F.max("timestamp").alias("latest"))
-    at = F.try_to_timestamp(F.substring("latest", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    at = F.coalesce(F.try_to_timestamp(F.substring("latest", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp("latest", F.lit("yyyy-MM-dd")))
     hours = (F.unix_micros(as_of) - F.unix_micros(at)) / 3600e6
     return rows.withColumn("stale", F.coalesce(hours > max_age_hours, F.lit(True)))
