@@ -53,17 +53,21 @@ def tokens(text: str) -> int:
     return max(1, len(text) // 4)
 
 
-def _shingles(text: str, k: int) -> set[str]:
+def shingles(text: str, k: int) -> set[str]:
     t = text.lower().strip()
     return {t[i : i + k] for i in range(len(t) - k + 1)}
 
 
+def like(own: set[str], other: set[str], threshold: float) -> bool:
+    return bool(own and other and len(own & other) >= threshold * len(own | other))
+
+
 def keep_unlike(items: list[str], k: int, threshold: float, last: int) -> list[int]:
     """Indices of the items that aren't like any of the ``last`` items kept before."""
     kept: list[tuple[int, set[str]]] = []
     for i, item in enumerate(items):
-        own = _shingles(item, k)
-        if not any(own and other and len(own & other) >= threshold * len(own | other) for _, other in kept[-last:]):
+        own = shingles(item, k)
+        if not any(like(own, other, threshold) for _, other in kept[-last:]):
             kept.append((i, own))
     return [i for i, _ in kept]
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .chunk import keep_unlike
+from .chunk import like, shingles
 
 BUDGET, MOST_CHUNKS, LEAST, MOST, PER_DOMAIN, MIN_SCORE, REUSE, PENALTY = 3000, 10, 80, 400, 3, 0.25, 0.75, 0.15
 
@@ -44,23 +46,51 @@ def allocate(rows: DataFrame, budget: Column | int = BUDGET, query: str = "query
     return rows.withColumn("allocated_tokens", F.greatest(F.lit(LEAST), F.least(F.lit(MOST), share)).cast("int"))
 
 
+def _same(a, b) -> bool:
+    """Whether two keys of rows are equal; missing ones are."""
+    return a == b or (a != a and b != b)
+
+
+def _in_order(rows: DataFrame, query: str, pos: str) -> DataFrame:
+    """Each query's rows in one partition, best first, to be read as a stream. The sort spills, so a query of any length fits."""
+    return rows.repartition(F.col(query)).sortWithinPartitions(query, F.desc_nulls_last("score"), pos)
+
+
 def greedy_cap(rows: DataFrame, budget: int = BUDGET, query: str = "query_id", tokens: str = "tokens", pos: str = "pos") -> DataFrame:
-    """Rows taken by score as long as they fit; one that doesn't is skipped and smaller ones may follow. Lists are short: a native fold."""
-    listed = rows.groupBy(query).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col(pos).alias("p"), F.col(tokens).cast("long").alias("t")))).alias("l"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
-    fits = lambda s, x: s["used"] + x["t"] <= budget
-    fold = F.aggregate("l", start, lambda s, x: F.struct(F.when(fits(s, x), s["used"] + x["t"]).otherwise(s["used"]).alias("used"), F.when(fits(s, x), F.array_append(s["taken"], x["p"].cast("long"))).otherwise(s["taken"]).alias("taken")))
-    kept = listed.select(query, F.explode(fold["taken"]).alias(pos))
+    """Rows taken by score as long as they fit; one that doesn't is skipped and smaller ones may follow. A task holds one sum, not the query's rows."""
+    def fold(parts):
+        current, spent = object(), 0
+        for part in parts:
+            taken = []
+            for q, t in zip(part[query], part["_t"], strict=True):
+                if not _same(q, current):
+                    current, spent = q, 0
+                taken.append(spent + t <= budget)
+                spent += t if taken[-1] else 0
+            yield part.loc[taken, [query, pos]]
+
+    asked = rows.select(query, pos, "score", F.col(tokens).cast("long").alias("_t")).filter(F.col("_t") <= budget)
+    kept = _in_order(asked, query, pos).mapInPandas(fold, asked.select(query, pos).schema)
     return rows.join(kept, [query, pos], "left_semi")
 
 
-def unlike(rows: DataFrame, query: str = "query_id", k: int = 4, threshold: float = 0.80, last: int = 10) -> DataFrame:
-    """Without chunks that are near duplicates of one of the last ten kept, by score. A query's candidates are few (k of a search)."""
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["score", "pos"], ascending=[False, True], kind="stable")
-        return part.iloc[keep_unlike(part["content"].fillna("").tolist(), k, threshold, last)]
+def unlike(rows: DataFrame, query: str = "query_id", k: int = 4, threshold: float = 0.80, last: int = 10, pos: str = "pos") -> DataFrame:
+    """Without chunks that are near duplicates of one of the last ten kept, by score. A task holds those ten and a batch of rows."""
+    def fold(parts):
+        current, kept = object(), deque(maxlen=last)
+        for part in parts:
+            taken = []
+            for q, text in zip(part[query], part["content"].fillna(""), strict=True):
+                if not _same(q, current):
+                    current = q
+                    kept.clear()
+                own = shingles(text, k)
+                taken.append(not any(like(own, other, threshold) for other in kept))
+                if taken[-1]:
+                    kept.append(own)
+            yield part[pd.Series(taken, index=part.index, dtype=bool)]
 
-    return rows.groupBy(query).applyInPandas(fold, rows.schema)
+    return _in_order(rows, query, pos).mapInPandas(fold, rows.schema)
 
 
 def build_context(chunks: DataFrame, budget: int = BUDGET, reputation: DataFrame | None = None, used: DataFrame | None = None, query: str = "query_id") -> DataFrame:
@@ -71,7 +101,7 @@ def build_context(chunks: DataFrame, budget: int = BUDGET, reputation: DataFrame
     the next turn of the session), place.
     """
     budget = min(budget or BUDGET, BUDGET)
-    rows = unlike(score_chunks(chunks, reputation, used, query), query).filter(F.col("score") >= MIN_SCORE)
+    rows = unlike(score_chunks(chunks, reputation, used, query).filter(F.col("score") >= MIN_SCORE), query)  # lower ones come last, so none is like them
     rows = diversity_cap(rows, query)
     order = Window.partitionBy(query).orderBy(F.desc("score"), "pos")
     rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MOST_CHUNKS)

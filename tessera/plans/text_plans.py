@@ -168,7 +168,7 @@ def chunks_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("coherence_score"), 6).alias("coherence"))
 
 
-# The reference tables' roles for context assembly: a query per source, documents ranked by id.
+# The reference tables' roles for context assembly: a query per source, documents ranked by id. The queries take all of them; their SQL still stops at 40.
 CTX = """x AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, count(*) OVER (PARTITION BY source) AS n, doc_id, lang AS domain, (10 - doc_id % 10) / 10 AS coherence, n_chars FROM documents),
 c AS (SELECT *, round(0.5 * (1 - (pos - 1) / n) + 0.3 * coherence + 0.2 * 0.5, 4) AS score FROM x WHERE pos <= 40)"""
 
@@ -178,7 +178,7 @@ def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("source")
     rows = d.select(F.col("source").alias("query_id"), F.row_number().over(by.orderBy("doc_id")).alias("pos"), F.count(F.lit(1)).over(by).alias("n"), "doc_id", F.col("lang").alias("domain"), ((10 - F.col("doc_id") % 10) / 10).alias("coherence"), "n_chars")
     score = F.round(0.5 * (1 - (F.col("pos") - 1) / F.col("n")) + 0.3 * F.col("coherence") + 0.2 * 0.5, 4)
-    return rows.filter("pos <= 40").withColumn("score", score)
+    return rows.withColumn("score", score)
 
 
 @query(f"WITH {CTX} SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, domain ORDER BY score DESC, pos) AS k FROM c) WHERE k <= 3")
@@ -208,10 +208,10 @@ def greedy_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def built_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole context builder, for a query per source over its first documents."""
+    """The whole context builder, for a query per source over all its documents."""
     from ..operators import context as X
 
     d = table(spark, sf_dir, "documents")
-    rows = d.withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("pos <= 40")
+    rows = d.withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     chunks = rows.select(F.col("source").alias("query_id"), "pos", F.col("text").alias("content"), F.concat(F.lit("https://"), "lang", F.lit(".example/"), "doc_id").alias("source"), F.lit("").alias("title"), F.col("pos").alias("chunk_index"), ((10 - F.col("doc_id") % 10) / 10).alias("coherence_score"))
     return X.build_context(chunks)
