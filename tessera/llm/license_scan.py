@@ -3,7 +3,8 @@
 Every run of two consecutive words of a document is joined by its hash to the places where it
 stands in a license template. Each match votes for a diagonal, the document position minus the
 template position. Votes are added up by document, template and diagonal; neighbouring diagonals
-of a template are merged, so that a span survives a missing or added word; and spans are verified.
+of a template are merged, so that a span survives a missing or added word; and merged diagonals are
+cut into verified spans.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ NOTICES = [
 ]
 #: Share of a notice's word pairs that a span must hold, and how many words a merged span may have gained or lost.
 SHARE, DRIFT = 0.75, 2
+#: Most word pairs of a notice.
+LONGEST = max(len(phrase.split()) - 1 for _, phrase in NOTICES)
 
 
 def templates(spark: SparkSession, base=BASE, notices=NOTICES) -> DataFrame:
@@ -47,30 +50,38 @@ def templates(spark: SparkSession, base=BASE, notices=NOTICES) -> DataFrame:
 
 
 def votes(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """doc_id, row, template, label, base, pairs, diagonal, n, from_place, to_place. The templates are a fixed list, so they are broadcast."""
+    """doc_id, row, template, label, base, pairs, diagonal, places: the template places met, each once however often the row is repeated. The templates are a fixed list, so they are broadcast."""
     words = docs.select("doc_id", "row", alnum_words(F.col("text")).alias("w"))
     pairs = words.select("doc_id", "row", F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, size(w))").alias("b"))).alias("pos", "p"))
     pairs = pairs.select("doc_id", "row", "pos", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.xxhash64("p.a", "p.b").alias("h"))
     known = F.broadcast(grams.withColumn("h", F.xxhash64("first", "second")))
     met = pairs.join(known, "h").filter("a = first and b = second").withColumn("diagonal", F.col("pos") - F.col("place"))
-    return met.groupBy("doc_id", "row", "template", "label", "base", "pairs", "diagonal").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("from_place"), F.max("place").alias("to_place"))
+    return met.groupBy("doc_id", "row", "template", "label", "base", "pairs", "diagonal").agg(F.collect_set("place").alias("places"))
 
 
-def spans(voted: DataFrame, share: float = SHARE, drift: int = DRIFT) -> DataFrame:
+def spans(voted: DataFrame, share: float = SHARE, drift: int = DRIFT, longest: int = LONGEST) -> DataFrame:
     """doc_id, row, template, label, base, start, end, fit: verified spans, words start to end (inclusive) of the document.
 
-    A base phrase needs every pair on one diagonal. For notices, diagonals at most ``drift``
-    apart are merged and need ``share`` of the pairs.
+    A base phrase needs every pair on one diagonal. For notices, diagonals at most ``drift`` apart
+    are merged. From each of their pairs on, as many words as a notice may have are looked at; they
+    are a span if they hold ``share`` of its pairs, and of spans that overlap the best one stays.
+    ``longest`` is the most pairs that a notice has.
     """
-    exact = voted.filter("base and n = pairs").select("doc_id", "row", "template", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("pairs")).alias("end"), F.lit(1.0).alias("fit"))
+    exact = voted.filter(F.col("base") & (F.size("places") == F.col("pairs"))).select("doc_id", "row", "template", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("pairs")).alias("end"), F.lit(1.0).alias("fit"))
     order = Window.partitionBy("doc_id", "row", "template").orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > drift).cast("int"), F.lit(1))
     merged = voted.filter("not base").withColumn("fresh", fresh).withColumn("cluster", F.sum("fresh").over(order))
-    merged = merged.groupBy("doc_id", "row", "template", "label", "base", "pairs", "cluster").agg(
-        F.least(F.sum("n"), F.col("pairs")).alias("n"), F.min(F.col("diagonal") + F.col("from_place")).alias("start"), F.max(F.col("diagonal") + F.col("to_place") + 1).alias("end")
-    )
-    merged = merged.filter((F.col("n") >= share * F.col("pairs")) & (F.col("end") - F.col("start") <= F.col("pairs") + drift))
-    return exact.unionByName(merged.select("doc_id", "row", "template", "label", "base", "start", "end", (F.col("n") / F.col("pairs")).alias("fit")))
+    met = merged.select("doc_id", "row", "template", "label", "base", "pairs", "cluster", "diagonal", F.explode("places").alias("place")).withColumn("start", F.col("diagonal") + F.col("place"))
+    by = Window.partitionBy("doc_id", "row", "template", "cluster").orderBy("start")
+    ahead = F.array_sort(F.collect_list(F.struct("start", "place")).over(by.rangeBetween(0, longest + drift - 1)))
+    met = met.withColumn("near", ahead).withColumn("near", F.filter("near", lambda x: x["start"] < F.col("start") + F.col("pairs") + drift))
+    met = met.withColumn("held", F.array_distinct(F.transform("near", lambda x: x["place"]))).filter(F.size("held") >= share * F.col("pairs"))
+    last = F.array_max(F.transform("held", lambda p: F.filter("near", lambda x: x["place"] == p)[0]["start"]))
+    met = met.withColumn("end", last + 1).withColumn("worth", F.struct(-F.size("held"), F.col("end") - F.col("start"), F.col("start"), F.col("end").alias("e"), F.col("start").alias("s")))
+    around = F.collect_list("worth").over(by.rangeBetween(-longest - drift, longest + drift))
+    met = met.withColumn("around", around).withColumn("around", F.filter("around", lambda x: (x["s"] <= F.col("end")) & (x["e"] >= F.col("start"))))
+    best = met.filter(F.array_min("around") == F.col("worth")).select("doc_id", "row", "template", "label", "base", "start", "end", (F.size("held") / F.col("pairs")).alias("fit"))
+    return exact.unionByName(best)
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,0 +1,24 @@
+"""License scan on repeated rows and adjacent notices."""
+
+from tessera.llm import license_scan
+
+
+def scan(spark, docs):
+    return license_scan.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+
+
+def test_identical_rows_are_judged_each(spark):
+    got = scan(spark, [(1, "Under the MIT License")] * 2 + [(2, "the general public")] * 2 + [(3, "permission is hereby granted free of charge to any")] * 2)
+    assert sorted((r["doc_id"], r["base_labels"], r["labels"], r["n_base"], r["first_word"], r["last_word"], r["score"]) for r in got) == [(1, "mit", "mit", 1, 2, 2, 1.0)] * 2 + [(2, "", "", 0, None, None, 0.0)] * 2 + [(3, "", "", 0, None, None, 0.0)] * 2
+
+
+def test_adjacent_notices_are_cut(spark):
+    texts = ["BSD license " * 3, "BSD license " * 500, "all rights all rights all rights reserved", "x " * 40 + "ISC license ISC license ISC license", "creative commons creative commons"]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan(spark, list(enumerate(texts)))}
+    assert got == {0: ("bsd", 1.0), 1: ("bsd", 1.0), 2: ("reserved", 1.0), 3: ("isc", 1.0), 4: ("", 0.0)}
+
+
+def test_adjacent_spans_stand_each(spark):
+    docs = license_scan.numbered(spark.createDataFrame([(1, "BSD license " * 4)], "doc_id long, text string"), "doc_id", "text")
+    found = license_scan.spans(license_scan.votes(docs, license_scan.templates(spark)))
+    assert sorted((r["start"], r["end"], r["fit"]) for r in found.collect()) == [(0, 1, 1.0), (2, 3, 1.0), (4, 5, 1.0), (6, 7, 1.0)]
