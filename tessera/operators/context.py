@@ -121,8 +121,12 @@ def summarize(context: DataFrame, budget: int = BUDGET, query: str = "query_id")
 
 
 def to_prompt(context: DataFrame, query: str = "query_id") -> DataFrame:
-    """query, prompt: chunks under headers, a blank line between them."""
-    head = F.format_string("[Source: %s | Score: %.2f | Chunk: %d]\n%s", "domain", F.col("score"), F.col("chunk_index"), "content")
+    """query, prompt: chunks under headers, a blank line between them.
+
+    Scores print as Python's and C's %.2f do: the exact value of the double to the nearest hundredth, ties to even.
+    """
+    printed = F.pandas_udf(lambda s: s.map("{:.2f}".format), "string")
+    head = F.format_string("[Source: %s | Score: %s | Chunk: %d]\n%s", "domain", printed(F.col("score")), F.col("chunk_index"), "content")
     return context.groupBy(query).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", head.alias("t")))), lambda x: x["t"]), "\n\n").alias("prompt"))
 
 
