@@ -11,28 +11,36 @@ from ..functions import scalar as S
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "embedding", query_col: str = "query_id", block_rows: int = 20_000) -> DataFrame:
     """query, id, similarity, rank: the k most similar rows for each of many query vectors.
 
-    Every row is compared. Queries are a stated set, broadcast in blocks of a bounded size; each
-    task keeps k rows a query before anything is shuffled. Ties go to the smaller id.
+    Every row is compared. Queries are dealt by hash into blocks of about ``block_rows``, as many as
+    needed; each block is broadcast on its own, and each task keeps k rows a query before anything is
+    shuffled. Ties go to the smaller id.
     """
+    asked = queries.select(F.col(query_col).cast("long").alias("query_id"), F.col(vec_col).alias("v"))
+    blocks = -(-asked.count() // block_rows)
+    found = vectors.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
+    for block in range(blocks):
+        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        best = _knn_block(vectors, own.collect(), k, id_col, vec_col)
+        found = best if block == 0 else found.unionByName(best)
+    return found
+
+
+def _knn_block(vectors: DataFrame, asked: list, k: int, id_col: str, vec_col: str) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    asked = queries.select(F.col(query_col).cast("long").alias("query_id"), F.col(vec_col).alias("v")).limit(block_rows + 1).collect()
-    if len(asked) > block_rows:
-        raise ValueError(f"ask for at most {block_rows} queries at once")
     if not asked:
         return vectors.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
     ids = np.array([r["query_id"] for r in asked])
     matrix = np.array([r["v"] for r in asked], np.float64)
     norms = np.sqrt((matrix**2).sum(axis=1))
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, norms))
+    step = max(1, 4_000_000 // len(ids))  # rows compared at once, so that a large block of queries fits
 
     def best(parts):
         own_ids, q, qn = shared.value
         held: pd.DataFrame | None = None
-        for part in parts:
-            if not len(part):
-                continue
+        for part in (p.iloc[i : i + step] for p in parts for i in range(0, len(p), step)):
             x = np.stack(part["v"].to_numpy()).astype(np.float64)
             sim = (x @ q.T) / (np.sqrt((x**2).sum(axis=1))[:, None] * qn[None, :] + 1e-8)
             rows = pd.DataFrame({"query_id": np.tile(own_ids, len(x)), "id": np.repeat(part["id"].to_numpy(), len(q)), "similarity": sim.ravel()})
