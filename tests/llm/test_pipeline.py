@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import corpus_pipeline  # noqa: E402
 from compare import canonical, with_sql  # noqa: E402
-from test_operators import brute_decontaminate, brute_join  # noqa: E402
+from test_training_operators import brute_decontaminate, brute_join  # noqa: E402
 
 from tessera.llm import catalog  # noqa: E402
 
