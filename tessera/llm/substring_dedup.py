@@ -1,10 +1,12 @@
-"""Removal of word passages that an earlier document holds, with an FM-index per shard.
+"""Removal of word passages that an earlier document holds, with a compressed FM-index per shard.
 
 Windows of a fixed number of words are routed by an anchor, the smallest hash among their shorter
-word runs, so that equal windows meet. Anchors that only one document has are dropped. Each
-shard indexes the segments it got (runs of windows with one anchor) and streams the same
-segments against the index: backward search keeps the interval of the last ``window`` words, and
-the smallest document of that interval tells whether the window stands in an earlier document.
+word runs, so that equal windows meet. Anchors that only one document has are dropped, and
+windows of anchors that very many documents have are routed by their own hash instead, so that no
+shard grows with an anchor. Each shard indexes the segments it got (runs of windows with one key) but
+those of a key's last document, and streams those of later documents against the index: backward
+search over the wavelet matrix, with the earliest owner of the interval, gives the matching
+statistics, and places whose match reaches a window's length are reported.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if, materialize, table
 from .fm_index import FmIndex
-from .shingles import few_rows, gram_hashes, slices_by_bytes, word_hashes
+from .shingles import few_rows, gram_hashes, mix, slices_by_bytes, tidy, word_hashes
 
 WINDOW, ANCHOR_WORDS = 50, 10
 TEXT_BYTES = 1_000_000
-#: Words that one index holds, unless a single anchor has more.
-INDEX_WORDS = 1_000_000
+#: Words that one index holds, and the packed bytes that a shard is to get.
+INDEX_WORDS, SHARD_BYTES = 600_000, 16_000_000
+#: Documents with an anchor beyond which its windows are routed by their own hash.
+HOT_DOCUMENTS = 1024
 #: Documents with something to remove are broadcast up to so many; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 200_000
 
 
 def window_anchors(words: np.ndarray, owner: np.ndarray, window: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +49,12 @@ def window_anchors(words: np.ndarray, owner: np.ndarray, window: int, width: int
     return places, least[places]
 
 
+def window_hashes(words: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of the window at each place."""
+    grams, _ = gram_hashes(words, np.zeros(len(words), np.int8), window)
+    return mix(grams[places] ^ np.uint64(0xA5A5))
+
+
 def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for part in few_rows(parts):
         data = [(t or "").encode() for t in part.column("text").to_pylist()]
@@ -52,28 +62,58 @@ def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part.slice(a, b - a), data[a:b]
 
 
+def _sets(column: pa.Array) -> list[set[int]]:
+    return [set(np.array(x or [], np.int64).view(np.uint64).tolist()) for x in column.to_pylist()]
+
+
+def _keys(part: pa.RecordBatch, who: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """doc_id, row, key; of keys that follow each other in a document one stays."""
+    fresh = np.concatenate(([True], (who[1:] != who[:-1]) | (keys[1:] != keys[:-1]))) if len(who) else np.empty(0, bool)
+    who, keys = pa.array(who[fresh]), keys[fresh].view(np.int64)
+    return pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("row").take(who), pa.array(keys)], names=["doc_id", "row", "key"])
+
+
+_KEYS = "doc_id long, row long, key long"
+
+
 def anchors(rows: DataFrame, window: int, width: int) -> DataFrame:
-    """doc_id, row, anchor: the distinct anchors of each document."""
+    """doc_id, row, key: the anchors of each document."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data in _batches(parts):
+            words, owner, _, _ = word_hashes(data)
+            places, least = window_anchors(words, owner, window, width)
+            yield _keys(part, owner[places], least)
+
+    return rows.filter("doc_id is not null").mapInArrow(run, _KEYS)
+
+
+def hot_windows(texts: DataFrame, window: int, width: int) -> DataFrame:
+    """doc_id, row, key: the hashes of the windows whose anchor is among the document's hot ones."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data in _batches(parts):
             words, owner, _, _ = word_hashes(data)
             places, least = window_anchors(words, owner, window, width)
-            who = owner[places]
-            change = np.concatenate(([True], (who[1:] != who[:-1]) | (least[1:] != least[:-1]))) if len(who) else np.empty(0, bool)
-            who, least = who[change], least[change]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(who)), part.column("row").take(pa.array(who)), pa.array(least.view(np.int64))], names=["doc_id", "row", "anchor"])
+            hot = _sets(part.column("hot"))
+            places = places[np.fromiter((a in hot[k] for a, k in zip(least.tolist(), owner[places].tolist(), strict=True)), bool, len(places))]
+            yield _keys(part, owner[places], window_hashes(words, places, window) if len(places) else np.empty(0, np.uint64))
+
+    return texts.mapInArrow(run, _KEYS)
+
 
-    return rows.filter("doc_id is not null").mapInArrow(run, "doc_id long, row long, anchor long")
+def shared_keys(every: DataFrame) -> DataFrame:
+    """key, n (rows) of the keys that more than one document has. Counted within tasks first."""
+    return every.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("key", "n")
 
 
-_SEGMENT = pa.schema([("shard", pa.int32()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("stop", pa.int64())])
+_SEGMENT = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("stop", pa.int64())])
 
 
 def segments(live: DataFrame, shards: int, window: int, width: int) -> DataFrame:
-    """Runs of windows with a shared anchor, with their words' hashes.
+    """Runs of windows with a shared anchor, and shared windows of hot anchors, with their words' hashes.
 
-    A run whose words an earlier document of the same task has too needs no search: it leaves
-    as finished, with stop set and no words. So of exact copies each task sends few.
+    live: doc_id, row, text, cold and hot (its shared anchors), wins (its shared windows of hot ones). A
+    run whose words an earlier document of the same task has too needs no search: it leaves as
+    finished, with stop set and no words. So of exact copies each task sends few.
     """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -83,105 +123,136 @@ def segments(live: DataFrame, shards: int, window: int, width: int) -> DataFrame
             if not len(places):
                 continue
             ids, rows = part.column("doc_id").to_pylist(), part.column("row").to_pylist()
-            shared = [np.sort(np.array(x, np.int64)).view(np.uint64) for x in part.column("anchors").to_pylist()]
-            first = np.searchsorted(owner, np.arange(len(data)))
-            who = owner[places]
+            cold, hot, wins = (_sets(part.column(c)) for c in ("cold", "hot", "wins"))
+            first, who = np.searchsorted(owner, np.arange(len(data))), owner[places]
             cuts = np.concatenate(([0], np.flatnonzero((np.diff(places) != 1) | (who[1:] != who[:-1]) | (least[1:] != least[:-1])) + 1, [len(places)]))
-            found = []
-            allowed = [set(x.tolist()) for x in shared]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                k, anchor = int(who[a]), int(least[a])
-                if anchor not in allowed[k]:
-                    continue
-                own = words[places[a] : places[b - 1] + window].tobytes()
-                digest, start = hashlib.blake2b(own, digest_size=16).digest(), int(places[a] - first[k])
-                row = {"shard": anchor % shards, "anchor": int(np.uint64(anchor).astype(np.int64)), "doc_id": ids[k], "row": rows[k], "start": start}
+            found: list[dict] = []
+
+            def send(k: int, key: int, place: int, n: int, open_run: dict | None = None) -> dict | None:
+                """The run of n windows at place; returns its row if it is finished."""
+                own = words[place : place + n - 1 + window].tobytes()
+                digest, start = hashlib.blake2b(own, digest_size=16).digest(), int(place - first[k])
                 if seen.get(digest, ids[k]) < ids[k]:
-                    found.append(row | {"stop": start + int(b - a) - 1 + window})
-                    continue
+                    if open_run and open_run["stop"] == start + window - 1:  # windows that follow each other are one range
+                        open_run["stop"] += n
+                        return open_run
+                    found.append({"shard": key % shards, "key": 0, "doc_id": ids[k], "row": rows[k], "start": start, "stop": start + n - 1 + window})
+                    return found[-1]
                 if len(seen) > 200_000:
                     seen.clear()
                 seen[digest] = ids[k]
-                found.append(row | {"words": own})
+                found.append({"shard": key % shards, "key": int(np.uint64(key).astype(np.int64)), "doc_id": ids[k], "row": rows[k], "start": start, "words": own})
+                return None
+
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                k, anchor = int(who[a]), int(least[a])
+                if anchor in cold[k]:
+                    send(k, anchor, int(places[a]), b - a)
+                elif anchor in hot[k]:
+                    last = None
+                    for place, key in zip(places[a:b].tolist(), window_hashes(words, places[a:b], window).tolist(), strict=True):
+                        last = send(k, key, place, 1, last) if key in wins[k] else None
             yield pa.RecordBatch.from_pylist(found, _SEGMENT)
 
-    return live.mapInArrow(run, "shard int, anchor long, doc_id long, row long, start long, words binary, stop long")
-
-
-def repeated_windows(sequences: list[np.ndarray], docs: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each sequence, per window: whether it also stands in a sequence of a smaller document."""
-    symbols, code = np.unique(np.concatenate(sequences), return_inverse=True)
-    lengths = np.array(list(map(len, sequences)))
-    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-    text = np.zeros(int((lengths + 1).sum()), np.int64)
-    mask = np.ones(len(text), bool)
-    mask[starts + lengths] = False
-    text[mask] = code + 1
-    index = FmIndex(text, len(symbols) + 1, window)
-    of = np.repeat(docs, lengths + 1)[index.suffixes]
-    earliest = np.minimum.reduceat(of, index.group_starts)
-    found = np.zeros(len(text), bool)
-    order = np.argsort(-lengths, kind="stable")
-    low = np.zeros(len(order), np.int64)
-    alive = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")
-    for step, n in enumerate(alive):
-        own = order[:n]
-        place = starts[own] + lengths[own] - 1 - step
-        low = index.first(low[:n], text[place])  # the sequences are indexed themselves, so every pattern occurs
-        if step >= window - 1:
-            low, _ = index.shorten(low)
-            found[place] = earliest[index.group[low]] < docs[own]
-    return [found[a : a + n - window + 1] for a, n in zip(starts, lengths, strict=True)]
+    return live.mapInArrow(run, "shard int, key long, doc_id long, row long, start long, words binary, stop long")
+
+
+def repeated_windows(groups: list[dict[bytes, int]], window: int) -> dict[bytes, np.ndarray]:
+    """For the word sequences of each group (with their first documents), per window: whether it also stands in a sequence of a smaller document.
+
+    Nobody asks for what only a group's last document has, and its first document asks for
+    nothing: the former aren't indexed, the latter not streamed.
+    """
+    indexed, streamed = [], []
+    for group in groups:
+        least, most = min(group.values()), max(group.values())
+        indexed += [(w, d) for w, d in group.items() if d < most]
+        streamed += [(w, d) for w, d in group.items() if d > least]
+    if not indexed:
+        return {}
+    known = np.frombuffer(b"".join(w for w, _ in indexed), np.uint64)
+    asked = np.frombuffer(b"".join(w for w, _ in streamed), np.uint64)
+    lengths, sizes = (np.array([len(w) // 8 for w, _ in x]) for x in (indexed, streamed))
+    docs = np.unique([d for _, d in indexed + streamed])
+    of, own = (np.searchsorted(docs, [d for _, d in x]).astype(np.int32) for x in (indexed, streamed))
+    symbols, code = np.unique(known, return_inverse=True)
+    text = np.zeros(len(known) + len(indexed), np.int64)
+    text[np.arange(len(known)) + np.repeat(np.arange(len(indexed)), lengths)] = code + 1
+    index = FmIndex(text, len(symbols) + 1, np.repeat(of, lengths + 1), window)
+    at = np.minimum(np.searchsorted(symbols, asked), len(symbols) - 1)
+    stream = np.where(symbols[at] == asked, at + 1, 0)
+    ends = np.cumsum(sizes)
+    hit = index.repeated(stream, ends - sizes, ends, own, window)
+    return {w: hit[b - n : b - window + 1] for (w, _), b, n in zip(streamed, ends.tolist(), sizes.tolist(), strict=True)}
 
 
 def search(routed: DataFrame, shards: int, window: int) -> DataFrame:
     """doc_id, row, start, stop: word ranges of a document that earlier ones hold."""
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
-    def ranges(rows: list[tuple]) -> Iterator[dict]:
-        sequences = [np.frombuffer(r[4], np.uint64) for r in rows]
-        for (_, doc, row, start, _), hit in zip(rows, repeated_windows(sequences, np.array([r[1] for r in rows]), window), strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).view(np.int8)))
-            for a, b in zip(edge[::2], edge[1::2], strict=True):
-                yield {"doc_id": doc, "row": row, "start": start + int(a), "stop": start + int(b) - 1 + window}
+    def ranges(groups: list[list[tuple]]) -> pa.RecordBatch:
+        """Members are (doc_id, row, start, words)."""
+        first = [{} for _ in groups]
+        for group, own in zip(groups, first, strict=True):
+            for doc, _, _, words in group:
+                own[words] = min(doc, own.get(words, doc))
+        hits, found = repeated_windows(first, window), []
+        runs: dict[bytes, list] = {}
+        for words, hit in hits.items():
+            edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).view(np.int8))).tolist()
+            runs[words] = list(zip(edge[::2], edge[1::2], strict=True))
+        for group, own in zip(groups, first, strict=True):
+            for doc, row, start, words in group:
+                for a, b in [(0, len(words) // 8 - window + 1)] if own[words] < doc else runs.get(words, ()):
+                    found.append((doc, row, start + a, start + b - 1 + window))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(4)], schema=schema)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, done = [], []
+        held: dict[int, list] = {}
         for part in parts:
-            for r in part.to_pylist():
-                if r["stop"] is None:
-                    held.append((r["anchor"], r["doc_id"], r["row"], r["start"], r["words"]))
-                else:
-                    done.append({k: r[k] for k in ("doc_id", "row", "start", "stop")})
-        yield pa.RecordBatch.from_pylist(done, schema)
-        held.sort(key=lambda r: r[:4])
-        at, block, size = 0, [], 0
-        while at < len(held):
-            end = at
-            while end < len(held) and held[end][0] == held[at][0]:
-                size += len(held[end][4]) // 8
-                end += 1
-            if len({r[1] for r in held[at:end]}) > 1:
-                block += held[at:end]
-            at = end
-            if block and (size > INDEX_WORDS or at == len(held)):
-                yield pa.RecordBatch.from_pylist(list(ranges(block)), schema)
+            done = part.filter(pa.compute.is_valid(part.column("stop")))
+            yield pa.RecordBatch.from_arrays([done.column(c) for c in schema.names], schema=schema)
+            rest = part.filter(pa.compute.is_null(part.column("stop")))
+            for key, *member in zip(*(rest.column(c).to_pylist() for c in ("key", "doc_id", "row", "start", "words")), strict=True):
+                held.setdefault(key, []).append(tuple(member))
+        block, size = [], 0
+        for key in sorted(held):
+            group = held.pop(key)
+            if min(m[0] for m in group) == max(m[0] for m in group):
+                continue
+            block.append(group)
+            size += sum(len(m[3]) // 8 for m in group)
+            if size > INDEX_WORDS:
+                yield ranges(block)
                 block, size = [], 0
         if block:
-            yield pa.RecordBatch.from_pylist(list(ranges(block)), schema)
+            yield ranges(block)
+        del block
+        tidy()
 
     return routed.repartition(shards, "shard").mapInArrow(run, "doc_id long, row long, start long, stop long")
 
 
-def repeated_ranges(rows: DataFrame, window: int = WINDOW, width: int = ANCHOR_WORDS) -> DataFrame:
+def repeated_ranges(rows: DataFrame, window: int = WINDOW, width: int = ANCHOR_WORDS, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
     """doc_id, row, ranges (array of struct start, stop) of the documents that hold words of earlier ones."""
-    shards = max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys, none = ["doc_id", "row"], F.array().cast("array<long>")
     every = materialize(anchors(rows, window, width), "passage-anchors")
-    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
-    live = every.join(shared, "anchor").groupBy("doc_id", "row").agg(F.collect_set("anchor").alias("anchors"))
-    texts = rows.join(live, ["doc_id", "row"]).select("doc_id", "row", "text", "anchors")
+    shared = materialize(shared_keys(every), "passage-shared")
+    hot = F.col("n") > hot_documents
+    live = every.join(shared, "key").groupBy(*keys).agg(F.collect_set(F.when(~hot, F.col("key"))).alias("cold"), F.collect_set(F.when(hot, F.col("key"))).alias("hot"))
+    live = materialize(live, "passage-live")
+    if shared.filter(hot).isEmpty():
+        live = live.withColumn("wins", none)
+    else:
+        texts = rows.join(live.filter("size(hot) > 0").select(*keys, "hot"), keys).select(*keys, "text", "hot")
+        wins = materialize(hot_windows(texts, window, width), "passage-windows")
+        wins = wins.join(shared_keys(wins), "key").groupBy(*keys).agg(F.collect_set("key").alias("wins"))
+        live = live.join(wins, keys, "left").withColumn("wins", F.coalesce("wins", none))
+    n_segments = live.agg(F.sum(F.size("cold") + F.size("wins"))).first()[0] or 0
+    shards = max(16, -(-n_segments * 8 * (window + (window - width) // 2) // SHARD_BYTES))
+    texts = rows.join(live, keys).select(*keys, "text", "cold", "hot", "wins")
     found = search(segments(texts, shards, window, width), shards, window)
-    return found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    return found.groupBy(*keys).agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -189,7 +260,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (text; null stays null without words).
 
     A word goes if a window of ``window`` words over it also starts in a document with a smaller id.
@@ -197,7 +268,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows that repeat an id are one document to each other. Only the named columns are looked at.
     """
     rows = numbered(docs, id_col, text_col)
-    ranges = materialize(repeated_ranges(rows, window), "passage-ranges")
+    ranges = materialize(repeated_ranges(rows, window, hot_documents=hot_documents), "passage-ranges")
     joined = rows.join(broadcast_if(ranges, BROADCAST_ROWS), ["doc_id", "row"], "left").select("doc_id", "text", "ranges")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,19 +179,46 @@ def brute_remove(docs, window=50):
     return sorted(out)
 
 
-def test_remove(spark):
+@pytest.mark.parametrize("hot", [1024, 3])
+def test_remove(spark, hot):
     passage, other = prose(1, 80), prose(2, 49)
     docs = [(i, " ".join(prose(100 + i, 60) + passage + prose(200 + i, 70))) for i in range(1, 20)] + [(30 + i, " ".join(other + prose(300 + i, 30))) for i in range(3)]
     docs += [(50, " ".join(passage)), (51, " ".join(passage[:50]).upper()), (52, None), (53, ""), (54, "a " * 5000), (55, "a " * 300), (60, docs[0][1]), (61, docs[0][1]), (61, docs[0][1]), (None, docs[0][1]), (0, "  ".join(passage[10:70]))]
-    got = substring_dedup.remove_repeats(table(spark, docs)).select("*", F.sha2("kept", 256).alias("h")).collect()
+    got = substring_dedup.remove_repeats(table(spark, docs), hot_documents=hot).select("*", F.sha2("kept", 256).alias("h")).collect()
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["h"]) for r in got) == brute_remove(docs)
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def brute_lengths(indexed, of, streamed, own, window):
+    """From each place of each streamed sequence, the longest match (at most a window) in a sequence of a smaller owner."""
+    def common(x, y):
+        return next((k for k in range(min(window, len(x), len(y))) if x[k] != y[k]), min(window, len(x), len(y)))
+
+    return [max([common(s[i:], t[j:]) for t, e in zip(indexed, of, strict=True) if e < d for j in range(len(t))], default=0) for s, d in zip(streamed, own, strict=True) for i in range(len(s))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_matching_statistics(seed):
+    rng = np.random.default_rng(seed)
+    window, k = int(rng.integers(2, 9)), int(rng.integers(2, 6))
+    indexed, of = [rng.integers(1, k, rng.integers(window, 30)) for _ in range(6)], rng.integers(0, 6, 6)
+    streamed, own = [rng.integers(0, k, rng.integers(window, 30)) for _ in range(5)] + [indexed[0]], rng.integers(0, 7, 6)
+    text = np.concatenate([np.append(s, 0) for s in indexed])
+    index = fm_index.FmIndex(text, k, np.repeat(of, [len(s) + 1 for s in indexed]).astype(np.int32), window)
+    ends = np.cumsum([len(s) for s in streamed])
+    starts, flat = np.concatenate(([0], ends[:-1])), np.concatenate(streamed)
+    want = np.array(brute_lengths(indexed, of, streamed, own, window))
+    assert (index.repeated(flat, starts, ends, own, window) == (want == window)).all()
+    got, _ = index.statistics(flat, starts, ends, own, window)
+    for a, b in zip(starts, ends, strict=True):  # exact until a sequence is left, from its end on
+        left = np.flatnonzero(got[a:b] != want[a:b]).max(initial=-1)
+        assert left < 0 or ((got[a : a + left + 1] == 0).all() and left + want[a + left] < window)
+
+
 def test_backward_search():
     rng = np.random.default_rng(5)
     text = np.concatenate([np.append(rng.integers(1, 4, 30), 0) for _ in range(6)])
-    index = fm_index.FmIndex(text, 4, 7)
+    index = fm_index.FmIndex(text, 4, np.zeros(len(text), np.int32), 7)
     for n in (1, 3, 7):
         for at in range(len(text) - n):
             pattern = text[at : at + n]
@@ -200,10 +227,20 @@ def test_backward_search():
             low, high = np.array([0]), np.array([len(text)])
             for symbol in pattern[::-1]:
                 low, high = index.extend(low, high, np.array([symbol]))
-            places = sorted(index.suffixes[low[0] : high[0]].tolist())
-            assert places == [p for p in range(len(text) - n + 1) if (text[p : p + n] == pattern).all()]
-            if n == 7:
-                assert [x[0] for x in index.shorten(low)] == [low[0], high[0]]
+            assert high[0] - low[0] == sum((text[p : p + n] == pattern).all() for p in range(len(text) - n + 1))
+            for k in range(1, n):  # the interval of a prefix, from that of the whole
+                a, b = np.array([0]), np.array([len(text)])
+                for symbol in pattern[:k][::-1]:
+                    a, b = index.extend(a, b, np.array([symbol]))
+                assert [x[0] for x in index.widen(low, high, np.array([k]))] == [a[0], b[0]]
+
+
+def test_range_minima():
+    values = np.random.default_rng(1).integers(0, 1000, 300).astype(np.int32)
+    least = fm_index.RangeMin(values)
+    for a in range(0, 300, 7):
+        for b in range(a + 1, 301, 5):
+            assert least.least(np.array([a]), np.array([b]))[0] == values[a:b].min()
 
 
 # ---- licenses
