@@ -1,9 +1,10 @@
 """Exact deduplication with an extendible-hash index on shared files.
 
-Every row becomes an index entry (64-bit key, SHA-256, length); the directory grows by
-doubling until no bucket is overfull; owner tasks hold whole buckets, that is key ranges,
-and keep the entries of one key as a chain. Rows of a chain are then compared byte by byte
-with the chain's head, and what differs is grouped anew by its bytes.
+Every row becomes an index entry (64-bit key, SHA-256, length). The directory begins with one
+bucket and doubles as long as a bucket is overfull; each doubling splits the overfull ones by one
+more leading bit of the key. A bucket is a range of keys; owner tasks take ranges of buckets
+and keep the entries of one key as a chain. Rows find their entry by bucket and chain, and
+are compared byte by byte with its head; what differs is grouped anew by its bytes.
 """
 
 from __future__ import annotations
@@ -11,48 +12,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, materialize, small, table, text_or_empty
+from .common import UPPER, ascii_lower, broadcast_if, materialize, small, table, text_or_empty
 
 KEY = ["key", "sha", "n_bytes"]
-#: Keys of several rows are broadcast up to so many (some 25 MB); beyond it they are joined by a shuffle.
+#: Distinct texts that a bucket holds before it is split.
+CAPACITY = 1 << 14
+#: Keys of several rows, and the directory, are broadcast up to so many rows (some 25 MB); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
 def directory(groups: DataFrame, capacity: int, max_depth: int) -> DataFrame:
-    """slot (leading max_depth bits of a key) to bucket and local depth.
+    """slot (leading max_depth bits of a key), bucket (first slot of its range), local_depth. At most 2**max_depth rows.
 
-    A bucket is the shortest key prefix with at most ``capacity`` entries: the state that
-    repeated doubling and splitting ends in. At most 2**max_depth rows.
+    Doubled until no bucket has more than ``capacity`` entries or max_depth is reached. The rounds
+    work on the counts of the slots, not on the entries.
     """
     slots = groups.groupBy(F.shiftrightunsigned("key", 64 - max_depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")).withColumn(
-        "prefix", F.expr(f"shiftright(slot, {max_depth} - depth)")
-    )
-    sums = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("filled"))
-    fits = levels.join(sums, ["depth", "prefix"]).filter((F.col("filled") <= capacity) | (F.col("depth") == max_depth))
-    return fits.groupBy("slot").agg(F.min(F.struct("depth", "prefix")).alias("leaf")).select(
-        "slot", F.col("leaf.depth").alias("local_depth"), F.expr(f"shiftleft(leaf.prefix, {max_depth} - leaf.depth)").alias("bucket")
-    )
+    leaves = materialize(slots.select("slot", "n", F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("local_depth")), "dedup-slots")
+    for depth in range(1, max_depth + 1):
+        overfull = materialize(leaves.groupBy("bucket").agg(F.sum("n").alias("filled")).filter(F.col("filled") > capacity).select("bucket", F.lit(True).alias("overfull")), "dedup-overfull")
+        if overfull.isEmpty():
+            break
+        half = F.expr(f"shiftleft(shiftright(slot, {max_depth - depth}), {max_depth - depth})")
+        split = leaves.join(broadcast_if(overfull, BROADCAST_ROWS), "bucket", "left")
+        leaves = materialize(split.select("slot", "n", F.when(F.col("overfull"), half).otherwise(F.col("bucket")).alias("bucket"), F.when(F.col("overfull"), depth).otherwise(F.col("local_depth")).alias("local_depth")), "dedup-directory")
+    return leaves.drop("n")
+
+
+def routed(rows: DataFrame, leaves: DataFrame, max_depth: int) -> DataFrame:
+    """rows with the bucket of their key."""
+    slots = broadcast_if(leaves.select("slot", "bucket"), BROADCAST_ROWS)
+    return rows.withColumn("slot", F.shiftrightunsigned("key", 64 - max_depth)).join(slots, "slot").drop("slot")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts with keys, lazily; entries on shared files; index on shared files).
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts with keys and buckets, lazily; entries on shared files; index on shared files).
 
-    The index has a row per distinct key, digest and length: bucket, local_depth, chain
-    (place in its key's chain), keep_id, size. Copies are counted before the shuffle, so a
-    group of any size arrives as one entry per map task.
+    The index has a row per distinct key, digest and length: bucket, chain (place in its key's
+    chain), keep_id, size. Copies are counted before the shuffle, so a group of any size arrives as
+    one entry per map task; then a file holds a range of buckets, written by its owner task.
     """
     keyed = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(text_or_empty(text_col)).alias("norm")).select(
         "doc_id", "norm", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("n_bytes")
     )
     entries = materialize(keyed.drop("norm"), "dedup-entries")
     groups = materialize(entries.groupBy(*KEY).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size")), "dedup-groups")
-    max_depth = min(20, max(0, groups.count() // capacity).bit_length() + 2)  # deeper than an even spread needs
-    leaves = materialize(directory(groups, capacity, max_depth), "dedup-directory")
+    max_depth = min(26, (groups.count() // capacity).bit_length() + 3)  # deeper than an even spread needs
+    leaves = directory(groups, capacity, max_depth)
     chain = Window.partitionBy("bucket", "key").orderBy("sha", "n_bytes")
-    index = groups.withColumn("slot", F.shiftrightunsigned("key", 64 - max_depth)).join(leaves, "slot")
-    index = index.repartition("bucket", "key").withColumn("chain", F.row_number().over(chain))
-    return keyed, entries, materialize(index.drop("slot").sortWithinPartitions("bucket", "key", "chain"), "dedup-index")
+    index = routed(groups, leaves, max_depth).repartitionByRange("bucket").withColumn("chain", F.row_number().over(chain))
+    index = materialize(index.sortWithinPartitions("bucket", "key", "chain"), "dedup-index")
+    return routed(keyed, leaves, max_depth), routed(entries, leaves, max_depth), index
 
 
 def collisions(keyed: DataFrame, index: DataFrame, salt_rows: int = 4096) -> DataFrame:
@@ -61,16 +71,16 @@ def collisions(keyed: DataFrame, index: DataFrame, salt_rows: int = 4096) -> Dat
     Only entries of two rows or more are looked at, and only their texts are shuffled. A large entry is dealt over as many
     salts as it has thousands of rows, so no task compares more than a few of them.
     """
-    multi = index.filter("size > 1").select(*KEY, "keep_id", F.ceil(F.col("size") / salt_rows).cast("int").alias("salts"))
+    multi = index.filter("size > 1").select("bucket", *KEY, "keep_id", F.ceil(F.col("size") / salt_rows).cast("int").alias("salts"))
     multi = materialize(multi, "dedup-multi")
-    wanted = F.broadcast(multi.select("key").distinct()) if small(multi, BROADCAST_ROWS) else multi.select("key").distinct()
-    members = materialize(keyed.join(wanted, "key", "left_semi").join(multi, KEY).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), "salts").cast("int")), "dedup-members")
+    wanted = F.broadcast(multi.select("bucket", "key").distinct()) if small(multi, BROADCAST_ROWS) else multi.select("bucket", "key").distinct()
+    members = materialize(keyed.join(wanted, ["bucket", "key"], "left_semi").join(multi, ["bucket", *KEY]).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), "salts").cast("int")), "dedup-members")
     heads = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(KEY)
-    heads = heads.select(*KEY, F.col("norm").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return members.join(heads, [*KEY, "salt"]).filter("norm <> head").select("doc_id", *KEY, "norm")
+    heads = heads.select("bucket", *KEY, F.col("norm").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return members.join(heads, ["bucket", *KEY, "salt"]).filter("norm <> head").select("doc_id", *KEY, "norm")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal
@@ -80,8 +90,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     keyed, entries, index = build_index(docs, id_col, text_col, capacity)
     odd = materialize(collisions(keyed, index), "dedup-collisions")
-    multi = materialize(index.filter("size > 1").select(*KEY, "keep_id", "size"), "dedup-owners")
-    rows = entries.join(multi, KEY, "left")
+    multi = materialize(index.filter("size > 1").select("bucket", *KEY, "keep_id", "size"), "dedup-owners")
+    rows = entries.join(broadcast_if(multi, BROADCAST_ROWS // 4), ["bucket", *KEY], "left")
     size, keep = F.coalesce("size", F.lit(1)), F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     if not odd.isEmpty():
         split = odd.groupBy(*KEY, "norm").agg(F.max("doc_id").alias("odd_keep"), F.count(F.lit(1)).alias("odd_size"))

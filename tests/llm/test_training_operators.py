@@ -39,9 +39,10 @@ def prose(seed, n, vocabulary=4000):
 
 
 # ---- exact deduplication
-def test_exact(spark):
+@pytest.mark.parametrize("capacity", [exact_dedup.CAPACITY, 1])
+def test_exact(spark, capacity):
     rows = [(1, "Ab É"), (2, "aB É"), (3, "ab é"), (4, None), (5, ""), (6, "x" * 200_000), (7, "X" * 200_000), (7, "x" * 200_000), (None, "ab É"), (None, "only")]
-    got = exact_dedup.exact_dedup(table(spark, rows)).collect()
+    got = exact_dedup.exact_dedup(table(spark, rows), capacity=capacity).collect()
     want = {}
     for i, t in rows:
         want.setdefault((t or "").translate(LOWER), []).append(i)
@@ -52,16 +53,30 @@ def test_exact(spark):
 
 def test_collisions_are_told_apart(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "a", "b", "b"])], "doc_id long, norm string")
-    keyed = rows.select("doc_id", "norm", F.lit(1).cast("long").alias("key"), F.lit("s").alias("sha"), F.lit(1).alias("n_bytes"))
-    index = keyed.groupBy("key", "sha", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
+    keyed = rows.select("doc_id", "norm", F.lit(0).cast("long").alias("bucket"), F.lit(1).cast("long").alias("key"), F.lit("s").alias("sha"), F.lit(1).alias("n_bytes"))
+    index = keyed.groupBy("bucket", "key", "sha", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
     assert sorted(r["doc_id"] for r in exact_dedup.collisions(keyed, index, salt_rows=2).collect()) == [0, 2]
 
 
 def test_directory_splits(spark):
     groups = spark.range(1000).select(F.xxhash64("id").alias("key"))
     leaves = exact_dedup.directory(groups, 100, 6)
-    per = groups.withColumn("slot", F.shiftrightunsigned("key", 58)).join(leaves, "slot").groupBy("bucket").count().collect()
-    assert len(per) > 4 and max(r["count"] for r in per) <= 100
+    per = exact_dedup.routed(groups, leaves, 6).groupBy("bucket").count().collect()
+    assert len(per) > 4 and sum(r["count"] for r in per) == 1000 and max(r["count"] for r in per) <= 100
+    ranges = {(r["bucket"], r["local_depth"]) for r in leaves.collect()}
+    assert max(d for _, d in ranges) > 2 and all(b % (1 << 6 - d) == 0 for b, d in ranges)
+    covered = sorted((b, b + (1 << 6 - d)) for b, d in ranges)  # buckets are ranges of keys that follow each other
+    assert all(x[1] <= y[0] for x, y in zip(covered, covered[1:], strict=False))
+    assert {r["local_depth"] for r in exact_dedup.directory(groups, 1000, 6).collect()} == {0}
+
+
+def test_index_files_hold_ranges(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 300).cast("string").alias("text"))
+    _, _, index = exact_dedup.build_index(docs, capacity=8)
+    files = index.groupBy(F.input_file_name().alias("f")).agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).orderBy("a").collect()
+    assert index.select("bucket").distinct().count() > 8 and all(x["b"] < y["a"] for x, y in zip(files, files[1:], strict=False))
+    got = exact_dedup.exact_dedup(docs, capacity=8).collect()
+    assert all((r["keep_id"], r["group_size"]) == ((r["doc_id"] % 300) + 300, 2) if r["doc_id"] % 300 < 200 else r["group_size"] == 1 for r in got) and len(got) == 500
 
 
 # ---- decontamination
