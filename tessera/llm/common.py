@@ -57,6 +57,11 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A number that tells rows of one id with different texts apart; null counts as empty text."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def alnum_words(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits and of anything beyond ASCII."""
     return F.array_remove(F.split(ascii_lower(text), NON_WORD), "")

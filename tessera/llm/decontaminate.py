@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ANY_WORD, NON_WORD, UPPER, alnum_words, broadcast_if, materialize, table, text_or_empty
+from .common import ANY_WORD, NON_WORD, UPPER, alnum_words, broadcast_if, materialize, row_key, table, text_or_empty
 
 #: Terms and anchors of the test items are broadcast up to so many rows (some 100 MB); beyond that they are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -20,7 +20,7 @@ BROADCAST_ROWS = 1_000_000
 def _corpus(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row tells rows apart even where doc_id is null or repeated."""
     text = text_or_empty(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), text.alias("text"))
 
 
 def _items(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -82,7 +82,7 @@ def phrase_hits(corpus: DataFrame, items: DataFrame, found: DataFrame) -> DataFr
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, row (common.row_key()).
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one window.
     Words of the document inside any occurrence are hit. Null texts have no words; items
@@ -112,6 +112,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
         F.sha2(F.array_join(found, ","), 256).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"),
         F.array_join(found, ",").alias("items"),
+        "d.row",
     )
 
 
@@ -125,7 +126,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slack: int = 3, window:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "row")
 
 
 def _sql_words(column: str) -> str:

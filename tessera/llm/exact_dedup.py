@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, broadcast_if, materialize, small, table, text_or_empty
+from .common import UPPER, ascii_lower, broadcast_if, materialize, row_key, small, table, text_or_empty
 
 KEY = ["key", "sha", "n_bytes"]
 #: Distinct texts that a bucket holds before it is split.
@@ -52,8 +52,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chain), keep_id, size. Copies are counted before the shuffle, so a group of any size arrives as
     one entry per map task; then a file holds a range of buckets, written by its owner task.
     """
-    keyed = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(text_or_empty(text_col)).alias("norm")).select(
-        "doc_id", "norm", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("n_bytes")
+    keyed = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), ascii_lower(text_or_empty(text_col)).alias("norm")).select(
+        "doc_id", "row", "norm", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("n_bytes")
     )
     entries = materialize(keyed.drop("norm"), "dedup-entries")
     groups = materialize(entries.groupBy(*KEY).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size")), "dedup-groups")
@@ -81,7 +81,7 @@ def collisions(keyed: DataFrame, index: DataFrame, salt_rows: int = 4096) -> Dat
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row (common.row_key()).
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal
     texts the largest doc_id stays. Null ids never win against others; rows that repeat the
@@ -99,11 +99,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.join(odd.groupBy(*KEY).agg(F.count(F.lit(1)).alias("gone")), KEY, "left").join(again, ["doc_id", *KEY], "left")
         size = F.coalesce("odd_size", F.col("size") - F.coalesce("gone", F.lit(0)), F.lit(1))
         keep = F.when(F.col("odd_size").isNotNull(), F.col("odd_keep")).otherwise(keep)
-    return rows.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
+    return rows.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"), "row")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
 SQL = f"""

@@ -26,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, materialize, table
+from .common import broadcast_if, materialize, row_key, table
 from .components import contract
 from .shingles import few_rows, shingle_sets, slices_by_bytes, tidy
 
 #: Bytes of text that a task shingles at once, and packed tokens that it holds before it hands them on.
 TEXT_BYTES, HELD_TOKENS = 1_000_000, 1_000_000
+#: Text for which there is one shard of tokens, so that a shard's size doesn't grow with the input.
+SHARD_TEXT_BYTES = 16_000_000
 #: Ids of sets that passed the screen are broadcast up to so many (16 MB).
 BROADCAST_ROWS = 1_000_000
 #: Verifying a pair costs as much as so many entries of the token index.
@@ -39,6 +41,8 @@ VERIFY_COST = 40
 #: Token groups of up to so many sets list their pairs of different components; larger ones are held against an index.
 GROUP_ROWS = 48
 PAIRS_PER_TASK = 4_000_000
+#: Tokens of the members of a family that a task indexes; larger families are cut into blocks.
+BLOCK_TOKENS = 2_000_000
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 
 
@@ -96,12 +100,12 @@ def _unpack(row: dict, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _PACKED = "shard int, tokens binary, steps binary, nodes binary, sizes binary"
-_META = "doc_id long, node long, n long"
+_META = "doc_id long, row long, node long, n long"
 
 
 def _show(docs: DataFrame, shards: int, width: int, num: int, den: int) -> DataFrame:
-    """Per document its node and number of shingles; per shard the shown tokens."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shard", pa.int32()), ("tokens", pa.binary()), ("steps", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+    """Per row (doc_id, text, row) its node and number of shingles; per shard the shown tokens."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shard", pa.int32()), ("tokens", pa.binary()), ("steps", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, seen = _Packer(shards), set()
@@ -112,13 +116,14 @@ def _show(docs: DataFrame, shards: int, width: int, num: int, den: int) -> DataF
 
         for part in few_rows(parts):
             ids, texts = _texts(part)
+            rows = part.column(2).to_pylist()
             for a, b in slices_by_bytes(list(map(len, texts)), TEXT_BYTES):
                 bounds, hashes = shingle_sets(texts[a:b], width)
                 meta = []
                 for i in range(b - a):
                     own = hashes[bounds[i] : bounds[i + 1]]
                     n, node = len(own), _node(own) if len(own) else None
-                    meta.append({"doc_id": ids[a + i], "node": node, "n": n})
+                    meta.append({"doc_id": ids[a + i], "row": rows[a + i], "node": node, "n": n})
                     if n and node not in seen and ids[a + i] is not None:
                         seen.add(node)
                         pack.add(own[: n - least_overlap(n, num, den) + 1 + n // 10], node, n)
@@ -334,59 +339,65 @@ def _rest(rows: DataFrame) -> DataFrame:
 def _families(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between components in the larger token groups, whose pairs are never rows.
 
-    Groups with one main component are a family. A family's outsiders (sets of other components)
-    are dealt over as many tasks as their comparisons need, and each is held against an
-    inverted index of all members: all overlaps at once. Of a set's links to a component one is told.
+    Groups with one main component are a family. Its outsiders (sets of other components) are cut
+    into parts and its members into blocks, as their comparisons and tokens need, and each part is held
+    against an inverted index of each block: all overlaps at once, and a task holds one part and one
+    block however large the family is. Of a set's links to a component one a block is told.
     """
-    members = materialize(rows.select("main", "node", "comp").distinct(), "join-families")
-    size = members.groupBy("main").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("comp") != F.col("main")).cast("long")).alias("m")).select("main", F.greatest(F.lit(1), F.ceil(F.col("k") * F.col("m") / PAIRS_PER_TASK)).cast("int").alias("parts"))
-    dealt = members.join(size, "main")
-    outside = dealt.filter("comp <> main").select("main", F.pmod(F.hash("node", F.lit(3)), "parts").alias("part"), "node", "comp", F.lit(True).alias("asks"))
-    inside = dealt.select("main", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "comp", F.lit(False).alias("asks"))
-    both = outside.unionByName(inside).groupBy("main", "part", "node", "comp").agg(F.max("asks").alias("asks"))
+    members = materialize(rows.select("main", "node", "comp", "n").distinct(), "join-families")
+    sizes = members.groupBy("main").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("comp") != F.col("main")).cast("long")).alias("m"), F.sum("n").alias("tokens"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int"))
+    sizes = sizes.select("main", "blocks", F.greatest(F.lit(1), F.ceil(F.col("k") / F.col("blocks") * F.col("m") / PAIRS_PER_TASK)).cast("int").alias("parts"))
+    dealt = members.join(sizes, "main")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = dealt.filter("comp <> main").select("main", F.pmod(F.hash("node", F.lit(3)), "parts").alias("part"), every("blocks").alias("block"), "node", "comp", F.lit(True).alias("asks"), F.lit(False).alias("held"))
+    inside = dealt.select("main", every("parts").alias("part"), F.pmod(F.hash("node", F.lit(5)), "blocks").alias("block"), "node", "comp", F.lit(False).alias("asks"), F.lit(True).alias("held"))
+    both = outside.unionByName(inside).groupBy("main", "part", "block", "node", "comp").agg(F.max("asks").alias("asks"), F.max("held").alias("held"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links(members: list[tuple]) -> list[dict]:
-        node, comp, n = (np.array([m[i] for m in members], np.int64) for i in (0, 1, 3))
-        sets = [np.frombuffer(m[4], np.uint64) for m in members]
-        tokens, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    def links(members: list[dict]) -> list[dict]:
+        held = [m for m in members if m["held"]]
+        node, comp, n = (np.array([m[c] for m in held], np.int64) for c in ("node", "comp", "n"))
+        sets = [np.frombuffer(m["tokens"], np.uint64) for m in held]
+        tokens, who = np.concatenate([np.empty(0, np.uint64), *sets]), np.repeat(np.arange(len(sets), dtype=np.int32), list(map(len, sets)))
         order = np.argsort(tokens, kind="stable")
         tokens, who = tokens[order], who[order]
         found = []
-        for i, m in enumerate(members):
-            if m[2]:
-                a, b = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
+        for m in members:
+            if m["asks"] and held:
+                own = np.frombuffer(m["tokens"], np.uint64)
+                a, b = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
                 shared = np.bincount(np.concatenate([who[x:y] for x, y in zip(a, b, strict=True)]), minlength=len(sets))
-                near = np.flatnonzero((den * shared >= num * (n[i] + n - shared)) & (comp != comp[i]))
+                near = np.flatnonzero((den * shared >= num * (m["n"] + n - shared)) & (comp != m["comp"]))
                 _, first = np.unique(comp[near], return_index=True)
-                found += [{"a": int(node[i]), "b": int(node[k])} for k in near[first]]
+                found += [{"a": m["node"], "b": int(node[k])} for k in near[first]]
         return found
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
         for part in parts:
             for row in part.to_pylist():
-                held.setdefault((row["main"], row["part"]), []).append((row["node"], row["comp"], row["asks"], row["n"], row["tokens"]))
-        for members in held.values():
-            yield pa.RecordBatch.from_pylist(links(members), schema)
+                held.setdefault((row["main"], row["part"], row["block"]), []).append(row)
+        for key in list(held):
+            yield pa.RecordBatch.from_pylist(links(held.pop(key)), schema)
+        tidy()
 
-    sent = both.join(sets.select("node", "n", "tokens"), "node").select("main", "part", "node", "comp", "asks", "n", "tokens")
-    return sent.repartition("main", "part").mapInArrow(run, "a long, b long")
+    sent = both.join(sets.select("node", "n", "tokens"), "node").select("main", "part", "block", "node", "comp", "asks", "held", "n", "tokens")
+    return sent.repartition("main", "part", "block").mapInArrow(run, "a long, b long")
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(meta, comps): doc_id, node, n of every row; node, comp of every set that has a partner.
+    """(meta, comps): doc_id, row (common.row_key()), node, n of every row; node, comp of every set that has a partner.
 
     The pairs of a component that the rounds already joined aren't all listed; no component
     is missed. num / den is the least similarity, 3 / 4 at least (the size filter uses it).
     """
     if num * 4 < den * 3:
         raise ValueError("a similarity of 3/4 at least is asked for")
-    spark = docs.sparkSession
-    shards = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row"))
+    shards = max(16, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_TEXT_BYTES))
     shown = materialize(_show(rows, shards, width, num, den), "join-shown")
-    meta = shown.filter("n is not null").select("doc_id", "node", "n")
+    meta = shown.filter("n is not null").select("doc_id", "row", "node", "n")
     screened = _shared(shown.filter("shard is not null").select("shard", "tokens", "steps", "nodes", "sizes"), shards)
     passed = screened.filter(F.col("m") >= 1 + F.floor(F.col("size") / 10)).select("node")
     owners = materialize(meta.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(passed, "node"), "join-passed")
@@ -408,19 +419,24 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return meta, comps
 
 
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4) -> DataFrame:
+    """Per row doc_id, row (common.row_key()), n (shingles), comp, best: the component and the first (doc_id, row) of it where it has several rows."""
+    meta, comps = jaccard_links(docs, id_col, text_col, width, num, den)
+    rows = meta.join(comps, "node", "left").withColumn("comp", F.when(F.col("doc_id").isNull() | F.col("node").isNull(), None).otherwise(F.coalesce("comp", "node")))
+    best = rows.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("comp", "best")
+    return rows.join(best, "comp", "left").select("doc_id", "row", "n", "comp", "best")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id reachable by links. Null and empty texts have no
     shingles and are linked with nothing, equal ones neither. A row without doc_id is linked
-    with nothing and its component is null. Rows that repeat an id and its text are one
-    document; ids that come with different texts join their components. Only the named
-    columns are looked at.
+    with nothing and its component is null. Rows that repeat an id are judged by their own text
+    each. Only the named columns are looked at.
     """
-    meta, comps = jaccard_links(docs, id_col, text_col, width, num, den)
-    rows = meta.join(comps, "node", "left").withColumn("comp", F.when(F.col("doc_id").isNull() | F.col("node").isNull(), None).otherwise(F.coalesce("comp", "node")))
-    least = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("comp", "least")
-    return rows.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    rows = near_rows(docs, id_col, text_col, width, num, den)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("best.doc_id", "doc_id").alias("component_id"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,22 +212,23 @@ def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = 3, per_round: int
     return Model(text, page, *fits, both, min(0.5, float(good[int(len(good) * (1 - keep_clean))])))
 
 
+def _scores(own: Model | None, part: pa.RecordBatch, *columns: str) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
+    """(first row, end, the three scores, kept) of slices of a batch with columns text, source, lang, n_chars under these names."""
+    text, source, lang, chars = (part.column(c).to_pylist() for c in columns)
+    data = [(t or "").encode() for t in text]
+    for a, b in slices_by_bytes(list(map(len, data)), TEXT_BYTES):
+        found = [np.full(b - a, 0.5)] * 3 if own is None else own.score(data[a:b], meta_view(source[a:b], lang[a:b], chars[a:b]))
+        yield a, b, found, found[2] >= (0 if own is None else own.threshold)
+
+
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, text_score, meta_score, score, kept of every row of docs (doc_id, text, source, lang, n_chars)."""
     names = ["doc_id", "text_score", "meta_score", "score", "kept"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for part in few_rows(parts):
-            data = [(t or "").encode() for t in part.column(1).to_pylist()]
-            source, lang, chars = (part.column(i).to_pylist() for i in range(2, 5))
-            for a, b in slices_by_bytes(list(map(len, data)), TEXT_BYTES):
-                if own is None:
-                    found = [np.full(b - a, 0.5)] * 3
-                else:
-                    found = own.score(data[a:b], meta_view(source[a:b], lang[a:b], chars[a:b]))
-                kept = found[2] >= (0 if own is None else own.threshold)
+            for a, b, found, kept in _scores(shared.value, part, "text", "source", "lang", "n_chars"):
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), *map(pa.array, found), pa.array(kept)], names=names)
 
     rows = docs.select("doc_id", "text", "source", "lang", "n_chars")
@@ -250,6 +251,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return score_documents(rows, cotrain(rows, good_labels(labels)))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars") -> DataFrame:
+    """The rows of docs, with all their columns, that quality_scores() keeps. A narrow map: rows that repeat an id are judged each."""
+    shared = docs.sparkSession.sparkContext.broadcast(cotrain(_columns(docs, id_col, text_col, source_col, lang_col, size_col), good_labels(labels)))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in few_rows(parts):
+            for a, b, _, kept in _scores(shared.value, part, text_col, source_col, lang_col, size_col):
+                yield part.slice(a, b - a).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
