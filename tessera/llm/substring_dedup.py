@@ -2,8 +2,8 @@
 
 Windows of a fixed number of words are routed by an anchor, the smallest hash among their shorter
 word runs, so that equal windows meet. Anchors that only one document has are dropped, and
-windows of anchors that very many documents have are routed by their own hash instead, so that no
-shard grows with an anchor. Each shard indexes the segments it got (runs of windows with one key) but
+windows of anchors that stand in very many different surroundings are routed by their own hash
+instead, so that no shard grows with an anchor. Each shard indexes the segments it got (runs of windows with one key) but
 those of a key's last document, and streams those of later documents against the index: backward
 search over the wavelet matrix, with the earliest owner of the interval, gives the matching
 statistics, and places whose match reaches a window's length are reported.
@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, materialize, table
+from .common import broadcast_if, materialize, small, table
 from .fm_index import FmIndex
 from .shingles import few_rows, gram_hashes, mix, slices_by_bytes, tidy, word_hashes
 
@@ -27,8 +28,12 @@ WINDOW, ANCHOR_WORDS = 50, 10
 TEXT_BYTES = 1_000_000
 #: Words that one index holds, and the packed bytes that a shard is to get.
 INDEX_WORDS, SHARD_BYTES = 600_000, 16_000_000
-#: Documents with an anchor beyond which its windows are routed by their own hash.
-HOT_DOCUMENTS = 1024
+#: Different segments with an anchor beyond which its windows are routed by their own hash.
+HOT_SEGMENTS = 4096
+#: Shared windows of hot anchors that all tasks get as a list (16 MB), at most; beyond it each document's are joined to it.
+LISTED_WINDOWS = 2_000_000
+#: Segments and windows that a task remembers, to send equal ones once.
+SEEN = 200_000
 #: Documents with something to remove are broadcast up to so many; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -62,97 +67,136 @@ def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part.slice(a, b - a), data[a:b]
 
 
-def _sets(column: pa.Array) -> list[set[int]]:
-    return [set(np.array(x or [], np.int64).view(np.uint64).tolist()) for x in column.to_pylist()]
+def _tagged(column: pa.Array, salt: np.ndarray) -> np.ndarray:
+    """The keys listed for each document, told apart by the document's salt."""
+    values, offsets = column.flatten(), np.concatenate(([0], np.cumsum(np.array(column.value_lengths().fill_null(0)))))
+    return np.array(values, np.int64).view(np.uint64) ^ np.repeat(salt, np.diff(offsets))
 
 
-def _keys(part: pa.RecordBatch, who: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    """doc_id, row, key; of keys that follow each other in a document one stays."""
-    fresh = np.concatenate(([True], (who[1:] != who[:-1]) | (keys[1:] != keys[:-1]))) if len(who) else np.empty(0, bool)
-    who, keys = pa.array(who[fresh]), keys[fresh].view(np.int64)
-    return pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("row").take(who), pa.array(keys)], names=["doc_id", "row", "key"])
-
-
-_KEYS = "doc_id long, row long, key long"
+def _run_starts(places: np.ndarray, *same: np.ndarray) -> np.ndarray:
+    """Where runs of windows begin that follow each other and agree in ``same``; the end last."""
+    change = np.diff(places) != 1
+    for x in same:
+        change |= x[1:] != x[:-1]
+    return np.concatenate(([0], np.flatnonzero(change) + 1, [len(places)])) if len(places) else np.zeros(1, np.int64)
 
 
 def anchors(rows: DataFrame, window: int, width: int) -> DataFrame:
-    """doc_id, row, key: the anchors of each document."""
+    """doc_id, row, key, fresh: the anchors of each document's runs of windows, and whether this task met the run's words for the first time."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part, data in _batches(parts):
             words, owner, _, _ = word_hashes(data)
             places, least = window_anchors(words, owner, window, width)
-            yield _keys(part, owner[places], least)
+            cuts = _run_starts(places, owner[places], least)
+            first, last = cuts[:-1], cuts[1:] - 1
+            alike = (mix(window_hashes(words, places[first], window)) + window_hashes(words, places[last], window) if len(first) else np.empty(0, np.uint64)).tolist()
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = [x not in seen and not seen.add(x) for x in alike]
+            who = pa.array(owner[places[first]])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("row").take(who), pa.array(least[first].view(np.int64)), pa.array(fresh, pa.bool_())], names=["doc_id", "row", "key", "fresh"])
+
+    return rows.filter("doc_id is not null").mapInArrow(run, "doc_id long, row long, key long, fresh boolean")
+
 
-    return rows.filter("doc_id is not null").mapInArrow(run, _KEYS)
+def shared_anchors(every: DataFrame) -> DataFrame:
+    """key, n (different segments, as tasks count them) of the anchors that more than one document has. Counted within tasks first."""
+    return every.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum(F.col("fresh").cast("long")).alias("n")).filter("a < b").select("key", "n")
 
 
-def hot_windows(texts: DataFrame, window: int, width: int) -> DataFrame:
-    """doc_id, row, key: the hashes of the windows whose anchor is among the document's hot ones."""
+def _hot(part: pa.RecordBatch, words: np.ndarray, owner: np.ndarray, window: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, document) of the windows whose anchor is among the document's hot ones."""
+    places, least = window_anchors(words, owner, window, width)
+    salt = mix(np.arange(part.num_rows, dtype=np.uint64) + np.uint64(1))
+    places = places[np.isin(least ^ salt[owner[places]], _tagged(part.column("hot"), salt))]
+    return places, owner[places]
+
+
+def hot_windows(texts: DataFrame, window: int, width: int, every: bool) -> DataFrame:
+    """key, a, b: windows of hot anchors with their first and last document in a batch; with ``every`` doc_id, row, key of each document's."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data in _batches(parts):
             words, owner, _, _ = word_hashes(data)
-            places, least = window_anchors(words, owner, window, width)
-            hot = _sets(part.column("hot"))
-            places = places[np.fromiter((a in hot[k] for a, k in zip(least.tolist(), owner[places].tolist(), strict=True)), bool, len(places))]
-            yield _keys(part, owner[places], window_hashes(words, places, window) if len(places) else np.empty(0, np.uint64))
-
-    return texts.mapInArrow(run, _KEYS)
-
+            places, who = _hot(part, words, owner, window, width)
+            if not len(places):
+                continue
+            keys = window_hashes(words, places, window)
+            if every:
+                at = pa.array(who)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("row").take(at), pa.array(keys.view(np.int64))], names=["doc_id", "row", "key"])
+                continue
+            docs = np.array(part.column("doc_id"), np.int64)[who]
+            order = np.lexsort((docs, keys))
+            keys, docs = keys[order], docs[order]
+            cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[cuts[:-1]].view(np.int64)), pa.array(docs[cuts[:-1]]), pa.array(docs[cuts[1:] - 1])], names=["key", "a", "b"])
 
-def shared_keys(every: DataFrame) -> DataFrame:
-    """key, n (rows) of the keys that more than one document has. Counted within tasks first."""
-    return every.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("key", "n")
+    return texts.mapInArrow(run, "doc_id long, row long, key long" if every else "key long, a long, b long")
 
 
 _SEGMENT = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("stop", pa.int64())])
 
 
-def segments(live: DataFrame, shards: int, window: int, width: int) -> DataFrame:
-    """Runs of windows with a shared anchor, and shared windows of hot anchors, with their words' hashes.
+def segments(live: DataFrame, listed: np.ndarray | None, shards: int, window: int, width: int) -> DataFrame:
+    """Runs of windows with a shared anchor, and single shared windows of hot anchors, with their words' hashes.
 
-    live: doc_id, row, text, cold and hot (its shared anchors), wins (its shared windows of hot ones). A
-    run whose words an earlier document of the same task has too needs no search: it leaves as
-    finished, with stop set and no words. So of exact copies each task sends few.
+    live: doc_id, row, text, cold and hot (its shared anchors), wins (its shared windows of hot ones,
+    unless ``listed`` has all of them in order). What an earlier document of the same task has too
+    needs no search: it leaves as finished, with stop set and no words. So of exact copies each task sends few.
     """
+    shared = live.sparkSession.sparkContext.broadcast(listed)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
+        alike: dict[int, int] = {}
         for part, data in _batches(parts):
             words, owner, _, _ = word_hashes(data)
             places, least = window_anchors(words, owner, window, width)
-            if not len(places):
-                continue
-            ids, rows = part.column("doc_id").to_pylist(), part.column("row").to_pylist()
-            cold, hot, wins = (_sets(part.column(c)) for c in ("cold", "hot", "wins"))
-            first, who = np.searchsorted(owner, np.arange(len(data))), owner[places]
-            cuts = np.concatenate(([0], np.flatnonzero((np.diff(places) != 1) | (who[1:] != who[:-1]) | (least[1:] != least[:-1])) + 1, [len(places)]))
-            found: list[dict] = []
-
-            def send(k: int, key: int, place: int, n: int, open_run: dict | None = None) -> dict | None:
-                """The run of n windows at place; returns its row if it is finished."""
-                own = words[place : place + n - 1 + window].tobytes()
-                digest, start = hashlib.blake2b(own, digest_size=16).digest(), int(place - first[k])
-                if seen.get(digest, ids[k]) < ids[k]:
-                    if open_run and open_run["stop"] == start + window - 1:  # windows that follow each other are one range
-                        open_run["stop"] += n
-                        return open_run
-                    found.append({"shard": key % shards, "key": 0, "doc_id": ids[k], "row": rows[k], "start": start, "stop": start + n - 1 + window})
-                    return found[-1]
-                if len(seen) > 200_000:
+            docs, rows = (np.array(part.column(c), np.int64) for c in ("doc_id", "row"))
+            first, salt = np.searchsorted(owner, np.arange(len(data))), mix(np.arange(len(data), dtype=np.uint64) + np.uint64(1))
+            found: list[tuple] = []  # shard, key, document, start, words, stop
+            cold = np.flatnonzero(np.isin(least ^ salt[owner[places]], _tagged(part.column("cold"), salt)))
+            at, keys = places[cold], least[cold]
+            cuts = _run_starts(at, owner[at], keys).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                place, k, key = int(at[a]), int(owner[at[a]]), int(keys[a])
+                own = words[place : at[b - 1] + window].tobytes()
+                digest, doc = hashlib.blake2b(own, digest_size=16).digest(), int(docs[k])
+                if seen.get(digest, doc) < doc:
+                    found.append((key % shards, 0, k, place - first[k], None, place - first[k] + b - a - 1 + window))
+                    continue
+                if len(seen) > SEEN:
                     seen.clear()
-                seen[digest] = ids[k]
-                found.append({"shard": key % shards, "key": int(np.uint64(key).astype(np.int64)), "doc_id": ids[k], "row": rows[k], "start": start, "words": own})
-                return None
-
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                k, anchor = int(who[a]), int(least[a])
-                if anchor in cold[k]:
-                    send(k, anchor, int(places[a]), b - a)
-                elif anchor in hot[k]:
-                    last = None
-                    for place, key in zip(places[a:b].tolist(), window_hashes(words, places[a:b], window).tolist(), strict=True):
-                        last = send(k, key, place, 1, last) if key in wins[k] else None
-            yield pa.RecordBatch.from_pylist(found, _SEGMENT)
+                seen[digest] = doc
+                found.append((key % shards, key, k, place - first[k], own, None))
+            at, who = _hot(part, words, owner, window, width)
+            if len(at):
+                keys = window_hashes(words, at, window)
+                if shared.value is None:
+                    keep = np.isin(keys ^ salt[who], _tagged(part.column("wins"), salt))
+                else:
+                    keep = shared.value[np.minimum(np.searchsorted(shared.value, keys), len(shared.value) - 1)] == keys if len(shared.value) else np.zeros(len(keys), bool)
+                at, who, keys = at[keep], who[keep], keys[keep]
+                every, group = np.unique(keys, return_inverse=True)
+                earliest = np.full(len(every), np.iinfo(np.int64).max)
+                np.minimum.at(earliest, group, docs[who])
+                before = np.fromiter((alike.get(x, np.iinfo(np.int64).max) for x in every.tolist()), np.int64, len(every))
+                earliest = np.minimum(earliest, before)
+                if len(alike) > SEEN:
+                    alike.clear()
+                alike.update(zip(every.tolist(), earliest.tolist(), strict=True))
+                later = docs[who] > earliest[group]
+                for place, k, key in zip(at[~later].tolist(), who[~later].tolist(), keys[~later].tolist(), strict=True):
+                    found.append((key % shards, key, k, place - first[k], words[place : place + window].tobytes(), None))
+                at, who = at[later], who[later]
+                cuts = _run_starts(at, who)
+                for place, last, k in zip(at[cuts[:-1]].tolist(), at[cuts[1:] - 1].tolist(), who[cuts[:-1]].tolist(), strict=True):
+                    found.append((place % shards, 0, k, place - first[k], None, last - first[k] + window))
+            shard, key, k, start, own, stop = zip(*found, strict=True) if found else [()] * 6
+            k = np.array(k, np.int64)
+            columns = [shard, np.array(key, np.uint64).view(np.int64), docs[k], rows[k], start, own, stop]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _SEGMENT, strict=True)], schema=_SEGMENT)
 
     return live.mapInArrow(run, "shard int, key long, doc_id long, row long, start long, words binary, stop long")
 
@@ -190,38 +234,40 @@ def search(routed: DataFrame, shards: int, window: int) -> DataFrame:
     """doc_id, row, start, stop: word ranges of a document that earlier ones hold."""
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
-    def ranges(groups: list[list[tuple]]) -> pa.RecordBatch:
-        """Members are (doc_id, row, start, words)."""
-        first = [{} for _ in groups]
-        for group, own in zip(groups, first, strict=True):
-            for doc, _, _, words in group:
-                own[words] = min(doc, own.get(words, doc))
-        hits, found = repeated_windows(first, window), []
-        runs: dict[bytes, list] = {}
-        for words, hit in hits.items():
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).view(np.int8))).tolist()
-            runs[words] = list(zip(edge[::2], edge[1::2], strict=True))
+    def ranges(groups: list[dict[bytes, list]]) -> pa.RecordBatch:
+        """Groups have the members (doc_id, row, start) of each word sequence."""
+        first, found = [{words: min(m[0] for m in members) for words, members in group.items()} for group in groups], []
+        hits = repeated_windows(first, window)
         for group, own in zip(groups, first, strict=True):
-            for doc, row, start, words in group:
-                for a, b in [(0, len(words) // 8 - window + 1)] if own[words] < doc else runs.get(words, ()):
-                    found.append((doc, row, start + a, start + b - 1 + window))
+            for words, members in group.items():
+                runs = None
+                for doc, row, start in members:
+                    if doc > own[words]:
+                        found.append((doc, row, start, start + len(words) // 8))
+                        continue
+                    if runs is None:
+                        hit = hits.get(words)
+                        edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).view(np.int8))).tolist() if hit is not None and hit.any() else []
+                        runs = list(zip(edge[::2], edge[1::2], strict=True))
+                    found += [(doc, row, start + a, start + b - 1 + window) for a, b in runs]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(4)], schema=schema)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[int, dict[bytes, list]] = {}
         for part in parts:
             done = part.filter(pa.compute.is_valid(part.column("stop")))
             yield pa.RecordBatch.from_arrays([done.column(c) for c in schema.names], schema=schema)
             rest = part.filter(pa.compute.is_null(part.column("stop")))
-            for key, *member in zip(*(rest.column(c).to_pylist() for c in ("key", "doc_id", "row", "start", "words")), strict=True):
-                held.setdefault(key, []).append(tuple(member))
+            for key, words, *member in zip(*(rest.column(c).to_pylist() for c in ("key", "words", "doc_id", "row", "start")), strict=True):
+                held.setdefault(key, {}).setdefault(words, []).append(member)
         block, size = [], 0
         for key in sorted(held):
             group = held.pop(key)
-            if min(m[0] for m in group) == max(m[0] for m in group):
+            docs = {m[0] for members in group.values() for m in members}
+            if len(docs) == 1:
                 continue
             block.append(group)
-            size += sum(len(m[3]) // 8 for m in group)
+            size += sum(len(words) // 8 for words in group)
             if size > INDEX_WORDS:
                 yield ranges(block)
                 block, size = [], 0
@@ -233,25 +279,28 @@ def search(routed: DataFrame, shards: int, window: int) -> DataFrame:
     return routed.repartition(shards, "shard").mapInArrow(run, "doc_id long, row long, start long, stop long")
 
 
-def repeated_ranges(rows: DataFrame, window: int = WINDOW, width: int = ANCHOR_WORDS, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
+def repeated_ranges(rows: DataFrame, window: int = WINDOW, width: int = ANCHOR_WORDS, hot_segments: int = HOT_SEGMENTS, listed_windows: int = LISTED_WINDOWS) -> DataFrame:
     """doc_id, row, ranges (array of struct start, stop) of the documents that hold words of earlier ones."""
-    keys, none = ["doc_id", "row"], F.array().cast("array<long>")
+    keys, none, listed = ["doc_id", "row"], F.array().cast("array<long>"), np.empty(0, np.uint64)
     every = materialize(anchors(rows, window, width), "passage-anchors")
-    shared = materialize(shared_keys(every), "passage-shared")
-    hot = F.col("n") > hot_documents
-    live = every.join(shared, "key").groupBy(*keys).agg(F.collect_set(F.when(~hot, F.col("key"))).alias("cold"), F.collect_set(F.when(hot, F.col("key"))).alias("hot"))
-    live = materialize(live, "passage-live")
-    if shared.filter(hot).isEmpty():
-        live = live.withColumn("wins", none)
-    else:
+    shared = materialize(shared_anchors(every), "passage-shared")
+    hot = F.col("n") > hot_segments
+    live = every.join(shared, "key").groupBy(*keys).agg(F.collect_set(F.when(~hot, F.col("key"))).alias("cold"), F.collect_set(F.when(hot, F.col("key"))).alias("hot"), F.count(F.lit(1)).alias("n"))
+    live = materialize(live.withColumn("wins", none), "passage-live")
+    if not shared.filter(hot).isEmpty():
         texts = rows.join(live.filter("size(hot) > 0").select(*keys, "hot"), keys).select(*keys, "text", "hot")
-        wins = materialize(hot_windows(texts, window, width), "passage-windows")
-        wins = wins.join(shared_keys(wins), "key").groupBy(*keys).agg(F.collect_set("key").alias("wins"))
-        live = live.join(wins, keys, "left").withColumn("wins", F.coalesce("wins", none))
-    n_segments = live.agg(F.sum(F.size("cold") + F.size("wins"))).first()[0] or 0
+        wins = hot_windows(texts, window, width, False).groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a < b").select("key")
+        wins = materialize(wins, "passage-windows")
+        if small(wins, listed_windows):
+            listed = np.sort(np.array([r["key"] for r in wins.collect()], np.int64).view(np.uint64))
+        else:
+            listed = None
+            own = materialize(hot_windows(texts, window, width, True), "passage-own-windows").join(wins, "key").groupBy(*keys).agg(F.collect_set("key").alias("own"))
+            live = live.join(own, keys, "left").withColumn("wins", F.coalesce("own", none))
+    n_segments = live.agg(F.sum("n")).first()[0] or 0
     shards = max(16, -(-n_segments * 8 * (window + (window - width) // 2) // SHARD_BYTES))
     texts = rows.join(live, keys).select(*keys, "text", "cold", "hot", "wins")
-    found = search(segments(texts, shards, window, width), shards, window)
+    found = search(segments(texts, listed, shards, window, width), shards, window)
     return found.groupBy(*keys).agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
@@ -260,7 +309,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_segments: int = HOT_SEGMENTS, listed_windows: int = LISTED_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (text; null stays null without words).
 
     A word goes if a window of ``window`` words over it also starts in a document with a smaller id.
@@ -268,7 +317,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows that repeat an id are one document to each other. Only the named columns are looked at.
     """
     rows = numbered(docs, id_col, text_col)
-    ranges = materialize(repeated_ranges(rows, window, hot_documents=hot_documents), "passage-ranges")
+    ranges = materialize(repeated_ranges(rows, window, hot_segments=hot_segments, listed_windows=listed_windows), "passage-ranges")
     joined = rows.join(broadcast_if(ranges, BROADCAST_ROWS), ["doc_id", "row"], "left").select("doc_id", "text", "ranges")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
