@@ -2,8 +2,8 @@
 
 Two classifiers see the same documents through separate views: the text (hashed words and
 figures of its form) and the page's metadata (source, language, length). Both start from
-labelled documents; in each round either hands the documents that it is sure of to the other
-as pseudo-labels. In the end each view is calibrated on labelled documents that it wasn't fitted on, and the
+labelled documents; in each round both score all documents, and either hands some that it is sure of to
+the other as pseudo-labels. In the end each view is calibrated on labelled documents that it wasn't fitted on, and the
 calibrated views are weighed against each other to score every document.
 """
 
@@ -15,14 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 from .shingles import few_rows, mix, slices_by_bytes, word_hashes
 
-#: Labelled documents and unlabelled ones that a model is fitted on, at most. They bound what the driver holds, not what is scored.
-FIT_LABELLED, FIT_UNLABELLED = 8000, 4000
+#: Labelled documents that a model is fitted on, and distinct words of them in all, at most. They bound what the driver holds, not what is scored.
+FIT_LABELLED, FIT_WORDS = 8000, 16_000_000
+#: Documents that a view hands over in a round for each label.
+PER_ROUND = 400
 WORD_BITS, META_BITS = 16, 10
 TEXT_BYTES = 1_000_000
 N_FORM = 12
@@ -131,19 +134,30 @@ def _meta_logits(model: _Logistic, meta: np.ndarray) -> np.ndarray:
     return model.logits(row, feature, one, len(meta))
 
 
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("words", pa.binary()), ("form", pa.list_(pa.float64())), ("meta", pa.list_(pa.int64()))])
+
+
+def _feature_rows(part: pa.RecordBatch, *columns: str) -> Iterator[tuple[int, list[bytes], np.ndarray, tuple]]:
+    """(first row, packed words of each, metadata, text view) of slices of a batch with columns text, source, lang, n_chars under these names."""
+    text, source, lang, chars = (part.column(c).to_pylist() for c in columns)
+    data = [(t or "").encode() for t in text]
+    for a, b in slices_by_bytes(list(map(len, data)), TEXT_BYTES):
+        row, feature, form = text_view(data[a:b])
+        cuts = np.searchsorted(row, np.arange(b - a + 1))
+        yield a, [feature[x:y].astype(np.uint16).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], meta_view(source[a:b], lang[a:b], chars[a:b]), (row, feature, form)
+
+
+_VIEWS = ("text", "source", "lang", "n_chars")
+
+
 def _view_frame(docs: DataFrame) -> DataFrame:
     """Features of the documents, as the fit needs them; texts stay on the executors."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in few_rows(parts):
-            ids, ys, texts, source, lang, chars = (part.column(i).to_pylist() for i in range(6))
-            data = [(t or "").encode() for t in texts]
-            for a, b in slices_by_bytes(list(map(len, data)), TEXT_BYTES):
-                row, feature, form = text_view(data[a:b])
-                meta = meta_view(source[a:b], lang[a:b], chars[a:b])
-                cuts = np.searchsorted(row, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_pylist([{"doc_id": ids[a + i], "y": ys[a + i], "words": feature[cuts[i] : cuts[i + 1]].astype(np.uint16).tobytes(), "form": form[i].tolist(), "meta": meta[i].tolist()} for i in range(b - a)], schema)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("words", pa.binary()), ("form", pa.list_(pa.float64())), ("meta", pa.list_(pa.int64()))])
+            ids, ys = part.column("doc_id").to_pylist(), part.column("y").to_pylist()
+            for a, words, meta, (_, _, form) in _feature_rows(part, *_VIEWS):
+                yield pa.RecordBatch.from_pylist([{"doc_id": ids[a + i], "y": ys[a + i], "words": w, "form": form[i].tolist(), "meta": meta[i].tolist()} for i, w in enumerate(words)], _FEATURES)
+
     return docs.mapInArrow(run, "doc_id long, y int, words binary, form array<double>, meta array<long>")
 
 
@@ -151,64 +165,100 @@ def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(size_col).cast("long").alias("n_chars"))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, labelled: int, unlabelled: int) -> list:
-    """Bounded samples by a hash of the id: labelled documents with y, and unlabelled ones with y null."""
-    known = labels.groupBy("doc_id").agg(F.max("y").alias("y")).filter("doc_id is not null and y is not null")
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct()
-    order = F.xxhash64("doc_id", F.lit(11))
-    chosen = ids.join(known, "doc_id").orderBy(order, "doc_id").limit(labelled)
-    others = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(unlabelled).withColumn("y", F.lit(None).cast("int"))
-    rows = docs.join(F.broadcast(chosen.union(others)), "doc_id").select("doc_id", "y", "text", "source", "lang", "n_chars")
-    return sorted(_view_frame(rows).collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["words"]))
+def _labelled(docs: DataFrame, known: DataFrame, labelled: int, most_words: int) -> list:
+    """A bounded sample of the labelled documents, by a hash of the id: one row an id, up to so many distinct words in all."""
+    chosen = docs.select("doc_id").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(labelled)
+    rows = _view_frame(docs.join(F.broadcast(chosen), "doc_id")).groupBy("doc_id").agg(F.min(F.struct("words", "y", "form", "meta")).alias("r")).select("doc_id", "r.*")
+    found, held = [], 0
+    for r in rows.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").toLocalIterator():
+        held += len(r["words"]) // 2
+        if held > most_words:
+            break
+        found.append(r)
+    return sorted(found, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+
+
+def _confident(docs: DataFrame, known: DataFrame, views: tuple, sure: float, per_round: int) -> list:
+    """Rows kind, key, words, form, meta of documents without a label of which a view is sure; kind is 2 * view + label.
 
+    All documents are scored. Of the sure ones ``per_round`` of each kind stay, by a hash of the content, so
+    that copies count once and no group of them fills the places. Each task keeps so many; tasks are
+    merged in two steps.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(views)
+    most = 2 * per_round  # some will turn out to be labelled
 
-def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = 3, per_round: int = 400, sure: float = 0.95, keep_clean: float = 0.995, labelled: int = FIT_LABELLED, unlabelled: int = FIT_UNLABELLED) -> Model | None:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, dict[int, dict]] = {k: {} for k in range(4)}
+        for part in few_rows(parts):
+            ids = part.column("doc_id").to_pylist()
+            for a, words, meta, (row, feature, form) in _feature_rows(part, *_VIEWS):
+                (text, text_fit), (page, page_fit) = shared.value
+                p = [_p(text.logits(row, feature, form, len(words)) * text_fit[0] + text_fit[1]), _p(_meta_logits(page, meta) * page_fit[0] + page_fit[1])]
+                for kind in range(4):
+                    certainty = p[kind // 2] if kind % 2 else 1 - p[kind // 2]
+                    for i in np.flatnonzero(certainty >= sure).tolist():
+                        if ids[a + i] is None:
+                            continue
+                        key = xxhash.xxh3_64_intdigest(words[i] + meta[i].tobytes()) >> 1
+                        old = best[kind].get(key)
+                        if old is None or ids[a + i] < old["doc_id"]:
+                            best[kind][key] = {"kind": kind, "key": key, "doc_id": ids[a + i], "words": words[i], "form": form[i].tolist(), "meta": meta[i].tolist()}
+                    if len(best[kind]) > 4 * most:
+                        best[kind] = {k: best[kind][k] for k in sorted(best[kind])[:most]}
+        yield pa.RecordBatch.from_pylist([own[k] for own in best.values() for k in sorted(own)[:most]], schema)
+
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), *[_FEATURES.field(c) for c in ("doc_id", "words", "form", "meta")]])
+    found = docs.mapInArrow(run, "kind int, key long, doc_id long, words binary, form array<double>, meta array<long>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(256)))
+    for by in (["kind", "part"], ["kind"]):
+        found = found.groupBy(*by, "key").agg(F.min(F.struct("doc_id", "words", "form", "meta")).alias("r")).withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).filter(F.col("n") <= most).select("kind", "part" if "part" in by else F.lit(0).alias("part"), "key", "r.*")
+    rows = found.join(known, "doc_id", "left_anti").orderBy("kind", "key").collect()
+    return [r for kind in range(4) for r in [r for r in rows if r["kind"] == kind][:per_round]]
+
+
+def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = 3, per_round: int = PER_ROUND, sure: float = 0.95, keep_clean: float = 0.995, labelled: int = FIT_LABELLED, most_words: int = FIT_WORDS) -> Model | None:
     """A model from docs (doc_id, text, source, lang, n_chars) and labels (doc_id, y: 1 good, 0 bad).
 
-    Fitted on at most ``labelled`` and ``unlabelled`` documents. The threshold is 0.5, or less if that would
-    reject more than 1 - keep_clean of the good documents of the fold that calibrates. None if there aren't
-    both good and bad documents to learn from.
+    Fitted on at most ``labelled`` documents with labels, and on pseudo-labels that are drawn from all others. The
+    threshold is 0.5, or less if that would reject more than 1 - keep_clean of the good documents of the fold
+    that calibrates. None if there aren't both good and bad documents to learn from.
     """
-    rows = _sample(docs, labels, labelled, unlabelled)
-    words = [np.frombuffer(r["words"], np.uint16).astype(np.int64) for r in rows]
-    form, meta = np.array([r["form"] for r in rows]).reshape(-1, N_FORM), np.array([r["meta"] for r in rows], np.int64).reshape(-1, 3)
-    y = np.array([-1 if r["y"] is None else r["y"] for r in rows])
-    known = np.flatnonzero(y >= 0)
-    fold, fit = known[::4], np.setdiff1d(known, known[::4])
+    known = labels.groupBy("doc_id").agg(F.max("y").alias("y")).filter("doc_id is not null and y is not null")
+    rows = _labelled(docs, known, labelled, most_words)
+    y = np.array([r["y"] for r in rows])
+    fold, fit = np.arange(0, len(rows), 4), np.setdiff1d(np.arange(len(rows)), np.arange(0, len(rows), 4))
     if min(((y[x] == k).sum() for x in (fold, fit) for k in (0, 1)), default=0) < 3:
         return None
-    pool = np.flatnonzero(y < 0)
     text, page = _Logistic(1 << WORD_BITS, N_FORM), _Logistic(1 << META_BITS, 1)
 
-    def text_rows(at):
-        return np.repeat(np.arange(len(at)), [len(words[i]) for i in at]), np.concatenate([words[i] for i in at]) if len(at) else np.empty(0, np.int64), form[at]
+    def text_rows(own):
+        words = [np.frombuffer(r["words"], np.uint16).astype(np.int64) for r in own]
+        return np.repeat(np.arange(len(own)), list(map(len, words))), np.concatenate([np.empty(0, np.int64), *words]), np.array([r["form"] for r in own]).reshape(-1, N_FORM)
+
+    def meta_rows(own):
+        return _meta_rows(np.array([r["meta"] for r in own], np.int64).reshape(-1, 3))
+
+    calibrating, fitted = [rows[i] for i in fold], [rows[i] for i in fit]
+    fold_text, fold_meta = text_rows(calibrating), meta_rows(calibrating)
 
-    def logits(model, at):
-        if model is text:
-            return text.logits(*text_rows(at), len(at))
-        return _meta_logits(page, meta[at])
+    def odds(view):
+        return (text.logits(*fold_text, len(fold)) if view == 0 else page.logits(*fold_meta, len(fold)))[:, None]
 
-    given: dict[int, dict[int, int]] = {0: {}, 1: {}}  # pseudo-labels that text (0) and page (1) got from the other view
+    given: tuple[dict, dict] = ({}, {})  # pseudo-labels that text (0) and page (1) got from the other view: rows and labels by content
     for k in range(rounds + 1):
         for view, model in enumerate((text, page)):
-            at = np.concatenate([fit, np.array(sorted(given[view]), np.int64)])
-            goal = np.concatenate([y[fit], [given[view][i] for i in sorted(given[view])]]).astype(float)
-            weight = np.where(np.arange(len(at)) < len(fit), 1.0, 0.3)
-            row = text_rows(at) if view == 0 else _meta_rows(meta[at])
-            model.fit(*row, goal, weight, steps=120 if k == 0 else 40)
-        if k == rounds or not len(pool):
-            break
-        for view, model in enumerate((text, page)):
-            c = _platt(logits(model, fold)[:, None], y[fold])
-            p = _p(logits(model, pool) * c[0] + c[1])
-            for label, certainty in ((1, p), (0, 1 - p)):
-                for i in np.argsort(-certainty, kind="stable")[:per_round]:
-                    if certainty[i] >= sure:
-                        given[1 - view][int(pool[i])] = label
-    fits = [_platt(logits(m, fold)[:, None], y[fold]) for m in (text, page)]
-    odds = np.column_stack([logits(m, fold) * c[0] + c[1] for m, c in zip((text, page), fits, strict=True)])
-    both = _platt(odds, y[fold])
-    good = np.sort(_p(odds @ both[:2] + both[2])[y[fold] == 1])
+            own = [given[view][key] for key in sorted(given[view])]
+            goal = np.concatenate([y[fit], [label for _, label in own]]).astype(float)
+            weight = np.where(np.arange(len(goal)) < len(fit), 1.0, 0.3)
+            every = fitted + [r for r, _ in own]
+            model.fit(*(text_rows(every) if view == 0 else meta_rows(every)), goal, weight, steps=120 if k == 0 else 40)
+        fits = [_platt(odds(view), y[fold]) for view in (0, 1)]
+        if k < rounds:
+            for r in _confident(docs, known, ((text, fits[0]), (page, fits[1])), sure, per_round):
+                given[1 - r["kind"] // 2][r["key"]] = (r, r["kind"] % 2)
+    both_odds = np.column_stack([odds(view)[:, 0] * fits[view][0] + fits[view][1] for view in (0, 1)])
+    both = _platt(both_odds, y[fold])
+    good = np.sort(_p(both_odds @ both[:2] + both[2])[y[fold] == 1])
     return Model(text, page, *fits, both, min(0.5, float(good[int(len(good) * (1 - keep_clean))])))
 
 
