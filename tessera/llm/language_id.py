@@ -3,8 +3,8 @@
 Each line is a chain of words, each word has a label (a language). A word's features are its
 affixes, its character n-grams and itself (the lexicon), hashed; neighbouring labels share learned
 transition weights, so that runs in one language are preferred over single switches. Forward-backward gives
-every word's label probabilities; a document's score for a language is the share of its letters,
-by these probabilities.
+every word's label probabilities. Neighbouring words of one label are a span; a document's score for a
+language is the share of its letters, by these probabilities.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import broadcast_if, materialize, table
 from .shingles import mix, tidy
 
-#: Documents that a model is fitted on, at most; words of them that the driver holds, at most. Neither limits what is labelled.
-FIT_DOCUMENTS = 1200
+#: Texts of each language that a model is fitted on, and words of all of them in equal shares, at most. Neither limits what is labelled.
+FIT_DOCUMENTS, FIT_WORDS = 300, 250_000
 FEATURE_BITS = 17
 #: Lines that run through forward-backward at once hold so many words (with padding).
 BATCH_WORDS = 60_000
@@ -143,23 +143,17 @@ class Crf:
         return [(self.labels[b], min(1.0, float(share[k, b] / total[k]))) if total[k] > 0 else (UNKNOWN, 0.0) for k, b in enumerate(best)]
 
 
-def fit(rows: list[tuple[str, str]], passes: int = 4, rate: float = 0.4, decay: float = 1e-4, most_words: int = 250_000) -> Crf | None:
+def fit(rows: list[tuple[str, str]], passes: int = 4, rate: float = 0.4, decay: float = 1e-4) -> Crf | None:
     """A model from (text, language) pairs, whole texts; every word of a text bears its language. None without pairs.
 
-    Maximum likelihood by adaptive gradient steps over batches of lines. Texts beyond ``most_words`` words
-    in all are left out of the fit, in an order by hash, at least one of each language staying.
+    Maximum likelihood by adaptive gradient steps over batches of lines.
     """
     labels = sorted({lang for _, lang in rows})
     if not labels:
         return None
-    number, chains, seen, total = {x: i for i, x in enumerate(labels)}, [], set(), 0
+    number, chains = {x: i for i, x in enumerate(labels)}, []
     for text, lang in sorted(rows, key=lambda r: (zlib.crc32(r[0].encode()), r)):
-        own = lines_of(text)
-        if total > most_words and lang in seen:
-            continue
-        seen.add(lang)
-        total += sum(map(len, own))
-        chains += [(line, number[lang]) for line in own]
+        chains += [(line, number[lang]) for line in lines_of(text)]
     k = len(labels)
     model = Crf(labels, np.zeros((1 << FEATURE_BITS, k)), np.zeros((k, k)), np.zeros(k))
     if k == 1:
@@ -196,12 +190,26 @@ def fit(rows: list[tuple[str, str]], passes: int = 4, rate: float = 0.4, decay:
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = FIT_DOCUMENTS) -> Crf | None:
-    """A model from documents with a language that aren't held out, at most so many, by a hash of the id."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = FIT_DOCUMENTS, words: int = FIT_WORDS) -> Crf | None:
+    """A model from documents with a language that aren't held out.
+
+    Of each language at most ``documents`` different texts are taken, by a hash of the text, until they
+    have its share of ``words``; at least one. So copies count once and a rare language is
+    learned beside any number of documents of others.
+    """
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.filter("text is not null and lang is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("binary")) % 4 != 2)
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(documents)
-    return fit([(r["text"], r["lang"]) for r in rows.join(F.broadcast(ids), "doc_id").select("text", "lang").toLocalIterator()])
+    rows = rows.filter("text is not null and lang is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("binary")) % 4 != 2).withColumn("h", F.xxhash64("text", F.lit(5)))
+    own = rows.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("n") <= documents)
+    own = materialize(own, "language-sample")
+    share = words // max(1, own.select("lang").distinct().count())
+    chosen = rows.join(broadcast_if(own.select("lang", "h", "doc_id"), 100_000), ["lang", "h", "doc_id"]).dropDuplicates(["lang", "h", "doc_id"])
+    found, held = [], {}
+    for r in chosen.orderBy("h", "lang", "doc_id").select("text", "lang").toLocalIterator():
+        if held.get(r["lang"], 0) < share or r["lang"] not in held:
+            held[r["lang"]] = held.get(r["lang"], 0) + sum(map(len, lines_of(r["text"])))
+            found.append((r["text"], r["lang"]))
+    return fit(found)
 
 
 def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", batch_rows: int = 128) -> DataFrame:
@@ -225,6 +233,41 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def language_spans(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", batch_rows: int = 128) -> DataFrame:
+    """A row per span: doc_id, start, stop (characters of the text), n_words, lang, score.
+
+    A span is a run of words of a line whose likeliest label is the same; score is the mean of that
+    label's probabilities. Texts that are null or have no letter, and all texts without a model, have none.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("n_words", pa.int64()), ("lang", pa.string()), ("score", pa.float64())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for whole in parts:
+            for a in range(0, whole.num_rows if own else 0, batch_rows):
+                ids, texts = (whole.column(i).slice(a, batch_rows).to_pylist() for i in range(2))
+                lines = [(i, at, list(WORD.finditer(line))) for i, t in zip(ids, texts, strict=True) for at, line in _lines_at(t or "")]
+                lines = [x for x in lines if x[2]]
+                found = []
+                for (i, at, words), p in zip(lines, own.word_labels([[w.group().lower() for w in x[2]] for x in lines]), strict=True):
+                    best = p.argmax(axis=1)
+                    cuts = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(best)]
+                    found += [{"doc_id": i, "start": at + words[x].start(), "stop": at + words[y - 1].end(), "n_words": y - x, "lang": own.labels[best[x]], "score": float(p[x:y, best[x]].mean())} for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_pylist(found, schema)
+        tidy()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, start long, stop long, n_words long, lang string, score double")
+
+
+def _lines_at(text: str) -> Iterator[tuple[int, str]]:
+    at = 0
+    for line in text.split("\n"):
+        yield at, line
+        at += len(line) + 1
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))
