@@ -194,12 +194,12 @@ def brute_remove(docs, window=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [1024, 3])
-def test_remove(spark, hot):
+@pytest.mark.parametrize(("hot", "listed"), [(4096, 0), (3, 1000), (3, 1)])
+def test_remove(spark, hot, listed):
     passage, other = prose(1, 80), prose(2, 49)
     docs = [(i, " ".join(prose(100 + i, 60) + passage + prose(200 + i, 70))) for i in range(1, 20)] + [(30 + i, " ".join(other + prose(300 + i, 30))) for i in range(3)]
     docs += [(50, " ".join(passage)), (51, " ".join(passage[:50]).upper()), (52, None), (53, ""), (54, "a " * 5000), (55, "a " * 300), (60, docs[0][1]), (61, docs[0][1]), (61, docs[0][1]), (None, docs[0][1]), (0, "  ".join(passage[10:70]))]
-    got = substring_dedup.remove_repeats(table(spark, docs), hot_documents=hot).select("*", F.sha2("kept", 256).alias("h")).collect()
+    got = substring_dedup.remove_repeats(table(spark, docs), hot_segments=hot, listed_windows=listed).select("*", F.sha2("kept", 256).alias("h")).collect()
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["h"]) for r in got) == brute_remove(docs)
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
@@ -330,26 +330,38 @@ def test_allocation():
 
 
 # ---- chats
-def brute_cost(roles):
-    best = {0: 0}
+def brute_repairs(roles):
+    """(cost, rendered roles) of every repair of a conversation, by its own rules: each turn is merged into the one before at 1, or stands as any role (another than its own at 3), after an empty turn at 2 where that makes it legal."""
+    after = {None: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+    found = [(0, ())]
     for role in roles:
-        after = {}
-        for state, cost in best.items():
-            for nxt, c in enumerate(chat_format.costs_of(role)[state]):
-                if c < float("inf"):
-                    after[nxt] = min(after.get(nxt, 1e9), cost + c)
-        best = after
-    return min(best.values())
+        step = []
+        for cost, done in found:
+            last = done[-1] if done else None
+            for new in ("system", "user", "assistant"):
+                relabel = 3 * (new != role)
+                if new == last:
+                    step.append((cost + 1 + relabel, done))
+                if new in after[last]:
+                    step.append((cost + relabel, (*done, new)))
+                else:
+                    step += [(cost + 2 + relabel, (*done, gap, new)) for gap in after[last] if gap != "system" and new in after[gap]]
+        found = step
+    return found
+
+
+def headers(pieces):
+    return re.findall(r"<\|(system|user|assistant)\|>\n", "".join(pieces))
 
 
 def legal(pieces):
-    roles = re.findall(r"<\|(system|user|assistant)\|>\n", "".join(pieces))
+    roles = headers(pieces)
     return all(b == ("assistant" if a == "user" else "user") for a, b in zip(roles, roles[1:], strict=False)) and roles[0] in ("system", "user")
 
 
 def test_chats(spark):
     rng = random.Random(6)
-    convs = {c: [rng.choice(["user", "assistant", "system", "tool", None]) for _ in range(rng.randrange(1, 12))] for c in range(30)}
+    convs = {c: [rng.choice(["user", "assistant", "system", "tool", None]) for _ in range(rng.randrange(1, 7))] for c in range(30)}
     convs[30] = ["user", "assistant"] * 700
     rows = [(c, t, r, f"text {t}" if t % 5 else None) for c, roles in convs.items() for t, r in enumerate(roles)] + [(None, 0, "user", "x"), (31, None, "user", "a"), (31, 0, "user", "b"), (31, 0, "user", "b")]
     frame = table(spark, rows, "conv_id long, turn long, role string, text string")
@@ -359,14 +371,39 @@ def test_chats(spark):
             got.setdefault(r["conv_id"], []).append(r)
         assert sum(map(len, got.values())) == len(rows)
         for c, roles in convs.items():
-            own = sorted(got[c], key=lambda r: r["turn"])
-            assert own[0]["conv_cost"] == brute_cost(roles) and legal([r["piece"] for r in own])
-            spent = sum(chat_format.INSERT_COST * r["n_inserted"] + chat_format.RELABEL_COST * ("relabel" in r["action"]) + chat_format.MERGE_COST * r["action"].startswith("merge") for r in own)
+            own = sorted(got[c], key=lambda r: r["rank"])
+            pieces = [r["piece"] for r in own]
+            assert [r["turn"] for r in own] == list(range(len(roles))) and legal(pieces)
+            if c < 30:
+                repairs = brute_repairs(roles)
+                assert own[0]["conv_cost"] == min(x for x, _ in repairs) and (own[0]["conv_cost"], tuple(headers(pieces))) in repairs
+            spent = sum(2 * r["n_inserted"] + 3 * ("relabel" in r["action"]) + r["action"].startswith("merge") for r in own)
             assert spent == own[0]["conv_cost"]
+            want = ""
+            for r, text in zip(own, [f"text {t}" if t % 5 else "" for t in range(len(roles))], strict=True):  # the whole string, from the decisions
+                if r["action"].startswith("merge"):
+                    want += f"\n{text}"
+                    continue
+                gap = "" if not r["n_inserted"] else f"<|{'user' if r['new_role'] == 'assistant' else 'assistant'}|>\n\n<|end|>\n"
+                want += ("\n<|end|>\n" if want else "") + gap + f"<|{r['new_role']}|>\n{text}"
+            assert "".join(pieces) == want + "\n<|end|>\n"
         assert all(r["action"] == "keep" for r in got[30])
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chats_without_numbers(spark):
+    """Very many turns without a number, or with the same one, are cut into blocks too."""
+    rows = [(None, None, "user" if i % 2 else "assistant", f"{i:04}") for i in range(300)] + [(1, 7, "user", "same")] * 50 + [(2, 1, "user", "x" * 300_000)]
+    frame = table(spark, rows, "conv_id long, turn long, role string, text string").withColumn("rank", F.lit("x")).withColumn("block", F.lit("x")).repartition(7)
+    whole = chat_format.format_chats(frame).select("conv_id", "rank", "conv_cost", "piece")
+    cut = chat_format.format_chats(frame, block_turns=4)
+    assert cut.count() == len(rows) and {r["conv_cost"] for r in cut.filter("conv_id = 1").collect()} == {49.0}
+    costs = lambda df: {(r["conv_id"], r["conv_cost"]) for r in df.collect()}
+    assert costs(cut) == costs(whole)
+    own = cut.filter("conv_id is null").orderBy("rank").collect()
+    assert [r["rank"] for r in own] == list(range(300)) and legal([r["piece"] for r in own])
+
+
 # ---- language
 def test_language(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
@@ -380,6 +417,32 @@ def test_language(spark, data):
     assert language_id.train(spark.createDataFrame([], DOCS)) is None and {r["lang_pred"] for r in language_id.identify(table(spark, odd), None).collect()} == {"und"}
 
 
+def test_language_sample(spark):
+    """A rare language is learned beside a hot one, and copies count once."""
+    docs = [(i, "the river and the stone of the house " * 3, "en", "s", 1) for i in range(200)] + [(1000 + i, f"der fluss und das haus mit stein {i}", "de", "s", 1) for i in range(40)] + [(2000 + i, "la maison avec une riviere et pierre", "fr", "s", 1) for i in range(8)]
+    model = language_id.train(spark.createDataFrame(docs, DOCS), documents=5, words=60)
+    assert model.labels == ["de", "en", "fr"] and model.documents(["une maison et la riviere", "und das haus"])[0][0] == "fr"
+
+
+def test_language_spans(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language_id.train(docs)
+    by = {r["lang"]: r["text"].split("\n")[0] for r in docs.filter("lang is not null and length(text) > 400").collect()}
+    one, two = sorted(by)[:2]
+    texts = [(1, f"{by[one]} {by[two]}\n12 !!\n{by[two]}"), (2, None), (3, "9"), (4, ""), (None, by[one])]
+    rows = language_id.language_spans(table(spark, texts), model).collect()
+    assert {r["doc_id"] for r in rows} == {1, None}
+    own = sorted((r for r in rows if r["doc_id"] == 1), key=lambda r: r["start"])
+    assert all(x["stop"] <= y["start"] for x, y in zip(own, own[1:], strict=False))
+    text = texts[0][1]
+    marks = [lang for r in own for lang in [r["lang"]] * r["n_words"]]
+    assert len(marks) == len(language_id.WORD.findall(text)) and all(len(language_id.WORD.findall(text[r["start"] : r["stop"]])) == r["n_words"] and 0 < r["score"] <= 1 for r in own)
+    truth = [one] * len(language_id.WORD.findall(by[one])) + [two] * 2 * len(language_id.WORD.findall(by[two]))
+    assert sum(a == b for a, b in zip(marks, truth, strict=True)) > 0.8 * len(truth)
+    want = [model.labels[k] for line in language_id.lines_of(text) for k in model.word_labels([line])[0].argmax(axis=1)]
+    assert marks == want and language_id.language_spans(table(spark, texts), None).count() == 0
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     emit, move, start = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
