@@ -95,26 +95,55 @@ def brute_decontaminate(docs, items):
                 for p in range(len(w) - k + 1):
                     if w[p : p + k] == v[a : a + k]:
                         hit |= set(range(p, p + k))
-                        found.add(str(item))
-        out.append((str(i), len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+                        found.add(item)
+        out.append((str(i), len(w), len(hit), len(found), sha(",".join(sorted(str(x) for x in found if x is not None))), bool(hit)))
+    return sorted(out)
+
+
+def brute_near(docs, items):
+    """Items without an exact window of which a window has four fifths of its words near its place, wherever its two rarest terms are nearly as far apart."""
+    counts = {}
+    for w in (w for _, t in docs for w in words(t)):
+        counts[w] = counts.get(w, 0) + 1
+    out = []
+    for i, text in docs:
+        w, found = words(text), set()
+        exact = {item for item, t in items for v in [words(t)] for k in [min(10, len(v))] for a in range(len(v) - k + 1 if k else 0) for p in range(len(w) - k + 1) if w[p : p + k] == v[a : a + k]}
+        for item, t in items:
+            v = words(t)
+            k = min(10, len(v))
+            for a in range(len(v) - k + 1 if k else 0):
+                rare = sorted((counts[v[q]], q) for q in range(a, a + k) if v[q] in counts)[:2]
+                if len(rare) < 2:
+                    continue
+                (_, q1), (_, q2) = rare
+                for shift in {x - q1 for x in range(len(w)) for y in range(len(w)) if w[x] == v[q1] and w[y] == v[q2] and abs(y - x - q2 + q1) <= 3}:
+                    for p in range(len(v) - k + 1):
+                        at = max(0, p + shift - 3)
+                        if len(set(v[p : p + k]) & set(w[at : at + k + 6])) >= 0.8 * len(set(v[p : p + k])):
+                            found.add(item)
+        out.append((str(i), ",".join(sorted(str(x) for x in found - exact if x is not None))))
     return sorted(out)
 
 
 def test_decontaminate(spark):
     item = prose(1, 25, 30)
-    items = [(1, " ".join(item)), (2, "Short One"), (3, None), (4, ""), (10, " ".join(prose(2, 12, 30))), (1, " ".join(item)), (5, "the the the the the the the the the the the")]
-    docs = [(1, " ".join(item)), (2, "x " + " ".join(item[3:14]) + " y"), (3, "a short, one! SHORT one"), (4, None), (5, ""), (6, " ".join(prose(3, 3000, 30))), (7, " ".join(item[10:] + item[:12])), (7, "another"), (None, " ".join(item)), (8, "the " * 40), (9, " ".join(item[:9]))]
-    got = decontaminate.decontaminate(table(spark, docs), table(spark, items, "item_id long, text string"))
-    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got.collect()) == brute_decontaminate(docs, items)
+    items = [(1, " ".join(item)), (2, "Short One"), (3, None), (4, ""), (10, " ".join(prose(2, 12, 30))), (1, " ".join(item)), (5, "the the the the the the the the the the the"), (None, "an item without any name"), (None, "another one")]
+    docs = [(1, " ".join(item)), (2, "x " + " ".join(item[3:14]) + " y"), (3, "a short, one! SHORT one"), (4, None), (5, ""), (6, " ".join(prose(3, 300, 30))), (7, " ".join(item[10:] + item[:12])), (7, "another"), (None, " ".join(item)), (8, "the " * 40), (9, " ".join(item[:9])), (11, "an item without any name, another one, short one"), (12, "x " * 30_000 + " ".join(item))]
+    got = decontaminate.decontaminate(table(spark, docs), table(spark, items, "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == brute_decontaminate(docs, items)
     assert decontaminate.decontaminate(empty(spark), table(spark, items, "item_id long, text string")).count() == 0
     assert not decontaminate.decontaminate(table(spark, docs), spark.createDataFrame([], "item_id long, text string")).filter("contaminated").count()
 
 
 def test_proximity(spark):
-    item = " ".join(f"t{i}" for i in range(12))
-    docs = [(1, item.replace("t5", "t5 extra")), (2, item), (3, "nothing here")]
-    got = {r["doc_id"] for r in decontaminate.proximity_matches(table(spark, docs), table(spark, [(1, item)], "item_id long, text string"), 2).collect()}
-    assert got == {1, 2}
+    item = [f"t{i}" for i in range(12)]
+    changed = lambda *at: " ".join("gone" + w if i in at else w for i, w in enumerate(item))
+    docs = [(1, " ".join(item).replace("t5", "t5 extra")), (2, " ".join(item)), (3, "nothing here"), (4, changed(2, 7)), (5, changed(0, 2, 4, 6, 8)), (6, "x y " + changed(5) + " t5"), (7, " ".join(item[::-1])), (8, None), (None, changed(6))]
+    items = [(1, " ".join(item)), (2, "short one"), (3, None)]
+    got = decontaminate.decontaminate(table(spark, docs), table(spark, items, "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["near_items"]) for r in got) == brute_near(docs, items)
+    assert {r["doc_id"] for r in got if r["near_items"]} >= {1, 6} and not {2, 3, 5} & {r["doc_id"] for r in got if r["near_items"]}
 
 
 # ---- Jaccard join
@@ -324,6 +353,39 @@ def test_tokens_by_section(spark, known):
     assert token_counts.count_tokens(spark.createDataFrame([], "doc_id long, source string, text string"), ["source", "text"]).count() == 0
 
 
+def brute_sections(known, values, names, rule):
+    """(field, section, start, characters, tokens, crossing) of a document: every byte is looked at."""
+    filled = [(n, v) for n, v in zip(names, values, strict=True) if v]
+    parts = []
+    for k, (name, value) in enumerate(filled):
+        whole = value + ("\n" if k < len(filled) - 1 else "")
+        parts += [(name, i, x) for i, x in enumerate(re.findall(r"[^\n]*\n|[^\n]+", whole) if name == names[-1] else [whole])]
+    owner = [k for k, (_, _, x) in enumerate(parts) for _ in x.encode()]
+    tokens, crossing, at = [0] * len(parts), [0] * len(parts), 0
+    for token in known.encode_ordinary("".join(x for _, _, x in parts)):
+        n = len(known.decode_single_token_bytes(token))
+        own = owner[at : at + n]
+        at += n
+        best = own[0] if rule == "first" else own[-1] if rule == "last" else min(set(own), key=lambda k: (-own.count(k), k))
+        tokens[best] += 1
+        crossing[best] += own[0] != own[-1]
+    starts = [0, *itertools.accumulate(len(x) for _, _, x in parts)]
+    return [(f, i, s, len(x), a, b) for (f, i, x), s, a, b in zip(parts, starts, tokens, crossing, strict=False)]
+
+
+def test_every_section(spark, known):
+    rng = random.Random(12)
+    docs = [(i, rng.choice([None, "", "src 1", "a\nb"]), "".join(rng.choice(["a", " ", "\n", "\n\n", "é", "\U0001f600", "the ", "12", "  \n"]) for _ in range(rng.randrange(40)))) for i in range(40)]
+    docs += [(50, "s", "long line " * 40_000), (51, "x", "\n" * 500), (52, None, None), (53, "only", None)]
+    frame = table(spark, docs, "doc_id long, source string, text string").withColumn("field", F.lit("x")).withColumn("section", F.lit("x"))
+    for rule in token_counts.RULES:
+        got = {}
+        for r in token_counts.count_tokens(frame, ["source", "text"], rule=rule).collect():
+            got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+        want = {i: brute_sections(known, (s, t), ("source", "text"), rule) for i, s, t in docs}
+        assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items() if x}
+
+
 def test_allocation():
     ends, bounds = np.array([2, 6, 9]), np.array([0, 3, 9])
     assert [token_counts.allocate(ends, bounds, r)[0].tolist() for r in token_counts.RULES] == [[0, 0, 1], [0, 1, 1], [0, 1, 1]]
