@@ -134,7 +134,7 @@ class Engine:
                 judged = D.evaluate_chunks(chunks)
                 domains = D.domain_quality(judged).cache()
                 verdict = D.session_quality(domains).first()
-                stats = domains.select("domain", F.lit(0).alias("seq"), F.col("total").alias("chunks_total"), F.col("passed").alias("chunks_kept"), (F.col("avg_coherence_score") * F.col("passed")).alias("coherence_sum"))
+                stats = TM.chunk_records(domains)
                 if not verdict["accepted"]:
                     result.reason = "quality_gate_failed"
                     return result

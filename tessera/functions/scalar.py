@@ -6,6 +6,9 @@ randomness are parameters.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, TRIM, "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def or_default(c: Column, default: Column | str) -> Column:
     """default where c is null or empty."""
     return F.coalesce(F.when(c != "", c), default if isinstance(default, Column) else F.lit(default))
@@ -50,9 +58,12 @@ def is_noise(sentence: Column) -> Column:
 
 
 def grams(text: Column, k: int) -> Column:
-    """Distinct runs of k characters of the lower-cased, trimmed text."""
-    t = F.lower(strip(text))
-    return F.when(F.length(t) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (k - 1)), lambda i: F.substring(t, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of k characters of the lower-cased, trimmed text. Linear in its length."""
+    def runs(c: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(c) - (k - 1)), lambda i: F.array_join(F.slice(c, i, F.lit(k)), ""))
+        return F.when(F.size(c) >= k, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return bound(F.regexp_extract_all(F.lower(strip(text)), F.lit("(?s)."), F.lit(0)), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -62,12 +73,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"(?U)\s+"), "")
 
 
 def short_word_share(text: Column) -> Column:
-    w = words(text)
-    return F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.length(x) <= 3)) / F.size(w)).otherwise(1.0)
+    return bound(words(text), lambda w: F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.length(x) <= 3)) / F.size(w)).otherwise(1.0))
 
 
 def is_useful(text: Column, min_chars: int = 200) -> Column:
@@ -76,12 +86,11 @@ def is_useful(text: Column, min_chars: int = 200) -> Column:
 
 def usefulness(text: Column) -> tuple[Column, Column]:
     """(score, whether a page-noise pattern occurs). Noisy text scores 0.1."""
-    lower = F.lower(text)
-    noisy = lower.rlike("|".join(fixed.PAGE_NOISE))
+    noisy = bound(F.lower(text), lambda t: reduce(or_, [t.contains(p) for p in fixed.PAGE_NOISE]))
     n = F.length(text)
     length = F.when(n < 150, n / 150 * 0.5).otherwise(F.least(F.lit(1.0), 0.5 + (n - 150) / 1000))
     quality = F.greatest(F.lit(0.0), 1 - short_word_share(text) / 0.6)
-    sentences = F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: F.length(strip(s)) > 10))
+    sentences = F.regexp_count(text, F.lit(r"(?U)[^.!?\s][^.!?]{9,}[^.!?\s]"))  # runs between ends of more than ten characters, white space at either side aside
     density = F.least(F.lit(0.2), sentences * 0.02) / 0.2
     score = F.round(clamp(0.45 * length + 0.35 * quality + 0.20 * density), 4)
     return F.when(noisy, 0.1).otherwise(score), noisy
@@ -94,16 +103,14 @@ def composite(coherence: Column, useful: Column) -> Column:
 def trim_to_tokens(text: Column, tokens: Column) -> Column:
     """At most 4 characters a token, cut after the last sentence end or line end if that is beyond 60 %."""
     limit = (tokens * 4).cast("int")
-    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  names a value that is used more than once
-
     def end(cut: Column, back: Column, mark: str) -> Column:
-        return let(F.locate(mark[::-1], back), lambda at: F.when(at > 0, F.length(cut) - at - (len(mark) - 1)).otherwise(-1))
+        return bound(F.locate(mark[::-1], back), lambda at: F.when(at > 0, F.length(cut) - at - (len(mark) - 1)).otherwise(-1))
 
     def at_end(cut: Column) -> Column:
-        last = let(F.reverse(cut), lambda back: F.greatest(*[end(cut, back, m) for m in (". ", "! ", "? ", "\n")]))
-        return let(last, lambda at: F.when(at > limit * 0.6, F.substring(cut, F.lit(1), at + 1)).otherwise(cut))
+        last = bound(F.reverse(cut), lambda back: F.greatest(*[end(cut, back, m) for m in (". ", "! ", "? ", "\n")]))
+        return bound(last, lambda at: F.when(at > limit * 0.6, F.substring(cut, F.lit(1), at + 1)).otherwise(cut))
 
-    return F.when(F.length(text) <= limit, text).otherwise(strip(let(F.substring(text, F.lit(1), limit), at_end)))
+    return F.when(F.length(text) <= limit, text).otherwise(strip(bound(F.substring(text, F.lit(1), limit), at_end)))
 
 
 def strip_boilerplate(text: Column) -> Column:
@@ -184,8 +191,8 @@ def is_garbage(text: Column) -> Column:
 
 
 def is_nav_heavy(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: strip(x) != "")
-    return F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: F.length(strip(x)) < 30)) / F.size(lines) > 0.7).otherwise(False)
+    lines = F.array_remove(F.transform(F.split(text, "\n"), strip), "")
+    return bound(lines, lambda own: F.when(F.size(own) > 0, F.size(F.filter(own, lambda x: F.length(x) < 30)) / F.size(own) > 0.7).otherwise(False))
 
 
 def detect_format(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .errors import SessionNotFound
@@ -37,22 +37,13 @@ class ChunkStore:
 
         batch names the write (a time stamp): a chunk's id is made of it, the URL and the chunk's place.
         """
-        place = F.row_number().over(Window.partitionBy("url").orderBy("chunk_index")) - 1
-        rows = chunks.filter(F.coalesce("coherence_score", F.lit(1.0)) >= min_coherence).select(
-            F.lit(session).alias("session"), S.or_default(F.col("title"), "").alias("title"), S.or_default(F.col("content"), "").alias("content"), S.or_default(F.col("source"), "").alias("url"), S.or_default(F.col("timestamp"), "").alias("timestamp"),
-            S.or_default(F.col("author"), "").alias("author"), F.coalesce("chunk_index", F.lit(0)).cast("int").alias("chunk_index"), F.coalesce("coherence_score", F.lit(1.0)).cast("float").alias("coherence_score"),
-        )
-        rows = rows.withColumn("id", F.substring(F.md5(F.concat_ws("_", "url", F.lit(batch), place)), 1, 12)).withColumn("embedding", embed_column(F.col("content"), self.embedder))
-        total = chunks.count()
-        mode = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        before = self.table(session).count() if not force_new and session in self.sessions() else 0
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            rows.write.mode("overwrite" if force_new else "append").partitionBy("session").parquet(self.path)
-        finally:
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
-        after = self.table(session).count() if session in self.sessions() else 0
-        return {"total": total, "indexed": after - before, "dropped": total - (after - before)}
+        total, kept = Observation(), Observation()
+        rows = indexable(chunks.observe(total, F.count(F.lit(1)).alias("n")), F.lit(session), batch, min_coherence).observe(kept, F.count(F.lit(1)).alias("n")).withColumn("embedding", embed_column(F.col("content"), self.embedder))
+        rows.write.mode("overwrite" if force_new else "append").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(self.path)
+        n, indexed = total.get["n"], kept.get["n"]  # counted by the write itself
+        if force_new and not indexed:
+            self._drop(session)  # nothing was written, so nothing was replaced
+        return {"total": n, "indexed": indexed, "dropped": n - indexed}
 
     def search(self, session: str, queries: DataFrame, k: int = 5) -> DataFrame:
         """query_id, rank, distance and the chunk of the k nearest distinct chunks, for queries (query_id, query) all at once."""
@@ -70,11 +61,24 @@ class ChunkStore:
 
     def delete(self, session: str) -> None:
         self.table(session)
+        self._drop(session)
+
+    def _drop(self, session: str) -> None:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/session={session}")
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def indexable(chunks: DataFrame, session: Column, batch: str, min_coherence: float = 0.3) -> DataFrame:
+    """Chunks as the store keeps them, but for the vector: the coherent ones, defaults filled in, with an id of URL, batch and place."""
+    place = F.row_number().over(Window.partitionBy("url").orderBy("chunk_index")) - 1
+    rows = chunks.filter(F.coalesce("coherence_score", F.lit(1.0)) >= min_coherence).select(
+        session.alias("session"), S.or_default(F.col("title"), "").alias("title"), S.or_default(F.col("content"), "").alias("content"), S.or_default(F.col("source"), "").alias("url"), S.or_default(F.col("timestamp"), "").alias("timestamp"),
+        S.or_default(F.col("author"), "").alias("author"), F.coalesce("chunk_index", F.lit(0)).cast("int").alias("chunk_index"), F.coalesce("coherence_score", F.lit(1.0)).cast("float").alias("coherence_score"),
+    )
+    return rows.withColumn("id", F.substring(F.md5(F.concat_ws("_", "url", F.lit(batch), place)), 1, 12))
+
+
 def staleness(chunks: DataFrame, as_of: Column, max_age_hours: float = 24) -> DataFrame:
     """session, latest, stale: by the largest time stamp as a string, taken as UTC. Only two columns are read."""
     rows = chunks.groupBy("session").agg(F.max("timestamp").alias("latest"))

@@ -19,15 +19,38 @@ CHUNK_SCHEMA = "chunk_index int, token_estimate int, coherence_score double, sen
 _NOISE = re.compile("|".join(f"(?:{p})" for p in fixed.SENTENCE_NOISE), re.IGNORECASE)
 
 
+_GRAMS: dict[int, int] = {}  # hash of each character 3-gram met by this worker
+_MOST_GRAMS = 1_000_000
+
+
+def _gram_hash(key: int) -> int:
+    text = "".join(chr(c - 1) for c in (key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF) if c)
+    return zlib.crc32(text.encode("utf-8", "replace"))
+
+
 def hashed_embedder(size: int = 384) -> Embedder:
-    """Unit vectors of hashed character 3-grams: no model is needed, and like texts are near each other."""
+    """Unit vectors of hashed character 3-grams: no model is needed, and like texts are near each other.
+
+    All grams of all texts are taken at once; only different ones are hashed, and remembered.
+    """
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), size), np.float32)
-        for i, t in enumerate(texts):
-            t = f" {t.lower()} "
-            for j in range(max(1, len(t) - 2)):
-                h = zlib.crc32(t[j : j + 3].encode("utf-8", "replace"))
-                out[i, h % size] += 1 if h >> 31 else -1
+        padded = [f" {t.lower()} " for t in texts]
+        padded = [t if len(t) > 2 else t + "\0" for t in padded]  # an empty text has one gram, of its two blanks
+        code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+        lengths = np.fromiter(map(len, padded), np.int64, len(padded))
+        owner = np.repeat(np.arange(len(padded)), lengths)
+        for i in np.flatnonzero(lengths == 3):
+            if not texts[i]:
+                code[lengths[: i + 1].sum() - 1] = 0
+        if len(code) < 3:
+            return np.zeros((len(texts), size), np.float32)
+        own = np.flatnonzero(owner[:-2] == owner[2:])
+        different, which = np.unique(code[own] << 42 | code[own + 1] << 21 | code[own + 2], return_inverse=True)
+        if len(_GRAMS) > _MOST_GRAMS:
+            _GRAMS.clear()
+        hashes = np.fromiter((_GRAMS[k] if k in _GRAMS else _GRAMS.setdefault(k, _gram_hash(k)) for k in different.tolist()), np.int64, len(different))
+        place, sign = hashes % size, np.where(hashes >> 31, 1.0, -1.0)
+        out = np.bincount(owner[own] * size + place[which], sign[which], minlength=len(texts) * size).reshape(len(texts), size).astype(np.float32)
         norms = np.sqrt((out**2).sum(axis=1, keepdims=True))
         return out / np.where(norms == 0, 1, norms)
 
@@ -59,7 +82,10 @@ def shingles(text: str, k: int) -> set[str]:
 
 
 def like(own: set[str], other: set[str], threshold: float) -> bool:
-    return bool(own and other and len(own & other) >= threshold * len(own | other))
+    if min(len(own), len(other)) < threshold * max(len(own), len(other)):  # too different in size to overlap so far
+        return False
+    both = len(own & other)
+    return bool(own and other and both >= threshold * (len(own) + len(other) - both))
 
 
 def keep_unlike(items: list[str], k: int, threshold: float, last: int) -> list[int]:

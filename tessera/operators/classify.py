@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +14,62 @@ def keyword_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(fixed.keywords(), "topic string, topic_rank int, keyword string, times int")
 
 
+#: Keywords and terms that are matched in one pass, at most; beyond it they are joined.
+MOST_KEYWORDS = 200_000
+
+
+def substring_hits(base: DataFrame, words: DataFrame, most: int = MOST_KEYWORDS) -> DataFrame:
+    """query_id, n: which of words (n, word) stand anywhere in q of base (query_id, q). All words are looked for in one pass over each query."""
+    known = [(r["n"], r["word"]) for r in words.limit(most + 1).collect()]
+    if len(known) > most:
+        return base.join(words, F.col("q").contains(F.col("word"))).select("query_id", "n")
+    shared = base.sparkSession.sparkContext.broadcast(known)
+
+    def run(parts):
+        find = _finder(shared.value)
+        for part in parts:
+            found = [(i, n) for i, q in zip(part["query_id"], part["q"], strict=True) for n in (find(q) if isinstance(q, str) else ())]
+            yield pd.DataFrame(found, columns=["query_id", "n"])
+
+    return base.mapInPandas(run, f"query_id {dict(base.dtypes)['query_id']}, n long")
+
+
+def _finder(known: list[tuple[int, str]]):
+    """A function that gives the numbers of the words in a text."""
+    everywhere = [n for n, w in known if not w]
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: [*everywhere, *(n for n, w in known if w and w in text)]
+    numbers: dict[str, list[int]] = {}
+    for n, w in known:
+        if w:
+            numbers.setdefault(w, []).append(n)
+    if not numbers:
+        return lambda text: everywhere
+    automaton = ahocorasick.Automaton()
+    for w, own in numbers.items():
+        automaton.add_word(w, own)
+    automaton.make_automaton()
+    return lambda text: [*everywhere, *{n for _, own in automaton.iter(text) for n in own}]
+
+
 def topic_scores(queries: DataFrame, keywords: DataFrame | None = None, lexicon: DataFrame | None = None, query_col: str = "query", id_col: str = "query_id") -> DataFrame:
     """id, topic, topic_rank, score: share of the keyword hits. Keywords match as substrings of the lower-cased query.
 
     lexicon: topic, term, weight of learned terms, counted at half. Keywords and terms are
-    dimension tables; the hits of a query are folded without a shuffle of the queries for the keywords.
+    dimension tables.
     """
     spark = queries.sparkSession
     base = queries.select(F.col(id_col).alias("query_id"), F.lower(S.strip(F.col(query_col))).alias("q"))
     keywords = keywords if keywords is not None else keyword_table(spark)
     weight = F.col("times") * (1 + 0.2 * (F.length("keyword") - F.length(F.replace(F.col("keyword"), F.lit(" "), F.lit("")))))
-    hits = base.join(F.broadcast(keywords), F.col("q").contains(F.col("keyword"))).select("query_id", "topic", "topic_rank", weight.alias("w"))
+    words = keywords.select("topic", "topic_rank", F.col("keyword").alias("word"), weight.cast("double").alias("w"))
     if lexicon is not None:
         ranks = keywords.groupBy("topic").agg(F.min("topic_rank").alias("topic_rank"))
-        terms = lexicon.join(F.broadcast(ranks), "topic", "left").select("topic", F.coalesce("topic_rank", F.lit(99)).alias("topic_rank"), "term", "weight")
-        learned = base.join(terms, F.col("q").contains(F.col("term"))).select("query_id", "topic", "topic_rank", (F.col("weight") * 0.5).alias("w"))
-        hits = hits.unionByName(learned)
+        words = words.unionByName(lexicon.join(ranks, "topic", "left").select("topic", F.coalesce("topic_rank", F.lit(99)).alias("topic_rank"), F.col("term").alias("word"), (F.col("weight") * 0.5).alias("w")))
+    words = words.withColumn("n", F.xxhash64("topic", "topic_rank", "word", "w")).groupBy("n").agg(F.first("topic").alias("topic"), F.first("topic_rank").alias("topic_rank"), F.first("word").alias("word"), F.sum("w").alias("w"))
+    hits = substring_hits(base, words.select("n", "word")).join(words.drop("word"), "n")
     raw = hits.groupBy("query_id", "topic", "topic_rank").agg(F.sum("w").alias("w"))
     return raw.select("query_id", "topic", "topic_rank", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("query_id")), 4).alias("score"))
 

@@ -75,19 +75,26 @@ def gate(chunks: DataFrame, sessions: DataFrame, key: str = "session") -> DataFr
 
 
 def near_duplicate_pairs(left: DataFrame, right: DataFrame, k: int, threshold: float, left_id: str, right_id: str, text: str = "text") -> DataFrame:
-    """Pairs whose sets of k-character runs are similar. Pairs meet on a shared run among their rarest-first prefixes, not by a cross join.
+    """left_id, right_id, similarity: pairs whose sets of k-character runs are similar.
 
-    A pair of similarity t shares a run among the first n - ceil(t n) + 1 of each set in any common order; here by hash.
+    A pair of similarity t shares a run among the first n - ceil(t n) + 1 of each set in any common
+    order, here that of rarity in the right side (then by hash), and its sizes differ by no more than a factor t. So
+    pairs meet on rare runs, and only those of like size. The right side is the smaller one.
     """
     def side(df, id_col, out):
-        g = S.grams(F.col(text), k)
-        rows = df.select(F.col(id_col).alias(out), g.alias("g")).filter("size(g) > 0")
-        ordered = F.transform(F.array_sort(F.transform("g", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s["h"])
-        keep = F.size("g") - F.ceil(F.size("g") * threshold).cast("int") + 1
-        return rows.withColumn("p", F.slice(ordered, F.lit(1), keep))
-
-    a, b = side(left, left_id, "left_id"), side(right, right_id, "right_id")
-    met = a.select("left_id", F.explode("p").alias("h")).join(b.select("right_id", F.explode("p").alias("h")), "h").select("left_id", "right_id").distinct()
+        return df.select(F.col(id_col).alias(out), S.grams(F.col(text), k).alias("g")).withColumn("size", F.size("g")).filter("size > 0")
+
+    keep = lambda n: n - F.ceil(n * threshold).cast("int") + 1
+    b = side(right, right_id, "right_id")
+    rarity = b.select(F.explode("g").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    # runs that the right side doesn't have are the rarest of all: they use up the left prefix without meeting anything
+    placed = lambda rows, own: rows.withColumn("i", F.row_number().over(Window.partitionBy(own).orderBy("n", "h"))).filter(F.col("i") <= keep(F.col("size")))
+    opened = lambda rows, own: rows.select(own, "size", F.explode("g").alias("x")).join(rarity, "x", "left").select(own, "size", "x", F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("x").alias("h"))
+    bounds = b.agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    a = side(left, left_id, "left_id").join(F.broadcast(bounds), (F.col("size") >= F.col("low") * threshold) & (F.col("size") * threshold <= F.col("high"))).drop("low", "high")
+    pa, pb = placed(opened(a, "left_id"), "left_id").filter("n > 0").select("left_id", F.col("size").alias("size_a"), "x"), placed(opened(b, "right_id"), "right_id").select("right_id", F.col("size").alias("size_b"), "x")
+    like = (F.col("size_a") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size_a"))
+    met = pa.join(pb, "x").filter(like).select("left_id", "right_id").distinct()
     pairs = met.join(a.select("left_id", F.col("g").alias("ga")), "left_id").join(b.select("right_id", F.col("g").alias("gb")), "right_id")
     return pairs.select("left_id", "right_id", S.jaccard(F.col("ga"), F.col("gb")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
@@ -115,3 +122,16 @@ def injectable(chunks: DataFrame) -> DataFrame:
     for word in fixed.INJECTION_JUNK:
         keep = keep & ~lower.contains(word)
     return chunks.filter(keep)
+
+
+def with_domain_quality(chunks: DataFrame, domains: DataFrame) -> DataFrame:
+    """chunks with the signals of their domain (of domain_quality()); null where a domain has none."""
+    return chunks.join(domains.select("domain", "hit_rate", "irrelevance", "useful_source"), "domain", "left")
+
+
+def readable(chunks: DataFrame, *order: str, least: float = 0.25, key: str = "doc_id") -> DataFrame:
+    """Chunks worth reading: coherent enough, neither garbage nor navigation, and of those of a document that are alike but for white space the first."""
+    form = S.detect_format(S.strip(F.col("content")))
+    rows = chunks.filter(F.coalesce("coherence_score", F.lit(0.0)) >= least).withColumn("format", form).filter(~F.col("format").isin("garbage", "nav"))
+    same = F.struct(F.col(key), F.when(F.col("format") == "table", F.col("content")).otherwise(F.array_join(S.words(F.col("content")), " ")))
+    return first_by_key(rows, same, *order)

@@ -83,3 +83,9 @@ def lexical_scorer(query: Column, content: Column) -> Column:
 def first_per_domain(chunks: DataFrame, *order: str) -> DataFrame:
     w = Window.partitionBy("domain").orderBy(*order)
     return chunks.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+
+
+def head_urls(urls: DataFrame, max_urls: int = 12, match: str = "substring") -> DataFrame:
+    """query_id, url, domain, rank: what is fetched without a selector: the first URLs that aren't blocked."""
+    rows = urls.withColumn("domain", S.domain(F.col("url"))).filter(~blocked(F.col("domain"), match))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).filter(F.col("rank") <= max_urls).select("query_id", "url", "domain", "rank")

@@ -192,3 +192,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def top_reputation(reputation: DataFrame, domain: str = "", topic: str | None = None, most: int = 20) -> DataFrame:
+    """The best rows of domains that contain a text (and of a topic)."""
+    return reputation_summary(reputation.filter(F.col("domain").contains(domain)), topic).limit(most)
+
+
+def top_terms(lexicon: DataFrame, status: str, topic: str | None = None) -> DataFrame:
+    """Active terms by mean confidence (15), or candidates by observations (20)."""
+    rows = lexicon.filter(F.col("status") == status)
+    rows = rows.filter(F.col("topic") == topic) if topic else rows
+    by, most = ("observations", 20) if status == "candidate" else ("avg_confidence", 15)
+    return rows.orderBy(F.desc(by), "term", "topic").limit(most)

@@ -109,27 +109,82 @@ class Controller:
 
 def control(fetches: DataFrame, group: str = "session", order: str = "seq", time: str = "at") -> DataFrame:
     """The controller's numbers after every event, one controller a group. Needs domain, latency, failed."""
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part, c = part.sort_values(order), Controller()
-        out = [c.record(r.domain, r.latency, bool(r.failed), r.at) for r in part.itertuples()]
-        return pd.DataFrame({group: part[group], order: part[order], "concurrency": [a for a, _ in out], "domain_concurrency": [b for _, b in out]})
-
     rows = fetches.select(F.col(group), F.col(order), "domain", "latency", "failed", F.col(time).cast("double").alias("at"))
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, concurrency int, domain_concurrency int")
+
+    def step(c: Controller, r) -> dict:
+        both = c.record(r.domain, r.latency, bool(r.failed), r.at)
+        return {"concurrency": both[0], "domain_concurrency": both[1]}
+
+    return streamed(rows, group, order, Controller, step, "concurrency int, domain_concurrency int")
+
+
+def streamed(rows: DataFrame, group: str, order: str, start, step, schema: str) -> DataFrame:
+    """group, order and what step(state, row) gives for every row of a group in order, state being start() at first.
+
+    Groups are dealt over tasks and sorted there; a task holds one state and one batch of rows, so a group of any length fits.
+    """
+    kinds, names = dict(rows.dtypes), [x.split()[0] for x in schema.split(", ")]
+
+    def run(parts):
+        key, state = None, None
+        for part in parts:
+            found = []
+            for own, r in zip(part[group], part.itertuples(), strict=True):
+                if state is None or own != key:
+                    key, state = own, start()
+                found.append(step(state, r))
+            yield pd.DataFrame({group: part[group].to_numpy(), order: part[order].to_numpy(), **{n: [f[n] for f in found] for n in names}})
+
+    return rows.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, {schema}")
+
+
+def status(fetches: DataFrame, group: str = "session", order: str = "seq", time: str = "at", window: int = 50) -> DataFrame:
+    """The controller's numbers as they stand at the end, per group: requests, failure_rate, p50, p95 (of the last successes), concurrency."""
+    counts = fetches.groupBy(group).agg(F.count(F.lit(1)).alias("requests"), F.round(F.avg(F.col("failed").cast("double")), 3).alias("failure_rate"))
+    last = control(fetches, group, order, time).groupBy(group).agg(F.max_by("concurrency", order).alias("concurrency"))
+    recent = latency_window(fetches, [order], window, group).groupBy(group).agg(F.max_by(F.struct("p50", "p95"), order).alias("p")).select(group, F.round("p.p50", 3).alias("p50"), F.round("p.p95", 3).alias("p95"))
+    return counts.join(last, group).join(recent, group, "left").select(group, "requests", "failure_rate", F.coalesce("p50", F.lit(0.0)).alias("p50"), F.coalesce("p95", F.lit(0.0)).alias("p95"), "concurrency")
+
+
+def throttled(arrivals: DataFrame, group: str = "session", order: str = "seq", time: str = "at", rate: float = 10.0, capacity: float = 10.0) -> DataFrame:
+    """group, order, passed: when each request of a group passes its token bucket."""
+    class Bucket:
+        tokens, last = capacity, None
+
+    def step(b: Bucket, r) -> dict:
+        b.tokens, at = bucket(b.tokens, b.last, r.at, rate, capacity)
+        b.last = at
+        return {"passed": at}
+
+    return streamed(arrivals.select(group, order, F.col(time).cast("double").alias("at")), group, order, Bucket, step, "passed double")
+
+
+def bucket(tokens: float, last: float | None, at: float, rate: float, capacity: float) -> tuple[float, float]:
+    """(tokens left, when the request passes) after a request at a time; none passes before the one before it."""
+    if last is not None:
+        at = max(at, last)
+        tokens = min(capacity, tokens + (at - last) * rate)
+    if tokens < 1:
+        return 0.0, at + (1 - tokens) / rate
+    return tokens - 1, at
+
+
+def chunk_records(domains: DataFrame) -> DataFrame:
+    """What the collector is told of chunks: the mean coherence of all of a domain's chunks times the number that passed."""
+    return domains.select("domain", F.lit(0).alias("seq"), F.col("total").alias("chunks_total"), F.col("passed").alias("chunks_kept"), (F.col("avg_coherence_score") * F.col("passed")).alias("coherence_sum"))
+
+
+def collected(fetches: DataFrame, chunk_stats: DataFrame) -> DataFrame:
+    """One row: domains, fetch_records, chunk_records, is_empty."""
+    both = fetches.select("domain", F.lit(1).alias("f"), F.lit(0).alias("c")).unionByName(chunk_stats.select("domain", F.lit(0).alias("f"), F.lit(1).alias("c")))
+    return both.agg(F.count_distinct("domain").alias("domains"), F.coalesce(F.sum("f"), F.lit(0)).cast("long").alias("fetch_records"), F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("chunk_records"), (F.count(F.lit(1)) == 0).alias("is_empty"))
 
 
 def throttle(arrivals: list[float], rate: float = 10.0, capacity: float = 10.0) -> list[float]:
     """When each request passes a token bucket."""
-    tokens, last, passed = capacity, None, []
+    tokens, passed = capacity, []
     for at in arrivals:
-        at = max(at, passed[-1] if passed else at)
-        tokens = capacity if last is None else min(capacity, tokens + (at - last) * rate)
-        if tokens < 1:
-            at += (1 - tokens) / rate
-            tokens = 1.0
-        tokens -= 1
-        last = at
+        tokens, at = bucket(tokens, passed[-1] if passed else None, at, rate, capacity)
         passed.append(at)
     return passed
 

@@ -39,15 +39,18 @@ def _knn_block(vectors: DataFrame, asked: list, k: int, id_col: str, vec_col: st
 
     def best(parts):
         own_ids, q, qn = shared.value
-        held: pd.DataFrame | None = None
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # query, id, similarity
         for part in (p.iloc[i : i + step] for p in parts for i in range(0, len(p), step)):
             x = np.stack(part["v"].to_numpy()).astype(np.float64)
-            sim = (x @ q.T) / (np.sqrt((x**2).sum(axis=1))[:, None] * qn[None, :] + 1e-8)
-            rows = pd.DataFrame({"query_id": np.tile(own_ids, len(x)), "id": np.repeat(part["id"].to_numpy(), len(q)), "similarity": sim.ravel()})
-            rows = rows if held is None else pd.concat([held, rows])
-            held = rows.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
-        if held is not None:
-            yield held
+            sim = (q @ x.T) / (qn[:, None] * np.sqrt((x**2).sum(axis=1))[None, :] + 1e-8)
+            least = np.partition(sim, -k, axis=1)[:, -k] if len(x) > k else np.full(len(q), -np.inf)
+            who, at = np.nonzero(sim >= least[:, None])  # the best k of each query, and what ties with the last
+            held = [np.concatenate(c) for c in zip(held, (who, part["id"].to_numpy(np.int64)[at], sim[who, at]), strict=True)]
+            order = np.lexsort((held[1], -held[2], held[0]))
+            held = [c[order] for c in held]
+            first = np.searchsorted(held[0], held[0])
+            held = [c[np.arange(len(first)) - first < k] for c in held]
+        yield pd.DataFrame({"query_id": own_ids[held[0]], "id": held[1], "similarity": held[2]})
 
     found = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("v is not null").mapInPandas(best, "query_id long, id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")

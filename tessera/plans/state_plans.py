@@ -133,9 +133,9 @@ def context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CONTEXT}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS place FROM z)
-SELECT query_id, md5(string_agg('[Source: ' || domain || ' | Score: ' || printf('%.2f', score) || ' | Chunk: ' || pos || ']' || chr(10) || substring(doc_id || ' ' || text, 1, 50), chr(10) || chr(10) ORDER BY place)) AS prompt FROM p WHERE place <= 10 AND abs(score * 1000 % 10 - 5) > 0.5 GROUP BY query_id""")
+SELECT query_id, md5(string_agg('[Source: ' || domain || ' | Score: ' || printf('%.2f', score) || ' | Chunk: ' || pos || ']' || chr(10) || doc_id || ' ' || text, chr(10) || chr(10) ORDER BY place)) AS prompt FROM p WHERE place <= 10 GROUP BY query_id""")
 def context_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best chunks of a query, whole. Its SQL still cuts texts and leaves out scores near half a hundredth."""
+    """The ten best chunks of a query, whole."""
     rows = _scored(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos"))).filter("place <= 10")
     return X.to_prompt(rows).select("query_id", F.md5("prompt").alias("prompt"))
 

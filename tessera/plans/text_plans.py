@@ -168,9 +168,9 @@ def chunks_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("coherence_score"), 6).alias("coherence"))
 
 
-# The reference tables' roles for context assembly: a query per source, documents ranked by id. The queries take all of them; their SQL still stops at 40.
+# The tables' roles for context assembly: a query per source, all its documents ranked by id.
 CTX = """x AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, count(*) OVER (PARTITION BY source) AS n, doc_id, lang AS domain, (10 - doc_id % 10) / 10 AS coherence, n_chars FROM documents),
-c AS (SELECT *, round(0.5 * (1 - (pos - 1) / n) + 0.3 * coherence + 0.2 * 0.5, 4) AS score FROM x WHERE pos <= 40)"""
+c AS (SELECT *, round(0.5 * (1 - (pos - 1) / n) + 0.3 * coherence + 0.2 * 0.5, 4) AS score FROM x)"""
 
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
