@@ -110,13 +110,6 @@ def latency_window_p50_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TM.latency_window(fetches(spark, sf_dir), ["seq"])
 
 
-@query()
-def concurrency_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The controller's numbers over the events, a controller per group of domains."""
-    f = fetches(spark, sf_dir).withColumn("session", F.substring("domain", 1, 2)).withColumn("at", F.unix_micros("ts") / 1e6)
-    return TM.control(f)
-
-
 # ---- state
 SIGNALS = """g AS (SELECT 'd' || CAST(user_id AS VARCHAR) AS domain, event_type AS topic, event_id AS seq, epoch_us(ts) / 1e6 AS tm, least(value / 213.7, 1.0) AS q, (event_id % 10) / 10.7 AS hit, (event_id % 7) / 10.3 AS irr, (event_id % 5) / 10.9 AS fail, value / 103.1 AS lat FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY domain, topic ORDER BY tm, seq) AS k, 0.35 * q + 0.25 * hit + 0.15 * (1 - irr) + 0.15 * (1 - fail) + 0.10 / (1 + lat) AS score FROM g)"""
@@ -276,12 +269,31 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", title_column(F.col("html")).alias("title"))
 
 
-@query()
+def _page_sql() -> str:
+    """Main text by patterns: what is skipped goes with all it holds, blocks end lines, cells are set off, other tags vanish."""
+    from ..sources import html
+
+    c = "regexp_replace(html, '(?is)<!--.*?-->|<head>.*?</head>|<!doctype[^>]*>', '', 'g')"
+    for tag in sorted(html.SKIPPED):
+        c = f"regexp_replace({c}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}>', chr(2), 'g')"
+    blocks = f"regexp_replace(regexp_replace(regexp_replace(b, '(?i)</?({'|'.join(sorted(html.BLOCKS))})(\\s[^>]*)?/?>', chr(10), 'g'), '(?i)<t[dh](\\s[^>]*)?>', ' | ', 'g'), '<[^>]*>|' || chr(2), '', 'g')"
+    plain = lambda x: "replace(replace(replace(replace(replace(replace(" + x + ", '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+    squeezed = lambda x: strip_sql(f"regexp_replace({x}, '[\\s\\x{{A0}}]+', ' ', 'g')")
+    lines = f"array_to_string(list_filter(list_transform(string_split({plain(blocks)}, chr(10)), lambda x: {squeezed('x')}), lambda x: x <> ''), chr(10))"
+    flat = f"array_to_string(list_filter(list_transform(regexp_split_to_array(b, '<[^>]*>|' || chr(2)), lambda x: {strip_sql(plain('x'))}), lambda x: x <> ''), ' ')"
+    title = squeezed(plain("coalesce(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'))"))
+    meta = lambda name: f"nullif(regexp_extract(html, '(?i)<meta[^>]*(?:name|property)=.{name}.[^>]*content=.([^>]*?).\\s*/?>', 1), '')"
+    return f"""WITH p AS (SELECT page_id, url, html, {c} AS b FROM pages), l AS (SELECT *, {lines} AS x, {flat} AS f FROM p),
+    t AS (SELECT *, CASE WHEN length(x) < 200 OR len(list_filter({words_sql('x')}, lambda w: length(w) <= 3)) / greatest(len({words_sql('x')}), 1) > 0.6 THEN coalesce(nullif(f, ''), x) ELSE x END AS w FROM l)
+    SELECT page_id, md5({strip_sql('substring(w, 1, 2000)')}) AS content, url AS source, {title} AS title, coalesce({meta('article:published_time')}, {meta('date')}, '2025-01-01') AS timestamp, {meta('author')} AS author, {meta('og:image')} AS image FROM t WHERE {strip_sql('substring(w, 1, 2000)')} <> ''"""
+
+
+@query(_page_sql())
 def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title, author, date and main text of every page."""
+    """Title, author, date, image and main text of every page."""
     from ..sources.html import extract_pages
 
-    return extract_pages(table(spark, sf_dir, "pages"), keep=["page_id"])
+    return extract_pages(table(spark, sf_dir, "pages"), now="2025-01-01", keep=["page_id"]).withColumn("content", F.md5("content"))
 
 
 @query("""SELECT query_id, page_id, domain, round(1.0 - 0.1 * (row_number() OVER (PARTITION BY query_id ORDER BY page_id) - 1), 6)::DOUBLE AS score FROM (SELECT page_id % 20 AS query_id, page_id, """ + DOMAIN + """ AS domain FROM pages)""")

@@ -58,32 +58,59 @@ def doc_dedup_prefix_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.first_by_key(docs, F.col("key"), "doc_id").select("doc_id", "source")
 
 
-def _grams_sql(c: str, k: int) -> str:
-    t = f"lower({strip_sql(c)})"
+def _grams_sql(t: str, k: int) -> str:
+    """Of a column that is lower-cased and trimmed already: the lambda would do it again for every run."""
     return f"list_distinct(list_transform(range(1, CAST(greatest(length({t}) - {k - 2}, 1) AS BIGINT)), lambda i: substring({t}, i, {k})))"
 
 
 def _pairs_sql(k: int, t: float) -> str:
-    return f"""WITH b AS MATERIALIZED (SELECT item_id, {_grams_sql('text', k)} AS g FROM benchmark),
-    x AS (SELECT item_id, unnest(g) AS v FROM b), m AS (SELECT a.item_id AS left_id, c.item_id AS right_id, count(*) AS n FROM x a JOIN x c USING (v) GROUP BY ALL)
-    SELECT left_id, right_id, round(n / (len(a.g) + len(c.g) - n), 6) AS similarity FROM m JOIN b a ON a.item_id = left_id JOIN b c ON c.item_id = right_id
-    WHERE n / (len(a.g) + len(c.g) - n) >= {t}"""
+    grams = lambda name, key: f"(SELECT {key}, {_grams_sql('t', k)} AS g FROM (SELECT {key}, lower({strip_sql('text')}) AS t FROM {name}))"
+    return f"""WITH b AS MATERIALIZED {grams('benchmark', 'item_id')}, d AS MATERIALIZED {grams('documents', 'doc_id')}
+    SELECT doc_id AS left_id, item_id AS right_id, round(n / (x + y - n), 6) AS similarity FROM (SELECT doc_id, item_id, len(d.g) AS x, len(b.g) AS y, len(list_intersect(d.g, b.g)) AS n FROM d JOIN b ON len(d.g) >= {t} * len(b.g) AND len(b.g) >= {t} * len(d.g) AND len(d.g) > 0)
+    WHERE n / (x + y - n) >= {t}"""
+
+
+def _neighbours_sql(k: int, t: float) -> str:
+    return f"""WITH s AS (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS pos FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)),
+    g AS (SELECT doc_id, pos, {_grams_sql('t', k)} AS g FROM (SELECT doc_id, pos, lower({strip_sql('s[pos]')}) AS t FROM s)),
+    p AS (SELECT doc_id, pos, g, lag(g) OVER (PARTITION BY doc_id ORDER BY pos) AS h FROM g),
+    j AS (SELECT doc_id, CASE WHEN len(g) > 0 AND len(h) > 0 THEN len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) ELSE 0.0 END AS j FROM p WHERE h IS NOT NULL)
+    SELECT doc_id, count(*) AS pairs, count(*) FILTER (j >= {t}) AS alike, round(max(j), 6) AS most FROM j GROUP BY doc_id"""
+
+
+def _neighbours(spark: SparkSession, sf_dir: str, k: int, t: float) -> DataFrame:
+    rows = D.sentences(table(spark, sf_dir, "documents")).withColumn("g", S.grams(F.col("sentence"), k))
+    rows = rows.withColumn("h", F.lag("g").over(Window.partitionBy("doc_id").orderBy("pos"))).filter("h is not null").withColumn("j", S.jaccard(F.col("g"), F.col("h")))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col("j") >= t).cast("long")).alias("alike"), F.round(F.max("j"), 6).alias("most"))
+
+
+@query(_neighbours_sql(3, 0.85))
+def sentence_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike the sentences of a document are to those before them, and how many are near duplicates by the sentences' measure."""
+    return _neighbours(spark, sf_dir, 3, 0.85)
+
+
+@query(_neighbours_sql(4, 0.80))
+def chunk_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the chunks' measure."""
+    return _neighbours(spark, sf_dir, 4, 0.80)
 
 
 def _pairs(spark: SparkSession, sf_dir: str, k: int, t: float) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    return D.near_duplicate_pairs(b, b, k, t, "item_id", "item_id").withColumn("similarity", F.round("similarity", 6))
+    found = D.near_duplicate_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k, t, "doc_id", "item_id")
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
-@query(_pairs_sql(3, 0.5))
+@query(_pairs_sql(3, 0.85))
 def near_dup_jaccard3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At half the usual threshold, so that different items meet as well."""
-    return _pairs(spark, sf_dir, 3, 0.5)
+    """Documents that are nearly a benchmark item, by the sentences' measure."""
+    return _pairs(spark, sf_dir, 3, 0.85)
 
 
-@query(_pairs_sql(4, 0.4))
+@query(_pairs_sql(4, 0.80))
 def near_dup_jaccard4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, 4, 0.4)
+    """The same by the chunks' measure."""
+    return _pairs(spark, sf_dir, 4, 0.80)
 
 
 @query(f"SELECT doc_id, {usefulness_sql('text')} AS usefulness, regexp_matches(lower(text), '{'|'.join(fixed.PAGE_NOISE)}') AS noisy, length(text) >= 200 AND len(list_filter({words_sql('text')}, lambda x: length(x) <= 3)) / greatest(len({words_sql('text')}), 1) <= 0.6 AS useful FROM documents")
