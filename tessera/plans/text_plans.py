@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -184,6 +185,42 @@ def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk_documents(docs)
 
 
+VOWELS, PACK_TOKENS, PACK_THRESHOLD = "aeiou", 64, 0.93
+
+
+def vowel_embedder(texts: list[str]) -> np.ndarray:
+    """How often each vowel occurs: an embedder that SQL can express."""
+    return np.array([[t.lower().count(v) for v in VOWELS] for t in texts], np.float64).reshape(len(texts), len(VOWELS))
+
+
+def _unlike_sql(items: str, keys: str, k: int, t: float, last: int) -> str:
+    """CTEs r (keys, i, taken): which items (keys, i from 1, t: lower-cased and trimmed) aren't like any of the last ones taken before. The first taken stand first in kept."""
+    return f"""g AS MATERIALIZED (SELECT {keys}, i, {_grams_sql('t', k)} AS g FROM {items}),
+    r AS (SELECT {keys}, i, TRUE AS taken, [g] AS kept FROM g WHERE i = 1
+     UNION ALL SELECT {keys}, i, taken, CASE WHEN taken THEN list_append(kept, g)[greatest(1, len(kept) - {last - 2}):] ELSE kept END FROM
+     (SELECT g.*, r.kept, len(list_filter(r.kept, lambda x: len(x) > 0 AND len(g.g) > 0 AND least(len(x), len(g.g)) >= {t} * greatest(len(x), len(g.g)) AND len(list_intersect(x, g.g)) >= {t} * (len(x) + len(g.g) - len(list_intersect(x, g.g))))) = 0 AS taken FROM r JOIN g USING ({keys}) WHERE g.i = r.i + 1))"""
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, unnest(s) AS s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, list_filter({SENTENCES}, lambda s: NOT {NOISY}) AS s FROM documents)),
+{_unlike_sql(f"(SELECT doc_id, i, lower({strip_sql('s')}) AS t FROM s)", 'doc_id', 3, 0.85, 20)},
+l AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j, [{', '.join(f"length(lower(s)) - length(replace(lower(s), '{v}', ''))" for v in VOWELS)}]::DOUBLE[] AS v FROM s JOIN (SELECT doc_id, i FROM r WHERE taken) USING (doc_id, i)),
+n AS (SELECT *, list_dot_product(v, lag(v) OVER o) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(lag(v) OVER o, lag(v) OVER o)) + 1e-8) AS near, row_number() OVER (PARTITION BY doc_id, array_to_string({words_sql('lower(s)')}, ' ') ORDER BY j) AS again FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+a AS (SELECT doc_id, s, v, near, greatest(1, length(s) // 4) AS tok, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS k FROM n WHERE again = 1),
+p AS (SELECT doc_id, k, 1::BIGINT AS first, tok AS size, tok AS prev, NULL::BIGINT AS from_k FROM a WHERE k = 1
+ UNION ALL SELECT doc_id, k, CASE WHEN cut THEN k - 1 ELSE first END, CASE WHEN cut THEN prev + tok ELSE size + tok END, tok, CASE WHEN cut THEN first END FROM
+ (SELECT a.doc_id, a.k, a.tok, p.first, p.size, p.prev, coalesce(a.near < {PACK_THRESHOLD}, FALSE) OR p.size + a.tok > {PACK_TOKENS} AS cut FROM p JOIN a ON a.doc_id = p.doc_id AND a.k = p.k + 1)),
+f AS (SELECT doc_id, from_k AS x, k - 1 AS y FROM p WHERE from_k IS NOT NULL UNION ALL SELECT doc_id, max_by(first, k), max(k) FROM p GROUP BY doc_id),
+c AS (SELECT f.doc_id, x, y, string_agg(s, ' ' ORDER BY k) AS content, count(*) AS sentences, list(v ORDER BY k) AS vs FROM f JOIN a ON a.doc_id = f.doc_id AND a.k BETWEEN x AND y GROUP BY f.doc_id, x, y HAVING length(string_agg(s, ' ' ORDER BY k)) >= 100),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y) - 1 AS number FROM c)
+SELECT doc_id, CAST(number AS INT) AS chunk_index, CAST(greatest(1, length(content) // 4) AS INT) AS token_estimate, CAST(sentences AS INT) AS sentence_count, md5(content) AS content, source || ' [chunk ' || number || ']' AS title,
+ CASE WHEN sentences = 1 THEN 1.0 ELSE round(list_avg(list_transform(range(1, sentences), lambda i: list_dot_product(vs[i], vs[i + 1]) / (sqrt(list_dot_product(vs[i], vs[i])) * sqrt(list_dot_product(vs[i + 1], vs[i + 1])) + 1e-8))), 4) END AS coherence_score FROM e JOIN documents USING (doc_id)""")
+def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunker with an embedder that SQL can express, and a smaller budget."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.col("source").alias("title"))
+    rows = C.chunk_documents(docs, vowel_embedder, max_tokens=PACK_TOKENS, threshold=PACK_THRESHOLD)
+    return rows.select("doc_id", "chunk_index", "token_estimate", "sentence_count", F.md5("content").alias("content"), "title", "coherence_score")
+
+
 @query("""SELECT source AS domain, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n = 1""")
 def first_chunk_per_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
@@ -233,7 +270,26 @@ def greedy_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.greedy_cap(rows).select("query_id", "doc_id")
 
 
-@query()
+def _trim_sql(text: str, limit: str) -> str:
+    """A sub-select: text cut to limit characters, after the last end of a sentence or line if that is beyond 60 %."""
+    end = lambda m: f"CASE WHEN strpos(reverse(cut), '{m[::-1]}') > 0 THEN length(cut) - strpos(reverse(cut), '{m[::-1]}') - {len(m) - 1} ELSE -1 END"
+    last = f"greatest({', '.join(end(m) for m in ('. ', '! ', '? '))}, CASE WHEN strpos(reverse(cut), chr(10)) > 0 THEN length(cut) - strpos(reverse(cut), chr(10)) ELSE -1 END)"
+    return f"""(SELECT CASE WHEN length(x) <= m THEN x ELSE {strip_sql('CASE WHEN ends > m * 0.6 THEN substring(cut, 1, CAST(ends + 1 AS INT)) ELSE cut END')} END FROM (SELECT *, {last} AS ends FROM (SELECT x, m, substring(x, 1, m) AS cut FROM (SELECT {text} AS x, {limit} AS m))))"""
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, count(*) OVER (PARTITION BY source) AS n, doc_id, text, lang || '.example' AS domain, (10 - doc_id % 10) / 10 AS coherence FROM documents),
+y AS (SELECT *, round(0.5 * (1.0 - (pos - 1) / n) + 0.3 * coherence + 0.2 * 0.5, 4) AS score FROM x),
+z AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS i FROM y WHERE score >= 0.25),
+{_unlike_sql(f"(SELECT query_id, i, lower({strip_sql('text')}) AS t FROM z)", 'query_id', 4, 0.80, 10)},
+u AS (SELECT z.* FROM z JOIN (SELECT query_id, i FROM r WHERE taken) USING (query_id, i)),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, domain ORDER BY score DESC, pos) AS k FROM u) WHERE k <= 3),
+b AS (SELECT *, CAST(greatest(80, least(400, floor(score / sum(score) OVER (PARTITION BY query_id) * 3000))) AS INT) AS allocated FROM d WHERE place <= 10),
+w AS (SELECT *, {_trim_sql(_tails_sql(), 'allocated * 4')} AS content FROM b),
+v AS (SELECT *, greatest(1, length(content) // 4) AS tokens FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS j FROM v WHERE tokens >= 80),
+t AS (SELECT query_id, j, doc_id, TRUE AS taken, tokens AS used FROM o WHERE j = 1
+ UNION ALL SELECT o.query_id, o.j, o.doc_id, t.used + o.tokens <= 3000, t.used + CASE WHEN t.used + o.tokens <= 3000 THEN o.tokens ELSE 0 END FROM t JOIN o ON o.query_id = t.query_id AND o.j = t.j + 1)
+SELECT o.query_id, CAST(o.pos AS INT) AS pos, CAST(o.place AS INT) AS place, o.score, CAST(o.allocated AS INT) AS allocated_tokens, CAST(o.tokens AS INT) AS tokens, md5(o.content) AS content FROM o JOIN t ON t.query_id = o.query_id AND t.doc_id = o.doc_id WHERE t.taken""")
 def built_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole context builder, for a query per source over all its documents."""
     from ..operators import context as X
@@ -241,4 +297,4 @@ def built_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     rows = d.withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     chunks = rows.select(F.col("source").alias("query_id"), "pos", F.col("text").alias("content"), F.concat(F.lit("https://"), "lang", F.lit(".example/"), "doc_id").alias("source"), F.lit("").alias("title"), F.col("pos").alias("chunk_index"), ((10 - F.col("doc_id") % 10) / 10).alias("coherence_score"))
-    return X.build_context(chunks)
+    return X.build_context(chunks).select("query_id", "pos", "place", "score", "allocated_tokens", "tokens", F.md5("content").alias("content"))
