@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
-from .errors import ConfigError
+from .errors import TesseraError
 
 
 @dataclass(frozen=True)
@@ -28,11 +28,12 @@ class Config:
     ingest_max_pages: int = 500
     ingest_max_rows: int = 10_000
     trace_timing: bool = False
+    session_timeout: float = 45.0
     path: str = "./tessera_db"
 
     def __post_init__(self):
         if not (1 <= self.max_results <= 50 and self.chunk_size > 0 and 0 <= self.recency_weight <= 1 and self.recency_decay_days > 0):
-            raise ConfigError("a setting is out of range")
+            raise TesseraError("a setting is out of range", "config")
 
     @classmethod
     def preset(cls, name: str, **changes) -> Config:
@@ -42,11 +43,11 @@ class Config:
             "full": {},
         }
         if name not in presets:
-            raise ConfigError(f"presets are {sorted(presets)}")
+            raise TesseraError(f"presets are {sorted(presets)}", "config")
         return cls().with_(**presets[name] | changes)
 
     def with_(self, **changes) -> Config:
         unknown = set(changes) - {f.name for f in fields(self)}
         if unknown:
-            raise ConfigError(f"unknown settings: {sorted(unknown)}")
+            raise TesseraError(f"unknown settings: {sorted(unknown)}", "config")
         return replace(self, **changes)

@@ -6,10 +6,13 @@ answer consists of come to the driver.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from .config import Config
 from .errors import SessionNotFound, TesseraError
@@ -45,6 +48,7 @@ class Engine:
         self.embedder = embedder or hashed_embedder()
         self.store = ChunkStore(spark, self.config.path, self.embedder)
         self.used: DataFrame | None = None
+        self._writing = threading.Lock()  # searches run beside each other, but one at a time changes the tables
 
     # -- state tables
     def _state(self, name: str, schema: str) -> DataFrame:
@@ -102,7 +106,7 @@ class Engine:
             telemetry = found.select(S.domain(F.col("url")).alias("domain"), F.lit(0.0).alias("latency"), F.col("html").isNull().alias("failed"), F.lit(False).alias("rate_limited"))
             docs = extract_pages(found, self.config.max_chars, self._now(), keep=["rank"])
         else:
-            tried = P.fetch(urls, self.config.max_chars, get=self.get).cache()
+            tried = P.fetch(urls, self.config.max_chars, get=self.get, session_timeout=self.config.session_timeout).cache()
             telemetry = tried.select("domain", "latency", "failed", "rate_limited")
             docs = tried.filter("content is not null").join(urls.select("url", "rank"), "url").withColumn("timestamp", S.or_default(F.col("timestamp"), self._now())).select("rank", "content", "source", "title", "timestamp", "author", "image")
         docs = D.dedup_documents(docs, "rank") if self.config.use_dedup else docs
@@ -110,7 +114,7 @@ class Engine:
 
     def search(self, query: str, session: str, force_new: bool = False, max_results: int | None = None, mode: str = "simple") -> Result:
         """Finds, fetches, chunks, judges and indexes pages for a query."""
-        trace = Trace(mode=mode)
+        trace = Trace(mode)
         result = Result(session=session, query=query, mode=mode, trace=trace)
         with trace.step("total"):
             with trace.step("fetch"):
@@ -118,14 +122,14 @@ class Engine:
                 docs, telemetry = self.documents(urls)
                 docs = docs.cache()
                 result.docs = [r.asDict() for r in docs.orderBy("rank").collect()]
-            result.topic = trace.topic = topic
-            result.doc_count = trace.doc_count = len(result.docs)
+            result.topic = trace.found["topic"] = topic
+            result.doc_count = trace.found["doc_count"] = len(result.docs)
             if not result.docs:
                 result.reason = "no_docs"
                 return result
             with trace.step("chunk"):
                 chunks = chunk_documents(docs, self.embedder, max_tokens=self.config.chunk_size, dedupe=self.config.dedupe_threshold, threshold=self.config.semantic_threshold).withColumn("domain", S.domain(F.col("source"))).cache()
-                result.chunk_count = trace.chunk_count = chunks.count()
+                result.chunk_count = trace.found["chunk_count"] = chunks.count()
             if not result.chunk_count:
                 result.reason = "no_chunks"
                 return result
@@ -140,12 +144,13 @@ class Engine:
                     return result
             if self.config.use_recency_ranking:
                 chunks = R.rank_recency(chunks, F.lit(self._now()).cast("timestamp"), F.lit(topic), self.config.recency_weight, self.config.recency_decay_days)
-            with trace.step("embed"):
+            with trace.step("embed"), self._writing:
                 counts = self.store.add(chunks, session, self._now(), force_new)
             result.indexed_count = counts["indexed"]
             result.sources = [{"url": d["source"], "title": d["title"], "timestamp": d["timestamp"]} for d in result.docs]
             if self.config.use_reputation and stats is not None:
-                self.learn(query, topic, telemetry, stats)
+                with self._writing:
+                    self.learn(query, topic, telemetry, stats)
             result.success, result.status = True, "ok"
         return result
 
@@ -164,14 +169,17 @@ class Engine:
                 self._save("lexicon", ST.upsert(known, learned, ["term", "topic"]))
 
     def parallel_search(self, plan: list[dict]) -> list[Result]:
-        """Each item on its own; an error becomes a result."""
-        found = []
-        for item in plan:
+        """All items at once, each on its own; an error becomes a result."""
+        def one(item: dict) -> Result:
             try:
-                found.append(self.search(item["query"], item["session"], item.get("force_new", False), mode="parallel"))
+                return self.search(item["query"], item["session"], item.get("force_new", False), mode="parallel")
             except TesseraError as e:
-                found.append(Result(query=item["query"], session=item["session"], mode="parallel", error=str(e)))
-        return found
+                return Result(query=item["query"], session=item["session"], mode="parallel", error=str(e), reason=e.code)
+
+        if not plan:
+            return []
+        with ThreadPoolExecutor(min(8, len(plan))) as pool:
+            return list(pool.map(inheritable_thread_target(self.spark)(one), plan))
 
     def sequential_search(self, steps: list[dict]) -> list[Result]:
         """In order; a step that depends on a session gets a line of its best chunk put into its query."""
@@ -253,10 +261,21 @@ class Engine:
         """All reputation rows as JSON lines, best first."""
         ST.reputation_summary(self.reputation()).write.mode("overwrite").json(path)
 
+    def answer(self, query: str, session: str, k: int = 5) -> Result:
+        """The best chunks as a result, with the topic and the time it took."""
+        trace = Trace("query")
+        with trace.step("total"), trace.step("rerank"):
+            chunks = self.query(query, session, k)
+        trace.found |= {"topic": self.classify([query]).first()["topic"], "chunk_count": len(chunks)}
+        sources = [{"url": u} for u in dict.fromkeys(c["source"] for c in chunks)]
+        return Result(True, session, query, "query", chunks, sources, chunk_count=len(chunks), topic=trace.found["topic"], trace=trace, status="ok")
+
     def llm_context(self, query: str, session: str, k: int = 5) -> str:
         """A prompt block of numbered chunks for a language model."""
-        chunks = self.query(query, session, k)
-        if not chunks:
-            return f"[NO CONTEXT AVAILABLE]\nQuestion: {query}"
-        rows = self.spark.createDataFrame([(0, i, query, c["content"], c["source"], None, c["coherence_score"]) for i, c in enumerate(chunks)], "query_id long, pos int, question string, content string, source string, score double, coherence_score double")
-        return X.llm_context(rows).first()["prompt"]
+        return self.answer(query, session, k).to_llm()["prompt_ready"]
+
+    def with_preset(self, name: str) -> Engine:
+        """The same engine under another preset."""
+        other = Engine(self.spark, Config.preset(name, path=self.config.path), self.providers, self.pages, self.get, self.embedder, self.clock)
+        other._writing = self._writing
+        return other

@@ -8,15 +8,11 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import unquote
 
 from .engine import Engine
-from .errors import SessionNotFound, TesseraError
+from .errors import BadRequest, SessionNotFound, TesseraError
 
 FORMATS = ("json", "jsonl", "prompt", "mongodb", "llm")
 
 
-class BadRequest(TesseraError):
-    """A field is missing or out of range."""
-
-
 def field(body: dict, name: str, kind: type, default=None, low: float | None = None, high: float | None = None):
     value = body.get(name, default)
     if value is None and default is None:
@@ -27,7 +23,7 @@ def field(body: dict, name: str, kind: type, default=None, low: float | None = N
 
 
 def formatted(made, kind: str):
-    return {"json": lambda: made.to_dict(), "jsonl": lambda: made.to_jsonl(), "prompt": lambda: made.to_prompt(), "mongodb": lambda: made.to_mongodb()}[kind]()
+    return {"json": lambda: made.to_dict(), "jsonl": lambda: made.to_jsonl(), "prompt": lambda: made.to_prompt(), "mongodb": lambda: made.to_mongodb(), "llm": lambda: made.to_llm()}[kind]()
 
 
 def answer(engine: Engine, method: str, path: str, body: dict):
@@ -37,6 +33,10 @@ def answer(engine: Engine, method: str, path: str, body: dict):
     kind = body.get("format", "json")
     if kind not in FORMATS:
         raise BadRequest(f"formats are {FORMATS}")
+    if body.get("preset"):
+        engine = engine.with_preset(field(body, "preset", str))
+    if route == ("POST", "mcp"):
+        return mcp(engine, body)
     if route in (("GET",), ("GET", "health")):
         return {"status": "ok", "sessions": len(engine.list_sessions())}
     if route == ("GET", "sessions"):
@@ -48,7 +48,7 @@ def answer(engine: Engine, method: str, path: str, body: dict):
         return {"deleted": parts[1]}
     if route == ("POST", "search"):
         made = engine.search(field(body, "query", str), field(body, "session", str, "default"), field(body, "force_new", bool, False), field(body, "results", int, 12, 1, 50))
-        return formatted(made, kind if kind != "llm" else "json")
+        return formatted(made, kind)
     if route == ("POST", "search", "parallel"):
         return {"results": [r.to_dict() for r in engine.parallel_search(field(body, "plan", list))]}
     if route == ("POST", "search", "sequential"):
@@ -57,7 +57,7 @@ def answer(engine: Engine, method: str, path: str, body: dict):
         return engine.verify(field(body, "query", str), field(body, "session", str, "default")).to_dict()
     if route == ("POST", "query"):
         asked, session, k = field(body, "query", str), field(body, "session", str), field(body, "k", int, 5, 1, 50)
-        return {"prompt": engine.llm_context(asked, session, k)} if kind == "llm" else {"chunks": engine.query(asked, session, k)}
+        return {"chunks": engine.query(asked, session, k)} if kind == "json" else formatted(engine.answer(asked, session, k), kind)
     if route == ("POST", "context"):
         made = engine.build_context(field(body, "query", str), field(body, "session", str), field(body, "k", int, 10, 1, 50), body.get("token_budget"))
         return formatted(made, kind if kind != "llm" else "prompt")
@@ -66,6 +66,35 @@ def answer(engine: Engine, method: str, path: str, body: dict):
     raise SessionNotFound("/".join(parts)) if parts[:1] == ["sessions"] else BadRequest("no such endpoint")
 
 
+#: Tools of the JSON-RPC endpoint: what they do, and their arguments.
+TOOLS = {
+    "search": ("Find, fetch and index pages for a query", ("query", "session")),
+    "query": ("The best chunks of a session for a question, for a language model", ("query", "session")),
+    "context": ("A token-budgeted context of a session for a question", ("query", "session")),
+    "sessions": ("The sessions that are stored", ()),
+}
+
+
+def mcp(engine: Engine, body: dict) -> dict:
+    """Model Context Protocol over JSON-RPC: initialize, tools/list and tools/call."""
+    method, params = body.get("method"), body.get("params") or {}
+    reply = {"jsonrpc": "2.0", "id": body.get("id")}
+    if method == "initialize":
+        return reply | {"result": {"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "tessera", "version": "1"}}}
+    if method == "tools/list":
+        schema = lambda names: {"type": "object", "properties": {n: {"type": "string"} for n in names}, "required": list(names)}
+        return reply | {"result": {"tools": [{"name": n, "description": d, "inputSchema": schema(a)} for n, (d, a) in TOOLS.items()]}}
+    if method != "tools/call" or params.get("name") not in TOOLS:
+        return reply | {"error": {"code": -32601, "message": "no such method or tool"}}
+    name, own = params["name"], params.get("arguments") or {}
+    try:
+        asked = [field(own, a, str) for a in TOOLS[name][1]]
+        made = {"search": lambda: engine.search(*asked).to_json(), "query": lambda: engine.llm_context(*asked), "context": lambda: engine.build_context(*asked).to_prompt(), "sessions": lambda: "\n".join(engine.list_sessions())}[name]()
+        return reply | {"result": {"content": [{"type": "text", "text": made}], "isError": False}}
+    except TesseraError as e:
+        return reply | {"result": {"content": [{"type": "text", "text": str(e)}], "isError": True}}
+
+
 def make_server(engine: Engine, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
     lock = threading.Lock()  # one request changes the tables at a time
 
@@ -78,11 +107,11 @@ def make_server(engine: Engine, host: str = "127.0.0.1", port: int = 8000) -> Th
                 with lock:
                     found = answer(engine, self.command, self.path, body)
             except SessionNotFound as e:
-                status, found = 404, {"error": str(e)}
-            except (BadRequest, ValueError) as e:
-                status, found = 422, {"error": str(e)}
+                status, found = 404, e.to_dict()
             except TesseraError as e:
-                status, found = 500, {"error": str(e)}
+                status, found = (422 if e.code in ("request", "config", "format", "ingest") else 500), e.to_dict()
+            except ValueError as e:
+                status, found = 422, {"error": str(e)}
             data = (found if isinstance(found, str) else json.dumps(found, default=str, ensure_ascii=False)).encode()
             self.send_response(status)
             self.send_header("Content-Type", "text/plain; charset=utf-8" if isinstance(found, str) else "application/json")

@@ -10,6 +10,7 @@ import io
 import json
 import os
 import sqlite3
+import warnings
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -18,12 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import IngestError, MissingDependency, UnsupportedFormat
+from ..errors import TesseraError
 from ..functions import scalar as S
 from ..operators.documents import make_documents
 
 DOCUMENT = "content string, source string, title string, timestamp string, author string, image string"
-EXTENSIONS = ("pdf", "docx", "txt", "csv", "json")
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -108,7 +108,7 @@ def read_pdf(spark: SparkSession, path: str, max_pages: int = 500, now: str | No
     try:
         import fitz  # noqa: F401
     except ImportError as e:
-        raise MissingDependency("pymupdf", path) from e
+        raise TesseraError("pymupdf is needed to read this source", "dependency", source=path) from e
 
     def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import fitz
@@ -130,7 +130,7 @@ def _row_text(record: dict) -> str:
 def read_sqlite(spark: SparkSession, path: str, table: str | None = None, query: str | None = None, max_rows: int = 10_000, now: str | None = None) -> DataFrame:
     """A document per row (#row0 on); cells that are null, zero or empty are left out. query has no limit of rows, a table has. The file is read by one task."""
     if not (table or query):
-        raise IngestError("give a table or a query", path)
+        raise TesseraError("give a table or a query", "ingest", source=path)
     statement = query or f'SELECT * FROM "{table}" LIMIT {int(max_rows)}'
     label = table or "query"
 
@@ -150,7 +150,7 @@ def read_sqlite(spark: SparkSession, path: str, table: str | None = None, query:
 def read_jdbc(spark: SparkSession, url: str, query: str, max_rows: int = 10_000, properties: dict | None = None, now: str | None = None) -> DataFrame:
     """A document per row of a query (#row0 on). The driver of the database must be on the class path."""
     if not query:
-        raise IngestError("give a query", url)
+        raise TesseraError("give a query", "ingest", source=url)
     reader = spark.read.format("jdbc").option("url", url).option("query", query).option("fetchsize", 5000)
     rows = reader.options(**(properties or {})).load().limit(max_rows)
     parts = [F.when(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).isin("", "0", "0.0", "false"), None).otherwise(F.concat(F.lit(f"{c}: "), F.col(f"`{c}`").cast("string"))) for c in rows.columns]
@@ -168,25 +168,62 @@ def ingest(spark: SparkSession, source: str, **options) -> DataFrame:
         return read_sqlite(spark, source.replace("sqlite://", "", 1), **options)
     if source.startswith(("postgresql://", "postgres://")):
         return read_jdbc(spark, "jdbc:postgresql://" + source.split("://", 1)[1], **options)
-    if os.path.isdir(source):
+    if _is_folder(spark, source):
         return ingest_folder(spark, source, **options)
     kind = source.rsplit(".", 1)[-1].lower() if "." in os.path.basename(source) else ""
     if kind not in READERS:
-        raise UnsupportedFormat(f"no reader for .{kind}", source)
+        raise TesseraError(f"no reader for .{kind}", "format", source=source)
     return READERS[kind](spark, source, **options)
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """On any file system that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(at) and fs.getFileStatus(at).isDirectory()
+
+
+def csv_rows(data: bytes, max_rows: int = 10_000) -> list[tuple[int, str]]:
+    """(number from 1, text) of the rows of a CSV file."""
+    rows = pd.read_csv(io.BytesIO(data), nrows=max_rows)
+    texts = (" | ".join(f"{c}: {cell(v)}" for c, v in r.items() if cell(v).strip()) for r in rows.to_dict("records"))
+    return [(i, t) for i, t in enumerate(texts, 1) if t]
+
+
+def file_documents(source: str, data: bytes) -> list[tuple[str, str, str]]:
+    """(content, source, title) of the documents of a text, CSV, JSON or DOCX file, by its extension."""
+    name = os.path.basename(source)
+    kind = name.rsplit(".", 1)[-1].lower()
+    if kind == "csv":
+        return [(t, f"{source}#row{i}", name) for i, t in csv_rows(data)]
+    if kind == "json":
+        value = json.loads(data.decode("utf-8", "ignore"))
+        listed = [(f"{source}#item{i}", v) for i, v in enumerate(value)] if isinstance(value, list) else [(source, value)]
+        return [(flatten_json(v), s, name) for s, v in listed if flatten_json(v).strip()]
+    text = docx_text(data) if kind == "docx" else data.decode("utf-8", "ignore").strip()
+    return [(text, source, name)] if text else []
+
+
 def ingest_folder(spark: SparkSession, folder: str, now: str | None = None) -> DataFrame:
-    """Documents of all files below a folder that have a reader; files that can't be read are left out."""
-    found = spark.createDataFrame([], DOCUMENT)
-    for base, _, names in sorted(os.walk(folder)):
-        for name in sorted(names):
-            if name.rsplit(".", 1)[-1].lower() in EXTENSIONS:
+    """Documents of all files below a folder that have a reader, on any file system, in one pass of many tasks.
+
+    Files that can't be read are left out, and PDFs where pymupdf is missing.
+    """
+    def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for source, data in zip(part["source"], part["data"], strict=True):
                 try:
-                    one = ingest(spark, os.path.join(base, name), now=now)
-                    one.limit(1).count()
-                except Exception as e:  # noqa: BLE001
-                    print(f"left out {name}: {str(e)[:200]}")
-                    continue
-                found = found.unionByName(one)
-    return found
+                    rows += file_documents(source, bytes(data))
+                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    warnings.warn(f"left out {source}: {e}", stacklevel=1)
+            yield pd.DataFrame(rows, columns=["content", "source", "title"])
+
+    found = _documents(_whole(spark, folder, "*.{txt,csv,json,docx,TXT,CSV,JSON,DOCX}").mapInPandas(load, "content string, source string, title string"), now)
+    try:
+        return found.unionByName(read_pdf(spark, folder, now=now, glob="*.{pdf,PDF}"))
+    except TesseraError as e:
+        if e.code != "dependency":
+            raise
+        warnings.warn(f"PDFs are left out: {e}", stacklevel=2)
+        return found

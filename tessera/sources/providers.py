@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import html as html_escapes
 import json
 import random
+import re
 import time
 import urllib.error
 import urllib.parse
@@ -14,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import TesseraError
 from ..functions import scalar as S
 from ..operators.rank import lexical_scorer, merge_providers
 from .html import extract, title_column
@@ -65,8 +69,58 @@ class JsonProvider:
         return queries.select("query_id", "query").mapInPandas(run, HIT)
 
 
+class HtmlProvider:
+    """Asks a search site that answers with a page of links; what redirects through the site is taken at its target. Rows without a URL are left out."""
+
+    def __init__(self, address: str = "https://html.duckduckgo.com/html/", name: str = "html", timeout: float = 10.0, get: Callable[[str, float], bytes] | None = None):
+        self.address, self.name, self.timeout, self.get = address, name, timeout, get or http_get
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        address, name, timeout, get = self.address, self.name, self.timeout, self.get
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                rows = []
+                for query_id, query in zip(part["query_id"], part["query"], strict=True):
+                    try:
+                        page = get(f"{address}?{urllib.parse.urlencode({'q': query})}", timeout).decode("utf-8", "replace")
+                    except (OSError, ValueError):
+                        continue
+                    links = [(target(u), " ".join(re.sub(r"<[^>]*>", " ", t).split())) for u, t in re.findall(r"""(?is)<a[^>]*class=["'][^"']*result__a[^"']*["'][^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>""", page)]
+                    rows += [(query_id, i, u, html_escapes.unescape(t), "", name) for i, (u, t) in enumerate([x for x in links if x[0]][:k], 1)]
+                yield pd.DataFrame(rows, columns=["query_id", "rank", "url", "title", "snippet", "engine"])
+
+        return queries.select("query_id", "query").mapInPandas(run, HIT)
+
+
+def target(link: str) -> str:
+    """The URL that a result's link leads to, '' if it is none."""
+    parts = urllib.parse.urlsplit(html_escapes.unescape(link))
+    inner = urllib.parse.parse_qs(parts.query).get("uddg", [""])[0]
+    found = inner or urllib.parse.urlunsplit(parts)
+    return found if found.startswith(("http://", "https://")) else ""
+
+
+#: What requests say they come from; each takes one by chance.
+AGENTS = [f"Mozilla/5.0 ({system}) {engine}" for system in ("X11; Linux x86_64", "Windows NT 10.0; Win64; x64", "Macintosh; Intel Mac OS X 10_15_7") for engine in ("Gecko/20100101 Firefox/128.0", "AppleWebKit/537.36 (KHTML, like Gecko) Chrome/126.0 Safari/537.36")]
+
+
+def browser_get(url: str, timeout: float) -> bytes:
+    """The page as a browser renders it. Needs playwright."""
+    try:
+        from playwright.sync_api import sync_playwright
+    except ImportError as e:
+        raise TesseraError("playwright is needed to render pages", "dependency", url=url) from e
+    with sync_playwright() as p, p.chromium.launch() as browser:
+        page = browser.new_page()
+        page.route("**/*", lambda r: r.abort() if r.request.resource_type in ("image", "media", "font", "stylesheet") else r.continue_())
+        page.goto(url, timeout=timeout * 1000)
+        page.wait_for_timeout(1500)
+        return page.content().encode()
+
+
 def http_get(url: str, timeout: float) -> bytes:
-    request = urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0 (compatible; tessera)", "Accept-Language": "en"})  # noqa: S310
+    request = urllib.request.Request(url, headers={"User-Agent": random.choice(AGENTS), "Accept-Language": "en"})  # noqa: S310, S311
     with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310
         return answer.read()
 
@@ -83,32 +137,40 @@ def search(queries: DataFrame, providers: list, k: int = 12) -> DataFrame:
 FETCHED = "query_id long, url string, title string, content string, source string, timestamp string, author string, image string, domain string, attempt int, latency double, failed boolean, rate_limited boolean, content_empty boolean, status_code int"
 
 
-def fetch(urls: DataFrame, max_chars: int = 2000, retries: int = 2, timeout: float = 10.0, get: Callable[[str, float], bytes] | None = None, wait: Callable[[float], None] = time.sleep, seed: int = 0) -> DataFrame:
+def fetch(urls: DataFrame, max_chars: int = 2000, retries: int = 2, timeout: float = 10.0, get: Callable[[str, float], bytes] | None = None, wait: Callable[[float], None] = time.sleep, seed: int = 0, session_timeout: float = 45.0, render: Callable[[str, float], bytes] | None = None) -> DataFrame:
     """A row per attempt to fetch each URL (query_id, url): telemetry, and the document where it worked.
 
     URLs are dealt by domain, so one task speaks to a site. An HTTP error is tried again after
-    1.5 ** attempt seconds and up to half a second more; other errors end the attempts.
+    1.5 ** attempt seconds and up to half a second more; other errors end the attempts. Requests to a site
+    stand a moment apart. What isn't asked for within ``session_timeout`` seconds from now has failed.
+    render (say browser_get) is tried where the last attempt failed.
     """
-    get = get or http_get
+    get, until = get or http_get, time.time() + session_timeout
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = random.Random(seed)
         for part in parts:
             rows = []
             for query_id, url, domain in zip(part["query_id"], part["url"], part["domain"], strict=True):
+                if rows and rows[-1]["domain"] == domain:
+                    wait(rng.uniform(0.1, 0.4))
                 for attempt in range(retries + 1):
+                    late = time.time() > until
                     began, status, page, again = time.monotonic(), None, None, False
                     try:
-                        page = get(url, timeout).decode("utf-8", "replace")
-                        status = 200
+                        if not late:
+                            page, status = get(url, timeout).decode("utf-8", "replace"), 200
                     except urllib.error.HTTPError as e:
                         status, again = e.code, True
                     except (OSError, ValueError):
                         pass
+                    if page is None and render and not late and (not again or attempt == retries):
+                        with contextlib.suppress(OSError, ValueError):
+                            page = render(url, timeout).decode("utf-8", "replace")
                     found = extract(page, max_chars) if page else None
                     own = found or {}
                     rows.append({"query_id": query_id, "url": url, "domain": domain, "attempt": attempt, "latency": time.monotonic() - began, "failed": page is None, "rate_limited": status == 429, "content_empty": page is not None and found is None, "status_code": status, "source": url, **{c: own.get(c) for c in ("title", "content", "timestamp", "author", "image")}})
-                    if not again or attempt == retries:
+                    if not again or late or attempt == retries:
                         break
                     wait(1.5**attempt + rng.random() / 2)
             frame = pd.DataFrame(rows, columns=[x.split()[0] for x in FETCHED.split(", ")])

@@ -63,6 +63,11 @@ def test_http(engine):
         assert ask("GET", "/health")[0] == 200 and "s" in json.loads(ask("GET", "/sessions")[1])["sessions"]
         for kind in ("json", "jsonl", "prompt", "mongodb"):
             assert ask("POST", "/context", {"query": "decorators", "session": "s", "format": kind})[0] == 200
+        told = json.loads(ask("POST", "/query", {"query": "decorators", "session": "s", "format": "llm", "preset": "fast"})[1])
+        assert told["retrieved_chunks"] == len(told["context"]) > 0 and told["topic"] and "total=" in told["timing"] and told["conflicts"] == [] and told["prompt_ready"].startswith("[RETRIEVAL CONTEXT]")
+        assert [t["name"] for t in json.loads(ask("POST", "/mcp", {"id": 1, "method": "tools/list"})[1])["result"]["tools"]] == ["search", "query", "context", "sessions"]
+        called = json.loads(ask("POST", "/mcp", {"id": 2, "method": "tools/call", "params": {"name": "query", "arguments": {"query": "decorators", "session": "s"}}})[1])
+        assert called["id"] == 2 and called["result"]["content"][0]["text"].startswith("[RETRIEVAL CONTEXT]") and json.loads(ask("POST", "/mcp", {"id": 3, "method": "other"})[1])["error"]
         assert ask("POST", "/query", {"query": "x", "session": "none"})[0] == 404 and ask("POST", "/query", {"query": "x", "session": "s", "k": 99})[0] == 422 and ask("POST", "/nothing", {"a": 1})[0] == 422
     finally:
         server.shutdown()
@@ -75,6 +80,23 @@ def test_verify(engine):
     assert "v" not in engine.list_sessions()
 
 
+def test_parallel(engine):
+    found = engine.parallel_search([{"query": "python decorators guide", "session": "p1"}, {"query": "python decorators guide", "session": "p2"}, {"query": "zzzzzzzz qqqqqqqq", "session": "p3"}])
+    assert [(r.session, r.success) for r in found] == [("p1", True), ("p2", True), ("p3", False)] and found[2].reason == "no_docs"
+    assert {"p1", "p2"} <= set(engine.list_sessions())
+    for s in ("p1", "p2"):
+        engine.delete_session(s)
+
+
+def test_prompts():
+    from tessera.result import Result
+
+    r = Result(query="q", chunks=[{"title": "T", "source": "u", "content": "c" * 700}, {"content": "x", "score": 0.12345}])
+    assert r.to_prompt() == f"[1] T\nSource: u\n{'c' * 600}\n\n[2] \nSource: \nx" and not r
+    told = r.to_llm()
+    assert told["context"][1] == {"index": 2, "source": "unknown", "confidence": 0.123, "text": "x"} and Result(query="q").to_llm()["prompt_ready"] == "[NO CONTEXT AVAILABLE]\nQuestion: q"
+
+
 def test_nothing_found(engine):
     assert engine.search("zzzzzzzz qqqqqqqq", "n").reason == "no_docs"
 
@@ -86,10 +108,10 @@ def test_ingest(engine, tmp_path):
 
 def test_config():
     assert Config.preset("fast").max_results == 6
-    with pytest.raises(errors.ConfigError):
-        Config.preset("other")
-    with pytest.raises(errors.ConfigError):
-        Config().with_(nothing=1)
+    for wrong in (lambda: Config.preset("other"), lambda: Config().with_(nothing=1), lambda: Config(max_results=0)):
+        with pytest.raises(errors.TesseraError) as e:
+            wrong()
+        assert e.value.code == "config"
 
 
 def test_cli(spark, pages, tmp_path, capsys):

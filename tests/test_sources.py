@@ -47,13 +47,15 @@ def test_sqlite(spark, tmp_path):
     rows = FI.ingest(spark, f"sqlite://{path}", table="t").collect()
     assert [(r["content"], r["source"].rsplit("#", 1)[-1]) for r in rows] == [("a: 1 | b: x", "row0"), ("a: 2", "row2")]
     assert FI.read_sqlite(spark, path, query="SELECT b FROM t WHERE a = 1").first()["content"] == "b: x"
-    with pytest.raises(errors.IngestError):
+    with pytest.raises(errors.TesseraError) as e:
         FI.read_sqlite(spark, path)
+    assert e.value.code == "ingest"
 
 
 def test_unsupported(spark):
-    with pytest.raises(errors.UnsupportedFormat):
+    with pytest.raises(errors.TesseraError) as e:
         FI.ingest(spark, "/tmp/x.xyz")
+    assert e.value.code == "format" and e.value.to_dict()["source"] == "/tmp/x.xyz"
 
 
 def test_fetch(spark):
@@ -73,3 +75,21 @@ def test_json_provider(spark):
     asked = spark.createDataFrame([(0, "q")], "query_id long, query string")
     rows = P.JsonProvider(["http://down", "http://up"], get=get).search(asked, 3).orderBy("rank").collect()
     assert [r["url"] for r in rows] == ["u1", "u2"]
+
+
+def test_html_provider(spark):
+    page = b"""<a rel="x" class="result__a" href="//site/l/?uddg=https%3A%2F%2Fa.org%2F1&amp;r=2">A <b>one</b></a><a class="result__a" href="https://b.org/">B &amp; two</a><a class="result__a" href="javascript:x">C</a><a href="https://c.org">no</a>"""
+    asked = spark.createDataFrame([(0, "q")], "query_id long, query string")
+    rows = P.HtmlProvider(get=lambda url, timeout: page).search(asked, 5).orderBy("rank").collect()
+    assert [(r["url"], r["title"]) for r in rows] == [("https://a.org/1", "A one"), ("https://b.org/", "B & two")]
+
+
+def test_fetch_late_and_rendered(spark):
+    urls = spark.createDataFrame([(0, "http://a.org/1"), (0, "http://a.org/2")], "query_id long, url string")
+    late = P.fetch(urls, get=P.offline_get({"http://a.org/1": PAGE}), wait=lambda s: None, session_timeout=-1.0).collect()
+    assert len(late) == 2 and all(r["failed"] for r in late)
+    rows = {r["url"]: r for r in P.fetch(urls, get=P.offline_get({"http://a.org/1": PAGE}), wait=lambda s: None, render=lambda u, t: PAGE.encode()).collect()}
+    assert rows["http://a.org/2"]["title"] == "A & B"
+    with pytest.raises(errors.TesseraError) as e:
+        P.browser_get("http://a.org", 1.0)
+    assert e.value.code == "dependency"
