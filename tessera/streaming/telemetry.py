@@ -78,15 +78,61 @@ def controller_stream(fetches: DataFrame) -> DataFrame:
     return keyed_state(fetches, ["session"], "session string, concurrency int, memo string", step, ["at", "seq"])
 
 
-def upsert_each_batch(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Keeps the newest row per key in a table: each batch writes a new version beside the last."""
+def rolling_latency(fetches: DataFrame, size: int = 50, time: str = "ts") -> DataFrame:
+    """domain, n, p50, p95 (nearest rank) of the last ``size`` successes of each domain, after every micro-batch that touched it."""
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        new = pd.concat(list(parts)).sort_values("at", kind="stable")
+        held = [*held, *new["latency"][~new["failed"].astype(bool)].tolist()][-size:]
+        state.update((held,))
+        s = sorted(held)
+        if s:
+            yield pd.DataFrame({"domain": [key[0]], "n": [len(s)], "p50": [s[len(s) // 2]], "p95": [s[min(int(0.95 * len(s)), len(s) - 1)]]})
+
+    rows = fetches.select("domain", F.col(time).alias("at"), F.col("latency").cast("double").alias("latency"), "failed")
+    return rows.groupBy("domain").applyInPandasWithState(run, "domain string, n long, p50 double, p95 double", "held array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def expired(rows: DataFrame, key: str, after_hours: float, time: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """key, latest: a row for each key once the watermark is ``after_hours`` past its newest event (sessions that are stale after 24, terms whose probation of 30 days ends). A later event starts anew."""
+    def run(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            latest = state.get[0]
+            state.remove()
+            yield pd.DataFrame({key: [own[0]], "latest": [pd.Timestamp(latest, unit="us")]})
+            return
+        newest = max(int(part["at"].max()) for part in parts)
+        newest = max(newest, state.get[0]) if state.exists else newest
+        state.update((newest,))
+        state.setTimeoutTimestamp(max(newest // 1000 + int(after_hours * 3_600_000), state.getCurrentWatermarkMs() + 1))
+
+    seen = rows.withWatermark(time, late).select(key, time, F.unix_micros(time).alias("at"))
+    kind = dict(rows.dtypes)[key]
+    return seen.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, latest timestamp", "latest long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def upsert_each_batch(stream: DataFrame, path: str, keys: list[str], checkpoint: str, partitions: int = 64):
+    """Keeps the newest row per key in a table (see upserted()): each batch rewrites only the partitions, by a hash of the key, that it touches.
+
+    A batch that fails half-way is run again with the same rows, which changes nothing that it already did.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        versions = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-        versions = [v for v in versions if v < f"v{number:012d}"]
-        rows = ST.upsert(spark.read.parquet(f"{path}/{versions[-1]}"), batch, keys) if versions else batch
-        rows.write.mode("overwrite").parquet(f"{path}/v{number:012d}")
+        spark, table = batch.sparkSession, f"{path.rstrip('/')}/rows"
+        new = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(partitions)).cast("int")).cache()
+        touched = [r["part"] for r in new.select("part").distinct().collect()]
+        if touched:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+            fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            rows = ST.upsert(spark.read.parquet(table).filter(F.col("part").isin(touched)).select(*new.columns), new, keys) if fs.exists(at) else new
+            staged = f"{path.rstrip('/')}/staged/b{number:012d}"  # what is read can't be written over
+            rows.write.mode("overwrite").parquet(staged)
+            spark.read.parquet(staged).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(table)
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged), True)
+        new.unpersist()
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def upserted(spark, path: str) -> DataFrame:
+    """The table that upsert_each_batch() keeps."""
+    return spark.read.parquet(f"{path.rstrip('/')}/rows").drop("part")

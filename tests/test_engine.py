@@ -122,11 +122,24 @@ def test_cli(spark, pages, tmp_path, capsys):
     assert cli.main([*base, "sessions"], spark) == 0 and "c" in capsys.readouterr().out
     assert cli.main([*base, "inspect", "--show", "reputation"], spark) == 0
     assert cli.main([*base, "query", "x", "--session", "missing"], spark) == 1
+    capsys.readouterr()
+    assert cli.main([*base, "read", "1"], spark) == 0 and "Decorators wrap" in capsys.readouterr().out
+    assert cli.main([*base, "read", "99"], spark) == 1
+    note = tmp_path / "note.txt"
+    note.write_text("A file may be read too, as long as its sentences are long enough to be kept by the chunker today.")
+    capsys.readouterr()
+    assert cli.main([*base, "read", str(note), "--raw"], spark) == 0 and capsys.readouterr().out.startswith("A file may be read")
+    assert cli.main([*base, "query", "decorators", "--session", "c", "--json"], spark) == 0 and json.loads(capsys.readouterr().out)[0]["content"]
+    assert cli.main([*base, "query", "decorators", "--session", "c", "--scores"], spark) == 0 and capsys.readouterr().out.startswith("#")
+    assert cli.main([*base, "inspect", "--show", "candidates"], spark) == 0
 
 
 def test_render():
     assert cli.render_table("a | b\n---|---\n1 | 2").split("\n") == ["a  b", "-  -", "1  2"]
     assert cli.render_paragraphs("x" * 70 + "\n\nshort") == "x" * 70
+    assert cli.render_paragraphs("Home\nAbout\nContact us\nMore of the menu that is long enough to count\nEnd\n\n" + "y" * 70) == "y" * 70
+    chunks = [{"content": "One paragraph that is long enough to be shown to a reader.", "coherence_score": c} for c in (0.1, 0.9, 0.9)] + [{"content": "a\nb\nc", "coherence_score": 1.0}]
+    assert cli.unrepeated(chunks) == ["One paragraph that is long enough to be shown to a reader."]
 
 
 def _stream(spark, rows, schema, path):
@@ -157,3 +170,38 @@ def test_windows(spark, tmp_path):
     query.stop()
     first = spark.table("windows").orderBy("start").first()
     assert (first["fetches"], first["failures"], first["avg_latency"]) == (2, 1, 1.0)
+
+
+def test_rolling_latency(spark, tmp_path):
+    schema = "ts timestamp, domain string, latency double, failed boolean"
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [[(day + dt.timedelta(seconds=10 * b + i), "a", float(10 * b + i), i == 3) for i in range(10)] for b in range(3)]
+    query = TS.rolling_latency(_stream(spark, rows, schema, tmp_path / "in"), 5).writeStream.outputMode("update").format("memory").queryName("rolling").start()
+    query.processAllAvailable()
+    query.stop()
+    assert (5, 27.0, 29.0) in {(r["n"], r["p50"], r["p95"]) for r in spark.table("rolling").collect()}
+
+
+def test_expiry(spark, tmp_path):
+    schema = "ts timestamp, session string"
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [[(day, "a"), (day, "b")], [(day + dt.timedelta(hours=20), "b")], [(day + dt.timedelta(hours=30), "c")], [(day + dt.timedelta(hours=31), "c")]]
+    query = TS.expired(_stream(spark, rows, schema, tmp_path / "in"), "session", 24).writeStream.outputMode("append").format("memory").queryName("expired").start()
+    query.processAllAvailable()
+    query.stop()
+    assert {r["session"] for r in spark.table("expired").collect()} == {"a"}
+
+
+def test_upserts(spark, tmp_path):
+    schema = "term string, topic string, confidence double, at double, seq long"
+    rows = [[(f"t{i}", "x", 0.9, float(b), b) for i in range(10) if (i + b) % 3] for b in range(4)]
+    stream = TS.lexicon_stream(_stream(spark, rows, schema, tmp_path / "in"), 0.0)
+    query = TS.upsert_each_batch(stream, str(tmp_path / "table"), ["term", "topic"], str(tmp_path / "mark"), 4).start()
+    query.processAllAvailable()
+    query.stop()
+    got = {r["term"]: r["observations"] for r in TS.upserted(spark, str(tmp_path / "table")).collect()}
+    assert got == {f"t{i}": sum(1 for b in range(4) if (i + b) % 3) for i in range(10)}
