@@ -62,9 +62,11 @@ def alignments(index: DataFrame, anchors: DataFrame, slack: int = SLACK) -> Data
     """
     first = index.join(broadcast_if(anchors, BROADCAST_ROWS).withColumnRenamed("term1", "term"), "term").withColumn("shift", F.col("pos") - F.col("pos1"))
     alone = first.filter("pos2 is null and whole").select("doc_id", "row", "key", "shift", F.lit(True).alias("exact"))
-    want = first.filter("pos2 is not null").select("doc_id", "row", "key", "shift", "whole", F.col("term2").alias("term"), F.explode(F.sequence(F.lit(-slack), F.lit(slack))).alias("off"), "pos2").withColumn("pos", F.col("shift") + F.col("pos2") + F.col("off"))
-    same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), *[F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("row", "term", "pos")]]
-    both = want.alias("a").join(index.alias("b"), same, "left_semi").select("doc_id", "row", "key", "shift", (F.col("whole") & (F.col("off") == 0)).alias("exact"))
+    cell = lambda pos: F.floor(pos / (2 * slack + 1))  # noqa: E731  places within slack of one lie in two cells at most
+    want = first.filter("pos2 is not null").select("doc_id", "row", "key", "shift", "whole", F.col("term2").alias("term"), (F.col("shift") + F.col("pos2")).alias("pos"))
+    want = want.withColumn("cell", F.explode(F.array_distinct(F.array(cell(F.col("pos") - slack), cell(F.col("pos") + slack)))))
+    same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), *[F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("row", "term", "cell")], F.abs(F.col("a.pos") - F.col("b.pos")) <= slack]
+    both = want.alias("a").join(index.withColumn("cell", cell(F.col("pos"))).alias("b"), same).select("a.doc_id", "a.row", "key", "shift", (F.col("whole") & (F.col("a.pos") == F.col("b.pos"))).alias("exact"))
     return both.unionByName(alone).groupBy("doc_id", "row", "key", "shift").agg(F.max("exact").alias("exact"))
 
 
@@ -77,7 +79,8 @@ def compared(corpus: DataFrame, items: DataFrame, found: DataFrame, slack: int =
     asked = asked.join(broadcast_if(items, BROADCAST_ROWS // 10), "key").groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "item", "m", "win", "exact", "shifts")).alias("asked"))
     asked = materialize(asked, "decon-alignments")
     same = [F.col("c.doc_id").eqNullSafe(F.col("k.doc_id")), F.col("c.row") == F.col("k.row")]
-    rows = corpus.alias("c").join(asked.alias("k"), same).select("c.doc_id", "c.row", "k.asked", alnum_words(F.col("c.text")).alias("words"))
+    texts = corpus.alias("c").join(broadcast_if(asked.select("doc_id", "row"), BROADCAST_ROWS).alias("k"), same, "left_semi")  # no other text is moved
+    rows = texts.alias("c").join(asked.alias("k"), same).select("c.doc_id", "c.row", "k.asked", alnum_words(F.col("c.text")).alias("words"))
     rows = rows.dropDuplicates(["doc_id", "row"])
     place = """filter(sequence(greatest(0, -s), greatest(least(a.m - a.win, size(words) - a.win - s), greatest(0, -s))),
         i -> i <= a.m - a.win and i + s + a.win <= size(words) and slice(a.item, i + 1, a.win) = slice(words, i + s + 1, a.win))"""
