@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the setting is missing (a test on one machine) a folder below the SQL
-    warehouse is used in its place; that is shared wherever tables can be saved.
+    Where the setting is missing, a folder of the application's own below /tmp serves in its place, but
+    only if Spark runs on one machine (as in tests); on a cluster that is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
@@ -41,11 +41,26 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends, and sizes are known to the planner."""
+    """Write df to the shared folder and read it again: lineage ends, and sizes are known to the planner. discard() removes it."""
     spark = df.sparkSession
     path = path or scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _TABLES[id(found)] = (found, path)
+    return found
+
+
+#: The tables that materialize() wrote and discard() hasn't removed, by the frame that reads them.
+_TABLES: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Removes tables of materialize() from which nothing is read any more."""
+    for df in frames:
+        known = _TABLES.pop(id(df), None)
+        if known:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(known[1])
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -67,9 +82,14 @@ def alnum_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), NON_WORD), "")
 
 
+#: Bytes of Parquet, as the planner knows them, beyond which nothing is broadcast whatever its rows.
+BROADCAST_BYTES = 100_000_000
+
+
 def small(df: DataFrame, rows: int) -> bool:
-    """Whether df holds at most so many rows; looks at no more than rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df holds at most so many rows, of which it looks at no more than one beyond, and BROADCAST_BYTES."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows
 
 
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def contract(links: DataFrame, name: str = "components") -> DataFrame:
@@ -20,7 +20,10 @@ def contract(links: DataFrame, name: str = "components") -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         parent = materialize(both.groupBy(F.col("a").alias("old")).agg(F.least(F.first("a"), F.min("b")).alias("new")), f"{name}-parents")
+        before = nodes, edges
         nodes = materialize(nodes.join(parent, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp")), f"{name}-nodes")
         left = edges.join(parent, F.col("a") == F.col("old")).select(F.col("new").alias("a"), "b")
         edges = materialize(left.join(parent, F.col("b") == F.col("old")).select("a", F.col("new").alias("b")).filter("a <> b").distinct(), f"{name}-edges")
+        discard(*before, parent)
+    discard(edges)
     return nodes

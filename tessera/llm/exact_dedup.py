@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, broadcast_if, materialize, row_key, small, table, text_or_empty
+from .common import UPPER, ascii_lower, broadcast_if, discard, materialize, row_key, small, table, text_or_empty
 
 KEY = ["key", "sha", "n_bytes"]
 #: Distinct texts that a bucket holds before it is split.
@@ -35,7 +35,9 @@ def directory(groups: DataFrame, capacity: int, max_depth: int) -> DataFrame:
             break
         half = F.expr(f"shiftleft(shiftright(slot, {max_depth - depth}), {max_depth - depth})")
         split = leaves.join(broadcast_if(overfull, BROADCAST_ROWS), "bucket", "left")
+        before = leaves
         leaves = materialize(split.select("slot", "n", F.when(F.col("overfull"), half).otherwise(F.col("bucket")).alias("bucket"), F.when(F.col("overfull"), depth).otherwise(F.col("local_depth")).alias("local_depth")), "dedup-directory")
+        discard(before, overfull)
     return leaves.drop("n")
 
 

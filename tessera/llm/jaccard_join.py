@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, materialize, row_key, table
+from .common import broadcast_if, discard, materialize, row_key, table
 from .components import contract
 from .shingles import few_rows, shingle_sets, slices_by_bytes, tidy
 
@@ -404,7 +404,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = rows.join(broadcast_if(owners, BROADCAST_ROWS), "doc_id").select("node", "text")
     sets = materialize(_sets(_counted(_tokens_of(texts, shards, width), shards), shards, num, den), "join-sets")
     index = materialize(sets.select("node", "n", "ell", "central", F.explode("prefix").alias("token")), "join-index")
-    links, comps = None, None
+    discard(owners)
+    links, comps, told = None, None, []
     for k in range(rounds + 1):
         now = _labelled(index, comps)
         if k < rounds:
@@ -414,8 +415,11 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found = _verify(_rest(left.filter(F.col("k") <= GROUP_ROWS)), sets, shards, num, den)
             found = found.union(_families(left.filter(F.col("k") > GROUP_ROWS), sets, num, den))
         found = materialize(found, "join-links")
+        told.append(found)
         links = found if links is None else links.union(found)
-        comps = contract(links)
+        before, comps = comps, contract(links)
+        discard(before)
+    discard(index, sets, left, *told)
     return meta, comps
 
 
