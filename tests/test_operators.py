@@ -130,3 +130,36 @@ def test_merge(spark):
 def test_dedup_keeps_the_first(spark):
     docs = spark.createDataFrame([(2, "same"), (1, "same"), (3, "other"), (4, None)], "pos int, content string")
     assert sorted(r["pos"] for r in D.dedup_documents(docs, "pos").collect()) == [1, 3, 4]
+
+
+@pytest.mark.parametrize(("k", "threshold"), [(3, 0.85), (4, 0.80)])
+def test_near_duplicate_pairs(spark, k, threshold):
+    import random
+
+    rng = random.Random(k)
+    base = ["".join(rng.choice("abcde fgh") for _ in range(rng.randrange(5, 120))) for _ in range(12)]
+
+    def changed(t):
+        at = rng.randrange(len(t))
+        return t[:at] + rng.choice(["", "x", "zz"]) + t[at + rng.randrange(3) :]
+
+    left = [(i, t) for i, t in enumerate(base + [changed(t) for t in base for _ in range(3)] + [None, "", "ab", base[0].upper(), "é" * 50, "aa" * 4000])]
+    right = [(100 + i, t) for i, t in enumerate([changed(t) for t in base] + ["", None, "é" * 40])]
+
+    def grams(t):
+        t = (t or "").lower().strip()
+        return {t[i : i + k] for i in range(len(t) - k + 1)}
+
+    want = {(i, j) for i, t in left for j, u in right for a, b in [(grams(t), grams(u))] if a and b and len(a & b) / len(a | b) >= threshold}
+    frames = [spark.createDataFrame(rows, f"{name} long, text string") for rows, name in ((left, "a"), (right, "b"))]
+    got = D.near_duplicate_pairs(*frames, k, threshold, "a", "b").collect()
+    assert {(r["left_id"], r["right_id"]) for r in got} == want and len(got) == len(want) > 10
+
+
+def test_hits_without_a_library(spark):
+    known = [(1, "ab"), (2, "b"), (3, ""), (4, "ab"), (5, "zz")]
+    assert sorted(Q._finder(known)("xaby")) == [1, 2, 3, 4]
+    base = spark.createDataFrame([(7, "xaby"), (8, None)], "query_id long, q string")
+    words = spark.createDataFrame(known, "n long, word string")
+    for most in (100, 2):  # in one pass, and by a join
+        assert sorted(tuple(r) for r in Q.substring_hits(base, words, most).collect()) == [(7, 1), (7, 2), (7, 3), (7, 4)]
