@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
+from . import registry
 from .config import Config
 from .errors import SessionNotFound, TesseraError
 from .functions import scalar as S
@@ -34,18 +35,18 @@ REPUTATION = [x.split()[0] for x in ST.REPUTATION_SCHEMA.split(", ")]
 
 
 class Engine:
-    """providers answer queries with URLs; get fetches a URL, or pages (url, html) stand for the web.
+    """providers answer queries with URLs; get fetches a URL, or pages (url, html) stand for the web. embedder may be a name of the registry.
 
     clock gives the time in seconds; nothing else in the engine looks at one.
     """
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, providers: list | None = None, pages: DataFrame | None = None, get: Callable | None = None, embedder: Embedder | None = None, clock: Callable[[], float] | None = None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, providers: list | None = None, pages: DataFrame | None = None, get: Callable | None = None, embedder: Embedder | str | None = None, clock: Callable[[], float] | None = None):
         import time
 
         self.spark, self.config = spark, config or Config()
         self.pages, self.get, self.clock = pages, get, clock or time.time
         self.providers = providers if providers is not None else ([P.TableProvider(pages)] if pages is not None else [])
-        self.embedder = embedder or hashed_embedder()
+        self.embedder = registry.make("embedder", embedder) if isinstance(embedder, str) else embedder or hashed_embedder()
         self.store = ChunkStore(spark, self.config.path, self.embedder)
         self.used: DataFrame | None = None
         self._writing = threading.Lock()  # searches run beside each other, but one at a time changes the tables

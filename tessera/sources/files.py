@@ -9,7 +9,6 @@ from __future__ import annotations
 import io
 import json
 import os
-import sqlite3
 import warnings
 import zipfile
 from collections.abc import Iterator
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from ..errors import TesseraError
 from ..functions import scalar as S
 from ..operators.documents import make_documents
+from .sqlite import SqliteSource, opened, row_text
 
 DOCUMENT = "content string, source string, title string, timestamp string, author string, image string"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -123,24 +123,24 @@ def read_pdf(spark: SparkSession, path: str, max_pages: int = 500, now: str | No
     return _documents(_whole(spark, path, glob).mapInPandas(load, "content string, source string"), now)
 
 
-def _row_text(record: dict) -> str:
-    return " | ".join(f"{k}: {v}" for k, v in record.items() if v)
-
-
 def read_sqlite(spark: SparkSession, path: str, table: str | None = None, query: str | None = None, max_rows: int = 10_000, now: str | None = None) -> DataFrame:
-    """A document per row (#row0 on); cells that are null, zero or empty are left out. query has no limit of rows, a table has. The file is read by one task."""
+    """A document per row (#row0 on); cells that are null, zero or empty are left out. query wins and has no limit of rows, a table has.
+
+    Ranges of a table's rows are read by tasks of their own, a query by one. All of them must see the file.
+    """
     if not (table or query):
         raise TesseraError("give a table or a query", "ingest", source=path)
-    statement = query or f'SELECT * FROM "{table}" LIMIT {int(max_rows)}'
-    label = table or "query"
+    if not query:
+        spark.dataSource.register(SqliteSource)
+        return _documents(spark.read.format(SqliteSource.name()).options(path=path, table=table, max_rows=max_rows).load(), now)
 
     def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _ in parts:
-            with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-                cursor = db.execute(statement)
+            with opened(path) as db:
+                cursor = db.execute(query)
                 names, at = [d[0] for d in cursor.description], 0
                 while batch := cursor.fetchmany(5000):
-                    rows = [(_row_text(dict(zip(names, r, strict=True))), f"{path}#row{at + i}", label) for i, r in enumerate(batch)]
+                    rows = [(row_text(dict(zip(names, r, strict=True))), f"{path}#row{at + i}", "query") for i, r in enumerate(batch)]
                     at += len(batch)
                     yield pd.DataFrame([r for r in rows if r[0]], columns=["content", "source", "title"])
 

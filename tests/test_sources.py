@@ -93,3 +93,26 @@ def test_fetch_late_and_rendered(spark):
     with pytest.raises(errors.TesseraError) as e:
         P.browser_get("http://a.org", 1.0)
     assert e.value.code == "dependency"
+
+
+def test_sqlite_in_ranges(spark, tmp_path):
+    path = str(tmp_path / "y.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (a INT, b TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(i, f"x{i}") for i in range(1, 101)])
+        db.execute("DELETE FROM t WHERE a BETWEEN 20 AND 60")
+        db.execute("CREATE TABLE none (a INT)")
+    rows = FI.read_sqlite(spark, path, "t", max_rows=50)
+    left = [i for i in range(1, 101) if not 20 <= i <= 60][:50]
+    assert sorted((int(r["source"].rsplit("#row", 1)[-1]), r["content"], r["title"]) for r in rows.collect()) == [(n, f"a: {i} | b: x{i}", "t") for n, i in enumerate(left)]
+    assert rows.rdd.getNumPartitions() > 1 and FI.read_sqlite(spark, path, "none").count() == 0
+
+
+def test_registry():
+    from tessera import registry
+
+    assert registry.names("provider") == ["html", "json", "table"] and registry.make("embedder", "hashed", size=8)(["a", ""]).shape == (2, 8)
+    registry.register("embedder", "ones", lambda: lambda texts: [[1.0]] * len(texts))
+    assert registry.make("embedder", "ones")(["x"]) == [[1.0]]
+    with pytest.raises(errors.TesseraError):
+        registry.make("scorer", "none")
