@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,39 +59,39 @@ def _in_order(rows: DataFrame, query: str, pos: str) -> DataFrame:
 
 def greedy_cap(rows: DataFrame, budget: int = BUDGET, query: str = "query_id", tokens: str = "tokens", pos: str = "pos") -> DataFrame:
     """Rows taken by score as long as they fit; one that doesn't is skipped and smaller ones may follow. A task holds one sum, not the query's rows."""
-    def fold(parts):
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, spent = object(), 0
         for part in parts:
             taken = []
-            for q, t in zip(part[query], part["_t"], strict=True):
+            for q, t in zip(part.column(query).to_pylist(), part.column("_t").to_pylist(), strict=True):
                 if not _same(q, current):
                     current, spent = q, 0
                 taken.append(spent + t <= budget)
                 spent += t if taken[-1] else 0
-            yield part.loc[taken, [query, pos]]
+            yield part.filter(pa.array(taken, pa.bool_())).select(names)
 
-    asked = rows.select(query, pos, "score", F.col(tokens).cast("long").alias("_t")).filter(F.col("_t") <= budget)
-    kept = _in_order(asked, query, pos).mapInPandas(fold, asked.select(query, pos).schema)
-    return rows.join(kept, [query, pos], "left_semi")
+    names = rows.columns
+    asked = rows.withColumn("_t", F.col(tokens).cast("long")).filter(F.col("_t") <= budget)
+    return _in_order(asked, query, pos).mapInArrow(fold, rows.schema)
 
 
 def unlike(rows: DataFrame, query: str = "query_id", k: int = 4, threshold: float = 0.80, last: int = 10, pos: str = "pos") -> DataFrame:
     """Without chunks that are near duplicates of one of the last ten kept, by score. A task holds those ten and a batch of rows."""
-    def fold(parts):
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, kept = object(), deque(maxlen=last)
         for part in parts:
             taken = []
-            for q, text in zip(part[query], part["content"].fillna(""), strict=True):
+            for q, text in zip(part.column(query).to_pylist(), part.column("content").to_pylist(), strict=True):
                 if not _same(q, current):
                     current = q
                     kept.clear()
-                own = shingles(text, k)
+                own = shingles(text or "", k)
                 taken.append(not any(like(own, other, threshold) for other in kept))
                 if taken[-1]:
                     kept.append(own)
-            yield part[pd.Series(taken, index=part.index, dtype=bool)]
+            yield part.filter(pa.array(taken, pa.bool_()))
 
-    return _in_order(rows, query, pos).mapInPandas(fold, rows.schema)
+    return _in_order(rows, query, pos).mapInArrow(fold, rows.schema)
 
 
 def build_context(chunks: DataFrame, budget: int = BUDGET, reputation: DataFrame | None = None, used: DataFrame | None = None, query: str = "query_id") -> DataFrame:
