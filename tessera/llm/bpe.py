@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .shingles import tidy
 
-#: Pieces and pairs that are remembered in a worker; beyond it the memory starts anew.
-CACHE_ENTRIES = 500_000
+#: Pieces and pairs that are remembered within a task; beyond it the memory starts anew.
+CACHE_ENTRIES = 200_000
 #: Longer pieces are encoded without being remembered.
 CACHE_CHARS = 64
 
@@ -69,6 +69,10 @@ class Encoder:
         self.pairs = _Memo(lambda pair: self._fits(pair >> 32, pair & 0xFFFFFFFF))
         self.id_text = _Memo(lambda piece: " ".join(map(str, self.piece(piece))), CACHE_CHARS)
 
+    def forget(self) -> None:
+        self.pairs.clear()
+        self.id_text.clear()
+
     def _undo_merges(self) -> None:
         """parts, and joined, its reverse. In order of rank, as a split is judged by earlier merges."""
         for token, i in sorted(self.ids.items(), key=lambda x: x[1]):
@@ -177,6 +181,7 @@ class _Memo(dict):
         return value
 
     def trim(self) -> None:
+        """Starts anew beyond so many entries."""
         if len(self) > CACHE_ENTRIES:
             self.clear()
 
@@ -245,6 +250,7 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if with_ids:
                     columns["ids"] = pa.array(whole_ids, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        own.forget()  # workers live on, and the next stage needs the room
         tidy()
 
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS STRING) AS text")

@@ -27,7 +27,7 @@ FIT_LABELLED, FIT_WORDS = 8000, 16_000_000
 #: Documents that a view hands over in a round for each label.
 PER_ROUND = 400
 WORD_BITS, META_BITS = 16, 10
-TEXT_BYTES = 1_000_000
+TEXT_BYTES = 400_000
 N_FORM = 12
 _KINDS = np.zeros((256, 5), np.float64)  # upper case, lower case, digits, marks, line ends
 _KINDS[65:91, 0] = _KINDS[97:123, 1] = _KINDS[48:58, 2] = _KINDS[10, 4] = 1
@@ -204,7 +204,7 @@ def _confident(docs: DataFrame, known: DataFrame, views: tuple, sure: float, per
                         old = best[kind].get(key)
                         if old is None or ids[a + i] < old["doc_id"]:
                             best[kind][key] = {"kind": kind, "key": key, "doc_id": ids[a + i], "words": words[i], "form": form[i].tolist(), "meta": meta[i].tolist()}
-                    if len(best[kind]) > 4 * most:
+                    if len(best[kind]) > 2 * most:
                         best[kind] = {k: best[kind][k] for k in sorted(best[kind])[:most]}
         yield pa.RecordBatch.from_pylist([own[k] for own in best.values() for k in sorted(own)[:most]], schema)
 
