@@ -105,7 +105,7 @@ def variants(queries: DataFrame, year: int = 2026, max_variants: int = 5, histor
     else:
         base = base.withColumn("expansion", F.lit(None).cast("string"))
     dated = F.when(~q.contains(str(year)) & ~q.contains(str(year - 1)), F.concat(q, F.lit(f" {year}")))
-    rephrased = F.coalesce(*[F.when(F.lower(q).contains(a), F.regexp_replace(q, f"(?i)^(.*?){a}", f"$1{b}")) for a, b in fixed.REPHRASE])
+    rephrased = F.coalesce(*[F.when(F.lower(q).contains(a), F.regexp_replace(q, f"(?isu)^(.*?){a}", f"$1{b}")) for a, b in fixed.REPHRASE])
     rephrased = F.when(F.lower(rephrased) != F.lower(q), rephrased)
     hints = F.create_map(*[x for t, h in fixed.SITE_HINTS.items() for x in (F.lit(t), F.array(*map(F.lit, h)))])
     hint = F.try_element_at(F.filter(F.coalesce(hints[topic], F.array().cast("array<string>")), lambda h: ~F.lower(q).contains(F.replace(h, F.lit("site:"), F.lit("")))), F.lit(1))
