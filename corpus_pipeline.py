@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_digests
-from tessera.llm.common import broadcast_if, materialize, row_key, table
+from tessera.llm.common import broadcast_if, few_rows_a_batch, give_back, materialize, row_key, table
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.jaccard_join import near_rows
@@ -22,6 +22,12 @@ from tessera.llm.quality import keep_good
 BROADCAST_ROWS = 1_000_000
 
 
+def _make_room(spark: SparkSession) -> None:
+    """Before each stage: executors and workers that live through all of them start it with little."""
+    few_rows_a_batch(spark)
+    give_back(spark)
+
+
 def _same() -> Column:
     return F.col("_docs.doc_id").eqNullSafe(F.col("_keys.doc_id")) & (row_key("_docs.doc_id", "_docs.text") == F.col("_keys.row"))
 
@@ -42,11 +48,13 @@ def _without(docs: DataFrame, dropped: DataFrame, kept: DataFrame, name: str) ->
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
+    _make_room(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays: that of the largest id, and of several rows of that id the one with the smallest hash."""
+    _make_room(spark)
     decided = materialize(exact_dedup(docs), "exact")
     kept = decided.filter("kept")
     best = kept.groupBy("doc_id", "text_sha256").agg(F.min("row").alias("best"), F.max("row").alias("other")).filter("best <> other")
@@ -57,6 +65,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the row of the smallest id stays. Rows without id or words stay."""
+    _make_room(spark)
     rows = materialize(near_rows(docs), "near-rows")
     linked = rows.filter("best is not null")
     return _without(docs, linked.filter("doc_id <> best.doc_id or row <> best.row"), linked, "near")
@@ -64,12 +73,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark window occurs go."""
+    _make_room(spark)
     found = materialize(decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id", "row").distinct(), "contaminated")
     return _joined(docs, found, "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of every document left."""
+    _make_room(spark)
     return bpe_digests(docs, with_ids=True)
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .shingles import tidy
+from .shingles import KEPT, tidy
 
 #: Pieces and pairs that are remembered within a task; beyond it the memory starts anew.
 CACHE_ENTRIES = 200_000
@@ -187,10 +187,11 @@ class _Memo(dict):
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
+KEPT.append(_ENCODERS)
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder in each worker process."""
+    """One encoder in each worker process, until a task of another operator begins there."""
     if (path, pattern) not in _ENCODERS:
         _ENCODERS[path, pattern] = Encoder(path, pattern)
     return _ENCODERS[path, pattern]

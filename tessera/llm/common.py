@@ -63,6 +63,23 @@ def discard(*frames: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of an Arrow batch between executor and Python worker, at most. Texts are some KB each, and executor and worker hold a whole batch.
+BATCH_ROWS = 512
+
+
+def few_rows_a_batch(spark: SparkSession) -> None:
+    """From now on the session sends Python workers batches of at most BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def give_back(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, so that heaps which have grown shrink and Python workers beside them have the room."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII takes the cheap path, as both ways agree there."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

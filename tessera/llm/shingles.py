@@ -102,8 +102,14 @@ def slices_by_bytes(sizes: list[int], most: int) -> list[tuple[int, int]]:
     return found
 
 
+#: What a worker keeps from one task to the next of its kind; a task of another kind lets go of it.
+KEPT: list[dict] = []
+
+
 def few_rows(parts: Iterator, rows: int = 256) -> Iterator:
     """Arrow batches in slices, so that Python holds the texts of a few rows at a time; the memory goes back at the end."""
+    for kept in KEPT:
+        kept.clear()
     for part in parts:
         for at in range(0, part.num_rows, rows):
             yield part.slice(at, rows)
